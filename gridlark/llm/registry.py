@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlark.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": q.chat_format_query,
+    "op4_media_columns": q.media_query,
+    "op7_pii": q.pii_query,
     "op10_url_filter": q.url_filter_query,
 }
 ORACLES: dict[str, str] = {
+    "op3_chat_format": q.CHAT_FORMAT_SQL,
     "op10_url_filter": q.URL_FILTER_SQL,
 }

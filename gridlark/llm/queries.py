@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat_format, media, pii, url_filter
+from gridlark.llm import chat_format, media, packing, pii, token_records, url_filter, vocab
 from gridlark.llm.common import table
 
+#: Names of the public vocabularies; ``vocabulary_path`` finds their files.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -58,3 +67,13 @@ def media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_findings(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
+
+
+def token_records_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_records.write_and_read(table(spark, sf_dir, "documents"), vocabulary_path(WORD_BPE), vocab.WORDS, end_id=1)
+    return token_records.ids_crc32(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_BPE), vocab.SPACED, end_id=0, keep_ids=False)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

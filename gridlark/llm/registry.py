@@ -11,7 +11,9 @@ from gridlark.llm import queries as q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": q.chat_format_query,
     "op4_media_columns": q.media_query,
+    "op6_token_records": q.token_records_query,
     "op7_pii": q.pii_query,
+    "op8_packing": q.packing_query,
     "op10_url_filter": q.url_filter_query,
 }
 ORACLES: dict[str, str] = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat_format, media, packing, pii, token_records, url_filter, vocab
+from gridlark.llm import chat_format, media, near_dup, packing, pii, token_records, url_filter, vocab
 from gridlark.llm.common import table
 
 #: Names of the public vocabularies; ``vocabulary_path`` finds their files.
@@ -77,3 +77,30 @@ def token_records_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_BPE), vocab.SPACED, end_id=0, keep_ids=False)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def near_dup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'),
+           lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN list_distinct([array_to_string(w, ' ')]) ELSE
+           list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM cut WHERE len(w) > 0),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id
+  AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM cut UNION SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.doc_id AND r.seen < e.b)
+SELECT c.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, min(r.seen) AS component_id, c.doc_id = min(r.seen) AS kept
+FROM cut c LEFT JOIN sets s USING (doc_id) JOIN reach r ON r.doc_id = c.doc_id GROUP BY c.doc_id, s.s"""

@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_records": q.token_records_query,
     "op7_pii": q.pii_query,
     "op8_packing": q.packing_query,
+    "op9_near_dup": q.near_dup_query,
     "op10_url_filter": q.url_filter_query,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_format": q.CHAT_FORMAT_SQL,
+    "op9_near_dup": q.NEAR_DUP_SQL,
     "op10_url_filter": q.URL_FILTER_SQL,
 }

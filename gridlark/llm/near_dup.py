@@ -40,7 +40,7 @@ BROADCAST_IDS = 1_000_000
 #: Texts that are sketched at once: so many, or so many characters.
 GROUP, GROUP_CHARS = 512, 1 << 20
 
-SKETCHED = "doc_id long, n_shingles long, hi long, lo long, bands array<long>"
+SKETCHED = "doc_id long, text_key long, n_shingles long, hi long, lo long, bands array<long>"
 
 
 def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -56,19 +56,19 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def sketched(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size and digest of the text's shingle set, and its band keys."""
+    """doc_id, a hash of the text, size and digest of its shingle set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in groups(texts):
                 grams, starts = sketch.shingles(texts[a:b], shingle)
                 hi, lo = sketch.set_digests(grams, starts)
                 keys = sketch.bands(sketch.sketches(grams, starts, ROWS * BANDS), ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(starts)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), lists], names=["doc_id", "n_shingles", "hi", "lo", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(starts)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), lists], names=["doc_id", "text_key", "n_shingles", "hi", "lo", "bands"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, SKETCHED)
 
 
@@ -191,8 +191,8 @@ def close_pairs(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int)
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of its component), kept (it is that document)."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of its component), kept (it is that document), and text_key if asked for."""
     rows = written(sketched(docs, shingle, id_col, text_col), "sketches")
     named = rows.where("doc_id IS NOT NULL")
     classes = named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
@@ -219,6 +219,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     of_class = classes.select("hi", "lo", "n_shingles", "id").join(last.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select("hi", "lo", "n_shingles", F.coalesce("component", "id").alias("of_class"))
-    out = rows.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo", "n_shingles"], "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("of_class"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *(["text_key"] if with_key else []))
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which each component keeps one: that of its least doc_id.
+
+    Rows that are equal in id and text count as copies too. Rows without words or without an id all stay.
+    """
+    found = near_duplicates(docs, shingle, percent, id_col, text_col, with_key=True)
+    judged = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    marked = written(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "kept"), "marked")
+    few, copies = marked.count() <= BROADCAST_IDS, marked.where("kept").count()
+    marked = F.broadcast(marked) if few else marked
+    on = (F.col(f"`{id_col}`").cast("long") == marked["marked_id"]) & (F.xxhash64(F.col(f"`{text_col}`")) == marked["marked_key"])
+    single = docs.join(marked, on, "left_anti")
+    if not copies:
+        return single
+    return single.unionByName(docs.join(marked.where("kept"), on, "left_semi").dropDuplicates([id_col, text_col]))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat_format, media, near_dup, packing, pii, token_records, url_filter, vocab
+from gridlark.llm import chat_format, language, media, near_dup, neighbours, packing, pieces, pii, token_records, url_filter, vocab
 from gridlark.llm.common import table
 
 #: Names of the public vocabularies; ``vocabulary_path`` finds their files.
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str) -> str:
@@ -18,6 +18,35 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: doc_id, n_tokens, ids_crc32, decoded_chars, decoded_sha256."""
+    model = vocabulary_path(PIECE_BPE)
+    ids = pieces.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    both = pieces.with_text(ids, model)
+    return both.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.length("decoded").cast("long").alias("decoded_chars"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the column lang is their declaration, the source their host."""
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+def page_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages: text, markup attribute, address suffix and host."""
+    return language.identified(language.of_pages(table(spark, sf_dir, "pages")), "page_id", "text", "declared", "host")
+
+
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from gridlark.llm import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": q.sentencepiece_query,
+    "op2_neighbours": q.neighbours_query,
     "op3_chat_format": q.chat_format_query,
     "op4_media_columns": q.media_query,
+    "op5_language_id": q.language_query,
     "op6_token_records": q.token_records_query,
     "op7_pii": q.pii_query,
     "op8_packing": q.packing_query,
     "op9_near_dup": q.near_dup_query,
     "op10_url_filter": q.url_filter_query,
+    "language_of_pages": q.page_language_query,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_format": q.CHAT_FORMAT_SQL,

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructField, StructType
 
 from gridlark.grid import Grid
 
@@ -51,7 +52,7 @@ def layout_ok() -> Column:
     return (F.col("r_bins") >= 0) & (F.col("theta_bins") >= 0) & sizes & (packet_size(F.col("r_bins"), F.col("theta_bins")) <= MAX_BYTES)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _encode(seq: pd.Series, stamp: pd.Series, nr: pd.Series, nt: pd.Series, trav: pd.Series, height: pd.Series, r: pd.Series, t: pd.Series) -> pd.Series:
     out = []
     for s, ns, rows, cols, *arrays in zip(seq, stamp, nr, nt, trav, height, r, t, strict=True):
@@ -79,7 +80,7 @@ def headers(packets: DataFrame) -> DataFrame:
     return fields.where(F.length(p) == HEADER_BYTES + 4 * (2 * nr * nt + nr + nt + 2))
 
 
-DECODED = "trav_grid array<float>, height_map array<float>, r_edges array<float>, theta_edges array<float>"
+DECODED = StructType([StructField(n, ArrayType(FloatType())) for n in ("trav_grid", "height_map", "r_edges", "theta_edges")])
 
 
 @F.pandas_udf(DECODED)

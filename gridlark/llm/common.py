@@ -28,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
 
 
+#: Arrow batches that Python gets: rows, and bytes beyond which a batch ends early. Long texts would make the default batches large.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same DataFrame; from now on its session hands rows to Python in batches of a bounded size."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

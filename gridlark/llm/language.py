@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ascii_lower, written
+from gridlark.llm.common import ascii_lower, in_small_batches, written
 from gridlark.llm.near_dup import BROADCAST_IDS, groups
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -138,7 +138,7 @@ def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     tag = F.col(f"`{declared_col}`").cast("string") if declared_col else none
     host = F.col(f"`{host_col}`").cast("string") if host_col else none
     text = F.col(f"`{text_col}`")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), *keys_of(text, tag, host), declared_of(tag).alias("declared"), F.when(host != "", host).alias("host"), text.alias("text"))
+    rows = in_small_batches(df).select(F.col(f"`{id_col}`").alias("id"), *keys_of(text, tag, host), declared_of(tag).alias("declared"), F.when(host != "", host).alias("host"), text.alias("text"))
 
     model = text_model(rows.where(F.col("declared").isNotNull()).select("id", "declared", "text"))
     scored = text_scores(rows, model)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm.common import in_small_batches
+
 #: Samples in a row of a stored payload.
 WIDTH = 64
 #: Rows and columns of a tile; the hash compares neighbouring columns and so has 8 x 8 bits.
@@ -186,7 +188,7 @@ def with_media(df: DataFrame, media_col: str = "media", to: str = "decoded") ->
         for column in batches:
             yield pd.DataFrame([_described(x) for x in column], columns=["height", "width", "channels", "tile", "dhash", "error"]).astype({c: "Int32" for c in ("height", "width", "channels")})
 
-    return df.withColumn(to, decoded(F.col(f"`{media_col}`")))
+    return in_small_batches(df).withColumn(to, decoded(F.col(f"`{media_col}`")))
 
 
 def _described(data: bytes | None) -> tuple:
@@ -216,7 +218,7 @@ def store_text(df: DataFrame, text_col: str = "text", to: str = "media") -> Data
                 out.append((n, (encode_bmp if len(samples) % 2 else encode_pgm)(samples)))
             yield pd.DataFrame(out, columns=["n_bytes", "bytes"])
 
-    return df.withColumn(to, stored(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(to, stored(F.col(f"`{text_col}`")))
 
 
 DIGEST_TYPE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -237,4 +239,4 @@ def digests(df: DataFrame, media_col: str = "media.bytes", to: str = "digest") -
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST_TYPE.split(", ")])
 
-    return df.withColumn(to, digest(F.col(media_col)))
+    return in_small_batches(df).withColumn(to, digest(F.col(media_col)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import sketch
-from gridlark.llm.common import written
+from gridlark.llm.common import in_small_batches, written
 from gridlark.llm.components import components
 
 ROWS, BANDS = 6, 46
@@ -193,7 +193,7 @@ def close_pairs(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of its component), kept (it is that document), and text_key if asked for."""
-    rows = written(sketched(docs, shingle, id_col, text_col), "sketches")
+    rows = written(sketched(in_small_batches(docs), shingle, id_col, text_col), "sketches")
     named = rows.where("doc_id IS NOT NULL")
     classes = named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import written
+from gridlark.llm.common import in_small_batches, written
 
 TABLES = 8
 SHARE, FALL = 0.4, 0.183
@@ -254,7 +254,7 @@ def _best(queries, query_vectors, ids, firsts, vectors, top: int) -> pa.RecordBa
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20) -> DataFrame:
     """query_id, rank (from 1), the found id under its own name, score. ``is_query`` is a condition on a column named id."""
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    rows = in_small_batches(vectors).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     classes = classes_of(rows, top)
     queries = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm import vocab
-from gridlark.llm.common import written
+from gridlark.llm.common import in_small_batches, written
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, part int, place long"
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, vocabulary: str, cut: str, end_id: int, capacity: in
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(rows), part, np.int32)), pa.array(places)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = in_small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return written(rows.mapInArrow(cut_up, PIECES), "pieces")
 
 

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm.common import in_small_batches
+
 BPE, UNIGRAM = "bpe", "unigram"
 SPACE = "▁"
 #: Parts of texts, and pairs of pieces, that a worker remembers at most, and the longest such part; a full table is emptied.
@@ -203,7 +205,7 @@ def with_ids(df: DataFrame, model: str, kind: str = BPE, text_col: str = "text",
         for texts in batches:
             yield pd.Series([vocabulary.encode(t) for t in texts], dtype=object)
 
-    return df.withColumn(to, encoded(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(to, encoded(F.col(f"`{text_col}`")))
 
 
 def with_text(df: DataFrame, model: str, kind: str = BPE, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -215,4 +217,4 @@ def with_text(df: DataFrame, model: str, kind: str = BPE, ids_col: str = "ids",
         for column in batches:
             yield pd.Series([vocabulary.decode(x) for x in column], dtype=object)
 
-    return df.withColumn(to, decoded(F.col(f"`{ids_col}`")))
+    return in_small_batches(df).withColumn(to, decoded(F.col(f"`{ids_col}`")))

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm.common import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -248,7 +250,7 @@ def with_findings(df: DataFrame, text_col: str = "text", to: str = "pii") -> Dat
                 rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    return df.withColumn(to, found(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(to, found(F.col(f"`{text_col}`")))
 
 
 def with_redaction(df: DataFrame, text_col: str = "text", to: str = "text") -> DataFrame:
@@ -259,4 +261,4 @@ def with_redaction(df: DataFrame, text_col: str = "text", to: str = "text") -> D
         for texts in batches:
             yield pd.Series([redacted(t, find(t)[1]) for t in texts], dtype=object)
 
-    return df.withColumn(to, masked(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(to, masked(F.col(f"`{text_col}`")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm import vocab
-from gridlark.llm.common import new_path, written
+from gridlark.llm.common import in_small_batches, new_path, written
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
@@ -78,7 +78,7 @@ MANIFEST = "part int, file string, n_records long, n_ids long, n_bytes long"
 
 def write(docs: DataFrame, path: str, vocabulary: str, cut: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes all documents below ``path``; returns the manifest, one row per data file, itself written there."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = in_small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 

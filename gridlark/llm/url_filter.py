@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ascii_lower
+from gridlark.llm.common import ascii_lower, in_small_batches
 
 #: (verdict, host and path prefix). Fixed values of the query's contract.
 RULES = (
@@ -96,7 +96,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
             yield pd.DataFrame([count(t) for t in texts], columns=["n_strict", "n_soft"], dtype="int32")
 
     url = F.col(f"`{url_col}`")
-    found = df.select(F.col(f"`{id_col}`").alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"), hits(ascii_lower(F.coalesce(url, F.lit("")))).alias("hits"))
+    found = in_small_batches(df).select(F.col(f"`{id_col}`").alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"), hits(ascii_lower(F.coalesce(url, F.lit("")))).alias("hits"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_terms = F.when((F.col("hits.n_strict") > 0) | (F.col("hits.n_soft") >= soft_needed), "block").otherwise("allow")
     return found.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "hits.n_strict", "hits.n_soft")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlark.config import PolarConfig, VoxelConfig
 from gridlark.functions.floats import div, f32, is_finite, single
-from gridlark.functions.pose import tilt_matrices
+from gridlark.functions.pose import MATRIX, tilt_matrices
 
 #: Rows of poses that may be broadcast (about 50 bytes each); beyond that the join shuffles.
 BROADCAST_FRAMES = 200_000
@@ -28,6 +28,9 @@ def tilt_compensate(points: DataFrame, frames: DataFrame, few_frames: bool | Non
     matrices = tilt_matrices(frames)
     if few_frames is None:
         few_frames = frames.limit(BROADCAST_FRAMES + 1).count() <= BROADCAST_FRAMES
+    # From a generator the elements are plain columns to the optimizer. As aliases of expressions each would double the
+    # equivalent predicates that it derives from the later filters on height and range, 2 ** 9 times in all.
+    matrices = matrices.select("frame_id", F.inline(F.array(F.struct(*MATRIX))))
     joined = points.join(F.broadcast(matrices) if few_frames else matrices, "frame_id")
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     rows = [(F.col(f"r{i}0") * x + F.col(f"r{i}1") * y + F.col(f"r{i}2") * z).alias(n) for i, n in enumerate("xyz")]

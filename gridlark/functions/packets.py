@@ -66,9 +66,14 @@ def encoded(results: DataFrame) -> DataFrame:
     return results.withColumn("payload", _encode("seq", "timestamp_ns", "r_bins", "theta_bins", "trav_grid", "height_map", "r_edges", "theta_edges"))
 
 
+def swapped(hexed: Column, n: int) -> Column:
+    """The hexadecimal text of n bytes with the bytes in the opposite order (``reverse`` would keep UTF-8 sequences together)."""
+    return F.concat(*[F.substring(hexed, 2 * k + 1, 2) for k in reversed(range(n))])
+
+
 def little_endian(payload: Column, at: int, n: int) -> Column:
     """An unsigned number of n bytes at a 0-based offset, as BIGINT (as DECIMAL text would be needed only above 2^63)."""
-    return F.conv(F.hex(F.reverse(F.substring(payload, at + 1, n))), 16, 10).cast("decimal(20,0)").cast("long")
+    return F.conv(swapped(F.hex(F.substring(payload, at + 1, n)), n), 16, 10).cast("decimal(20,0)").cast("long")
 
 
 def headers(packets: DataFrame) -> DataFrame:

@@ -336,7 +336,7 @@ def packet_stream(spark, d) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
 
     def number(c, n: int) -> Column:
-        return F.reverse(F.unhex(F.lpad(F.hex(c), 2 * n, "0")))
+        return F.unhex(packets.swapped(F.lpad(F.hex(c), 2 * n, "0"), n))
 
     head = F.concat(number(F.lit(packets.MAGIC).cast("long"), 4), number(F.col("event_id"), 4), number(F.unix_micros(F.col("ts").cast("timestamp")) * 1000, 8), number(F.lit(0).cast("long"), 4), number(F.lit(0).cast("long"), 4), F.unhex(F.lit("00" * 8)))
     broken = F.when(F.col("event_id") % 11 == 3, F.substring(head, 1, 23)).when(F.col("event_id") % 13 == 5, F.substring(head, 1, 30)).when(F.col("event_id") % 17 == 2, F.concat(F.unhex(F.lit("00")), F.substring(head, 2, 31)))

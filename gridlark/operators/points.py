@@ -59,10 +59,14 @@ def voxel_count(points: DataFrame, c: VoxelConfig) -> DataFrame:
 
 
 def voxel_filter(points: DataFrame, c: VoxelConfig) -> DataFrame:
-    """Centres of voxels with enough points."""
+    """Centres of voxels with enough points.
+
+    The centres come from a generator: later filters on them stay above the count, where there are few rows. The optimizer
+    would otherwise rewrite them over the raw coordinates and evaluate them for every point.
+    """
     sizes = {"x": c.voxel_size_x, "y": c.voxel_size_y, "z": c.voxel_size_z}
     centres = [((single(F.col(f"i{a}")) + f32(0.5)) * f32(s)).alias(a) for a, s in sizes.items()]
-    return voxel_count(points, c).where(F.col("n") >= c.min_points_per_voxel).select("frame_id", "ix", "iy", "iz", "n", *centres)
+    return voxel_count(points, c).where(F.col("n") >= c.min_points_per_voxel).select("frame_id", "ix", "iy", "iz", "n", F.inline(F.array(F.struct(*centres))))
 
 
 def polarize(voxels: DataFrame, c: PolarConfig) -> DataFrame:

@@ -123,6 +123,7 @@ def usable(vector: Column) -> Column:
 
 def classes_of(vectors: DataFrame, top: int) -> DataFrame:
     """class_id, vector, ids (the smallest top + 1), first_id, length, dim, band of each distinct vector."""
+    kind = dict(vectors.dtypes)["vector"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,15 +136,13 @@ def classes_of(vectors: DataFrame, top: int) -> DataFrame:
     one = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
     few = one.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= top + 1)
     grouped = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    measured = grouped.mapInArrow(measure, "vector array<double>, ids array<long>, length double, band int")
+    measured = grouped.mapInArrow(measure, f"vector {kind}, ids array<long>, length double, band int")
     return written(measured.select(F.monotonically_increasing_id().alias("class_id"), "*", F.col("ids")[0].alias("first_id"), F.size("vector").alias("dim")), "vector-classes")
 
 
-CELL = "dim int, place long, class_id long, first_id long, vector array<double>"
-
-
 def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: dict[int, tuple[int, float]], as_queries: bool) -> DataFrame:
     """One row per class and bucket it lies in (or, as a query, looks into). A place numbers band, table and bucket of a dimension."""
+    kind = dict(classes.dtypes)["vector"]
     order = {key: i for i, key in enumerate(sorted(greatest))}
     bands = {dim: [b for d, b in order if d == dim] for dim, _ in order}
 
@@ -177,7 +176,7 @@ def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: di
                         picked = batch.take(rows)
                         yield pa.RecordBatch.from_arrays([picked.column(3), pa.array(places.reshape(-1)), *(picked.column(i) for i in range(3))], names=["dim", "place", "class_id", "first_id", "vector"])
 
-    return classes.select("class_id", "first_id", "vector", "dim", "band", "length").mapInArrow(run, CELL)
+    return classes.select("class_id", "first_id", "vector", "dim", "band", "length").mapInArrow(run, f"dim int, place long, class_id long, first_id long, vector {kind}")
 
 
 def cells(members: DataFrame, queries: DataFrame) -> DataFrame:
@@ -236,7 +235,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 parts = []
             held = key
             flat = batch.column(7).slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
-            parts.append((batch.column(5).slice(a, b - a).to_numpy(), batch.column(6).slice(a, b - a).to_numpy(), flat.reshape(b - a, -1)))
+            parts.append((batch.column(5).slice(a, b - a).to_numpy(), batch.column(6).slice(a, b - a).to_numpy(), flat.astype(np.float64).reshape(b - a, -1)))
     if held is not None:
         yield flush()
 
@@ -254,7 +253,11 @@ def _best(queries, query_vectors, ids, firsts, vectors, top: int) -> pa.RecordBa
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20) -> DataFrame:
     """query_id, rank (from 1), the found id under its own name, score. ``is_query`` is a condition on a column named id."""
-    rows = in_small_batches(vectors).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    # Single-precision vectors travel as they are, in half the bytes; all arithmetic is in double precision.
+    vector = F.col(f"`{vector_col}`")
+    if dict(vectors.dtypes)[vector_col] != "array<float>":
+        vector = vector.cast("array<double>")
+    rows = in_small_batches(vectors).select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     classes = classes_of(rows, top)
     queries = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))

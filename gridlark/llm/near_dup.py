@@ -38,7 +38,7 @@ BLOCK = 1000
 #: Ids that a join may broadcast (8 MB); beyond that it shuffles.
 BROADCAST_IDS = 1_000_000
 #: Texts that are sketched at once: so many, or so many characters.
-GROUP, GROUP_CHARS = 512, 1 << 20
+GROUP, GROUP_CHARS = 512, 1 << 18
 
 SKETCHED = "doc_id long, text_key long, n_shingles long, hi long, lo long, bands array<long>"
 

@@ -11,10 +11,12 @@
 4. A bucket is dealt in blocks of members and chunks of queries, each cell of a bounded size. Inside a cell the products come from
    the original vectors in double precision, summed in order of the coordinates, and each query keeps its ``top + 1`` best
    classes, so nothing grows with the product of a bucket's sides. The cells' best are merged.
+5. A query that thereby finds fewer than ``top`` rows, though its dimension has more, is compared with all classes of its dimension,
+   in the same kind of cells. So are all queries of a dimension with at most ``WHOLE`` classes, which isn't hashed.
 
 The share of buckets that a query probes in a table falls with the number of classes n as ``SHARE * n ** -FALL``; it was fitted on
 vectors with hardly any structure (nearest neighbours at 60 degrees), where recall at 20 is 0.95 or more from 500 to 50,000
-classes. Small tables are thereby searched whole, and the same rule holds at every size.
+classes.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers, and null ids, take no part. Of rows that
 share an id the one with the least vector takes part. A query without candidates has no rows. Empty tables give none.
@@ -39,6 +41,8 @@ SHARE, FALL = 0.4, 0.183
 LOAD = 2000
 #: Members and queries of a cell.
 BLOCK, CHUNK = 4096, 1024
+#: Classes of a dimension up to which each of its queries is compared with all of them.
+WHOLE = 4096
 #: Rows hashed at once.
 GROUP = 256
 SEED = 20
@@ -195,6 +199,21 @@ def cells(members: DataFrame, queries: DataFrame) -> DataFrame:
     return dealt(members, "blocks", "chunks", False).unionByName(dealt(queries, "chunks", "blocks", True))
 
 
+def whole_cells(classes: DataFrame, asked: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """As ``cells``, for queries (class_id, dim) that are compared with all classes of their dimension; sizes has the number of classes."""
+    counts = asked.groupBy("dim").agg(F.count("*").alias("q")).collect()
+    grid = [(r["dim"], math.ceil(sizes[r["dim"]] / BLOCK), math.ceil(r["q"] / CHUNK)) for r in counts]
+    rows = classes.join(F.broadcast(classes.sparkSession.createDataFrame(grid, "dim int, blocks int, chunks int")), "dim")
+
+    def dealt(side: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("class_id"), F.col(own)).cast("int").alias("chunk" if is_query else "block")
+        to = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("block" if is_query else "chunk")
+        both = side.select("dim", F.lit(-1).cast("long").alias("place"), mine, to, F.lit(is_query).alias("is_query"), "class_id", "first_id", "vector")
+        return both.select("dim", "place", "block", "chunk", "is_query", "class_id", "first_id", "vector")
+
+    return dealt(rows, "blocks", "chunks", False).unionByName(dealt(rows.join(asked.select("class_id"), "class_id", "left_semi"), "chunks", "blocks", True))
+
+
 FOUND = "query long, class_id long, first_id long, score double"
 
 
@@ -264,19 +283,39 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     asked = written(queries.join(classes.select("vector", "class_id"), "vector").select("id", "class_id"), "asked")
 
     # By length of vectors and exponent of their norm: at most some hundred rows for a table of one dimension.
-    stats = classes.groupBy("dim", "band").agg(F.max("length").alias("top"), F.count("*").alias("n")).collect()
-    greatest = {(r["dim"], r["band"]): r["top"] for r in stats}
-    plans = {d: hash_plan(sum(r["n"] for r in stats if r["dim"] == d), d) for d in {r["dim"] for r in stats}}
-
-    members = written(hashed(classes, greatest, plans, False), "members")
-    queries = written(hashed(classes.join(asked.select("class_id").distinct(), "class_id", "left_semi"), greatest, plans, True), "probes")
-    found = best_in_cells(cells(members, queries), top)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id", "class_id")
-    merged = found.withColumn("k", F.dense_rank().over(best)).where(F.col("k") <= top + 1).select("query", "class_id", "score").distinct()
-
-    ids = merged.join(classes.select("class_id", "ids"), "class_id").select("query", "score", F.explode("ids").alias("id"))
-    first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    few = written(ids.withColumn("k", F.dense_rank().over(first)).where(F.col("k") <= top + 1).select("query", "score", "id"), "found")
+    stats = classes.groupBy("dim", "band").agg(F.max("length").alias("top"), F.count("*").alias("n"), F.sum(F.size("ids")).alias("n_ids")).collect()
+    sizes = {d: sum(r["n"] for r in stats if r["dim"] == d) for d in {r["dim"] for r in stats}}
+    greatest = {(r["dim"], r["band"]): r["top"] for r in stats if sizes[r["dim"]] > WHOLE}
+    plans = {d: hash_plan(sizes[d], d) for d, _ in greatest}
+
+    def merged(found: DataFrame) -> DataFrame:
+        """The best ``top + 1`` ids of each queried class: query, class_id, score, id."""
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id", "class_id")
+        few = found.withColumn("k", F.dense_rank().over(best)).where(F.col("k") <= top + 1).select("query", "class_id", "score").distinct()
+        ids = few.join(classes.select("class_id", "ids"), "class_id").select("query", "class_id", "score", F.explode("ids").alias("id"))
+        first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        return written(ids.withColumn("k", F.dense_rank().over(first)).where(F.col("k") <= top + 1).select("query", "class_id", "score", "id"), "found")
+
+    wanted = classes.join(asked.select("class_id").distinct(), "class_id", "left_semi")
+    few = None
+    if plans:
+        large = F.col("dim").isin(*plans)
+        members = written(hashed(classes.where(large), greatest, plans, False), "members")
+        queries = written(hashed(wanted.where(large), greatest, plans, True), "probes")
+        few = merged(best_in_cells(cells(members, queries), top))
+
+    # Classes whose queries found fewer ids than there are. Those of a class differ in their own id only.
+    n_ids = {d: sum(r["n_ids"] for r in stats if r["dim"] == d) for d in sizes}
+    exist = classes.sparkSession.createDataFrame([(d, min(top, n - 1)) for d, n in n_ids.items()], "dim int, exist long")
+    lacking = wanted.select("class_id", "dim").join(F.broadcast(exist), "dim").where("exist > 0")
+    if few is not None:
+        got = few.groupBy(F.col("query").alias("class_id")).agg((F.count("*") - F.max((F.col("class_id") == F.col("query")).cast("int"))).alias("got"))
+        lacking = lacking.join(got, "class_id", "left").where(F.coalesce("got", F.lit(0)) < F.col("exist"))
+    lacking = written(lacking.select("class_id", "dim"), "lacking")
+    if few is None or not lacking.isEmpty():
+        exact = merged(best_in_cells(whole_cells(classes, lacking, sizes), top))
+        few = exact if few is None else few.join(lacking.select(F.col("class_id").alias("query")), "query", "left_anti").unionByName(exact)
+
     pairs = asked.select(F.col("id").alias("query_id"), F.col("class_id").alias("query")).join(few, "query").where("id != query_id")
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -135,6 +135,22 @@ def test_cells_of_a_hot_bucket_lose_nothing(spark, monkeypatch):
     assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q, x in wanted.items() for i, _ in x}
 
 
+def test_every_query_gets_all_rows_there_are(spark, monkeypatch):
+    """Few candidates, an antipode and a query on its own side of the others; with hashing and without."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=64)
+    around = v / np.linalg.norm(v) + 0.02 * rng.normal(size=(40, 64))
+    tables = [[(0, v.tolist()), (1, (-v).tolist())]]
+    tables.append([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(25, 64)))])
+    tables.append([(0, (-v).tolist()), *((i + 1, x.tolist()) for i, x in enumerate(around)), (80, [1.0, 2.0]), (81, [2.0, -1.0])])
+    for whole in (neighbours.__dict__.get("WHOLE", 0), 0):
+        monkeypatch.setattr(neighbours, "WHOLE", whole, raising=False)
+        for rows in tables:
+            got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+            counts = {q: sum(r.query_id == q for r in got) for q, _ in rows if q % 20 == 0}
+            assert counts == {q: min(20, sum(len(y) == len(x) for _, y in rows) - 1) for q, x in rows if q % 20 == 0}
+
+
 def test_probes_are_the_nearest_axes():
     x = np.random.default_rng(1).normal(size=(5, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -14,9 +14,9 @@
 5. A query that thereby finds fewer than ``top`` rows, though its dimension has more, is compared with all classes of its dimension,
    in the same kind of cells. So are all queries of a dimension with at most ``WHOLE`` classes, which isn't hashed.
 
-The share of buckets that a query probes in a table falls with the number of classes n as ``SHARE * n ** -FALL``; it was fitted on
-vectors with hardly any structure (nearest neighbours at 60 degrees), where recall at 20 is 0.95 or more from 500 to 50,000
-classes.
+The share of buckets that a query probes in a table is measured in every run: up to ``SAMPLED`` queries of a dimension are compared with
+all its classes, and the share is the least at which ``TARGET`` of their true neighbours lie in a probed bucket, but at least
+``SHARE * n ** -FALL`` for n classes, which was fitted on vectors of one length with hardly any structure.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers, and null ids, take no part. Of rows that
 share an id the one with the least vector takes part. A query without candidates has no rows. Empty tables give none.
@@ -37,6 +37,8 @@ from gridlark.llm.common import in_small_batches, written
 
 TABLES = 8
 SHARE, FALL = 0.4, 0.183
+#: Queries that the share is measured on, the recall it is chosen for, and numbers that all sampled vectors may have together.
+SAMPLED, TARGET, NUMBERS = 128, 0.95, 1 << 22
 #: Classes a bucket should hold about, beyond which a further hash makes buckets finer.
 LOAD = 2000
 #: Members and queries of a cell.
@@ -114,7 +116,7 @@ def lengths(x: np.ndarray) -> np.ndarray:
 
 
 def hash_plan(n: int, dim: int) -> tuple[int, float]:
-    """Hashes in a bucket, and the share of a table's buckets that a query probes, for n classes."""
+    """Hashes in a bucket, and the least share of a table's buckets that a query probes, for n classes."""
     hashes = max(1, round(math.log(max(n, 1) / LOAD) / math.log(2 * padded_dim(dim)))) if n > LOAD else 1
     return hashes, min(1.0, SHARE * max(n, 1) ** -FALL)
 
@@ -183,6 +185,73 @@ def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: di
     return classes.select("class_id", "first_id", "vector", "dim", "band", "length").mapInArrow(run, f"dim int, place long, class_id long, first_id long, vector {kind}")
 
 
+def depths(query: np.ndarray, members: np.ndarray, hashes: int) -> np.ndarray:
+    """How many of its buckets the unit vector ``query`` probes before it gets to each member, in the table where these are fewest."""
+    least = np.full(len(members), np.iinfo(np.int64).max)
+    for table in range(TABLES):
+        sums = np.zeros(1)
+        for h in range(hashes):
+            y = rotated(query[None, :], table, h)[0]
+            sums = (sums[:, None] + np.concatenate([y, -y])).reshape(-1)
+        least = np.minimum(least, len(sums) - np.searchsorted(np.sort(sums), sums[codes(members, table, hashes)], "right"))
+    return least
+
+
+def measured_plans(classes: DataFrame, queries: DataFrame, greatest: dict[tuple[int, int], float], plans: dict[int, tuple[int, float]], top: int) -> dict[int, tuple[int, float]]:
+    """The plans with their shares widened to what sampled queries (some of the classes) need for a recall of ``TARGET``."""
+    most = min(SAMPLED, NUMBERS // sum(plans))
+    if not most:  # so many dimensions that there is no room for samples
+        return {dim: (hashes, 1.0) for dim, (hashes, _) in plans.items()}
+    some = Window.partitionBy("dim").orderBy(F.xxhash64("class_id"), "class_id")
+    picked = queries.select("class_id", "vector", "dim").withColumn("k", F.row_number().over(some)).where(F.col("k") <= most).collect()
+    sample = {dim: ([r["class_id"] for r in picked if r["dim"] == dim], np.array([r["vector"] for r in picked if r["dim"] == dim], np.float64)) for dim in {r["dim"] for r in picked}}
+    shared = classes.sparkSession.sparkContext.broadcast(sample)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best classes of each sampled query in a task."""
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            dims, ids, vectors = batch.column(2).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                asked, x = shared.value[int(dim)]
+                scores = x @ np.array([vectors[i] for i in at], np.float64).T
+                scores[np.array(asked)[:, None] == ids[at]] = -np.inf
+                held = best.get(int(dim), (np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))))
+                found, scores = np.concatenate([held[0], np.broadcast_to(ids[at], scores.shape)], axis=1), np.concatenate([held[1], scores], axis=1)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+                best[int(dim)] = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
+        for dim, (found, scores) in best.items():
+            i, j = np.nonzero(scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim, np.int32)), pa.array(i.astype(np.int32)), pa.array(found[i, j]), pa.array(scores[i, j])], names=["dim", "i", "class_id", "score"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, i, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                query, unit = np.zeros(padded_dim(dim)), np.zeros((len(members), padded_dim(dim)))
+                query[:dim] = shared.value[dim][1][i]
+                query /= lengths(query[None, :])[0]
+                longest = np.array([greatest[dim, m["band"]] for m in members])
+                unit[:, :dim] = np.array([m["vector"] for m in members]) / longest[:, None]
+                unit[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (np.array([m["length"] for m in members]) / longest) ** 2))
+                found = depths(query, unit, plans[dim][0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), dim, np.int32)), pa.array(found)], names=["dim", "depth"])
+
+    first = Window.partitionBy("dim", "i").orderBy(F.desc("score"), "class_id")
+    near = classes.where(F.col("dim").isin(*sample)).select("class_id", "vector", "dim").mapInArrow(compare, "dim int, i int, class_id long, score double")
+    true = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= top).select("i", "class_id")
+    members = classes.join(F.broadcast(true), "class_id").groupBy("dim", "i").agg(F.collect_list(F.struct("vector", "band", "length")).alias("members"))
+    out = dict(plans)
+    needed: dict[int, list[int]] = {}
+    for r in members.mapInArrow(measure, "dim int, depth long").collect():  # SAMPLED * top rows a dimension
+        needed.setdefault(r["dim"], []).append(r["depth"])
+    for dim, found in needed.items():
+        hashes, share = plans[dim]
+        at = sorted(found)[math.ceil(TARGET * len(found)) - 1]
+        out[dim] = hashes, max(share, min(1.0, (at + 1) / (2 * padded_dim(dim)) ** hashes))
+    return out
+
+
 def cells(members: DataFrame, queries: DataFrame) -> DataFrame:
     """Deals buckets that have both sides to cells of a bounded size: dim, place, block, chunk, is_query and the row."""
     keys = ["dim", "place"]
@@ -300,6 +369,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     few = None
     if plans:
         large = F.col("dim").isin(*plans)
+        plans = measured_plans(classes.where(large), wanted.where(large), greatest, plans, top)
         members = written(hashed(classes.where(large), greatest, plans, False), "members")
         queries = written(hashed(wanted.where(large), greatest, plans, True), "probes")
         few = merged(best_in_cells(cells(members, queries), top))

@@ -151,6 +151,21 @@ def test_every_query_gets_all_rows_there_are(spark, monkeypatch):
             assert counts == {q: min(20, sum(len(y) == len(x) for _, y in rows) - 1) for q, x in rows if q % 20 == 0}
 
 
+def test_recall_holds_with_unequal_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20000, 64))
+    x *= (np.exp(0.25 * rng.normal(size=len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    asked = range(0, len(x), 100)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("id") % 100 == 0).collect()}
+    hits = 0
+    for q in asked:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += sum((q, int(i)) in got for i in np.argsort(-scores)[:20])
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_probes_are_the_nearest_axes():
     x = np.random.default_rng(1).normal(size=(5, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -8,8 +8,9 @@ Two readings of every text:
   the same finders read the result, and every span is mapped back through the cascade to the source's code points.
   A span that the base reading has, or that lies inside one of the same kind, isn't repeated.
 
-A bare `` at `` counts as a disguise only in ``name at host dot tld``, and spelled digits only in runs of seven or more, so
-prose stays as it is.
+A bare `` at `` counts as a disguise only in ``name at host dot tld``. The cascade rewrites spelled digits in runs of seven or more
+only; shorter ones, and those mixed with groups of digits, spoken dots and brackets, are candidates on their own (``mixed_spans``): a span
+is added only where the finder of cards, phones or addresses accepts what such a run says, so prose stays as it is.
 
 Defined results: null text is empty, without spans. Repeated rows give repeated results. All input columns are kept;
 findings come in one struct whose name the caller picks.
@@ -139,6 +140,15 @@ _WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])"
 SPELLED = re.compile(rf"(?:\bplus[ -])?\b{_WORD}(?:[ ,.-]{{1,2}}{_WORD}){{{SPELLED_LEAST - 1},}}\b", re.I)
 SPELLED_PART = re.compile(r"plus[ -]|[a-z]+|[ ,.-]+", re.I)
 
+#: A digit word or a group of digits; runs of them with separators, brackets and spoken dots; what an address can be among them.
+_TOKEN = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]++)(?![A-Za-z0-9_])"
+MIXED = re.compile(rf"(?:(?<![0-9][ ])\bplus[ -]\(?|\+)?(?<![A-Za-z0-9_]){_TOKEN}(?:(?:[ ,.()-]{{1,3}}|[ \t]++dot[ \t]++){_TOKEN})*+", re.I)
+MIXED_PART = re.compile(r"[ \t]+dot[ \t]+|plus[ -]|[a-z]+|[ ,.()-]+", re.I)
+_OCTET = rf"{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}"
+MIXED_IP = re.compile(rf"(?<![A-Za-z0-9_]){_OCTET}(?:(?:[ \t]{{1,9}}dot[ \t]{{1,9}}|\.){_OCTET}){{3}}", re.I)
+IP_PART = re.compile(r"dot|\.|[a-z]+|[0-9]+", re.I)
+LETTER = re.compile("[A-Za-z]")
+
 _HOST = r"[A-Za-z0-9-]+"
 WRAPPED = re.compile(r"[ \t]*[(\[{<][ \t]*(at|@|dot|\.)[ \t]*[)\]}>][ \t]*", re.I)
 SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])([ \t]+at[ \t]+){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST})*[ \t]+dot[ \t]+{_HOST}", re.I)
@@ -193,21 +203,73 @@ def later_dots(text: str) -> list[tuple[int, int, str]]:
 CASCADE = (homoglyphs, spelled_digits, signs, later_dots)
 
 
+def mixed_ip(text: str, start: int, end: int) -> Iterator[Span]:
+    """The address that text[start:end], a match of MIXED_IP, says. Digits too many at its ends aren't part of it."""
+    parts: list[list[tuple[int, int, str]]] = [[]]
+    for m in IP_PART.finditer(text, start, end):
+        if m[0].lower() in ("dot", "."):
+            parts.append([])
+        else:
+            parts[-1].append((*m.span(), DIGIT_WORDS.get(m[0].lower(), m[0])))
+
+    def said(part: list[tuple[int, int, str]]) -> str:
+        return "".join(d for _, _, d in part)
+
+    for part, at in ((parts[0], 0), (parts[-1], -1)):
+        while len(part) > 1 and len(list(ips(f"0.0.0.{said(part)}"))) == 0:
+            del part[at]
+    if any(ips(".".join(map(said, parts)))):
+        yield "ip", parts[0][0][0], parts[-1][-1][1]
+
+
+def mixed_spans(text: str) -> Iterator[Span]:
+    """Cards, phones and addresses with some digits or dots spelled out."""
+    for run in MIXED.finditer(text):
+        if len(run[0]) < 8 or not LETTER.search(run[0]):
+            continue
+        edits = []
+        for m in MIXED_PART.finditer(run[0]):
+            word = m[0].lower()
+            put = "." if "dot" in word else "+" if word[0] == "p" else DIGIT_WORDS[word] if word[0].isalpha() else m[0] if m[0] in " .-" or "(" in word or ")" in word else "-"
+            if put != m[0]:
+                edits.append((*m.span(), put))
+        step = Rewrite(run[0], edits)
+        for kind, start, end in (*cards(step.text), *phones(step.text)):
+            a, b = step.back(start, end)
+            if LETTER.search(run[0], a, b):
+                yield kind, run.start() + a, run.start() + b
+        for m in MIXED_IP.finditer(text, *run.span()):
+            for kind, a, b in mixed_ip(text, *m.span()):
+                if LETTER.search(text, a, b):
+                    yield kind, a, b
+
+
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the deobfuscated reading finds, in the source's code points."""
-    seen, steps = text, []
+    seen, steps, found = text, [], []
+
+    def add(spans: Iterator[Span] | list[Span]) -> None:
+        for kind, start, end in spans:
+            for step in reversed(steps):
+                start, end = step.back(start, end)
+            found.append((kind, start, end))
+
     for transducer in CASCADE:
         if edits := transducer(seen):
             steps.append(Rewrite(seen, edits))
             seen = steps[-1].text
-    if not steps:
-        return []
-    out = []
-    for kind, start, end in base_spans(seen):
-        for step in reversed(steps):
-            start, end = step.back(start, end)
-        if not any(k == kind and a <= start and end <= b for k, a, b in base):
-            out.append((kind, start, end))
+        if transducer is homoglyphs:
+            add(mixed_spans(seen))
+    if steps:
+        add(base_spans(seen))
+    out: list[Span] = []
+    ends: dict[str, int] = {}
+    known = set(base)
+    for span in sorted({*base, *found}, key=lambda s: (s[1], -s[2])):  # what lies inside an earlier one of its kind isn't repeated
+        if span[2] > ends.get(span[0], -1):
+            ends[span[0]] = span[2]
+            if span not in known:
+                out.append(span)
     return out
 
 

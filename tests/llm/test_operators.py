@@ -317,6 +317,28 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert source not in pii.redacted(text, spans)
 
 
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("ping one nine two dot one six eight dot one dot one now", "ip", "one nine two dot one six eight dot one dot one"),
+        ("room 12 192 dot one six eight dot 0 dot seven.", "ip", "192 dot one six eight dot 0 dot seven"),
+        ("pay 4111 1111 1111 one one one one today", "card", "4111 1111 1111 one one one one"),
+        ("call plus one 415 five five five two six seven one or", "phone", "plus one 415 five five five two six seven one"),
+        ("call +1 (415) 555 two six seven one or", "phone", "+1 (415) 555 two six seven one"),
+        ("p\u0430y 4111 1111 1111 \u043ene one one one", "card", "4111 1111 1111 \u043ene one one one"),
+    ],
+)
+def test_partly_spelled_numbers_are_found_whole(text, kind, source):
+    start = text.index(source)
+    base, spans = pii.find(text)
+    assert base == [] and spans == [(kind, start, start + len(source))]
+
+
+def test_numbers_in_prose_are_no_findings():
+    for text in ("One. Two. Three. Four.", "2 plus 12345678 makes 5 plus one", "one two three 4 5", "Version one dot two dot three", "chapter 7, one of 12 in 1999, two in 2001", "4111 1111 1111 one one one two", "nine dot nine nine nine dot one dot one"):
+        assert pii.find(text) == ([], []), text
+
+
 def test_prose_stays_as_it_is():
     for text in ("We met at noon. The dot on the map was one of two.", "one two three four", "Look at example.com or dot it", "", None):
         assert pii.find(text) == ([], [])

@@ -11,8 +11,9 @@
 
 All counts cover all rows. They come from partial sums, so a host with a third of all rows costs one row a task.
 
-A row is rejected if it has no letters, if its text is less like any known language than like a uniform mix of trigrams, or if the best
-language's posterior probability is below ``LEAST``.
+Languages without labelled text take no part. A row is rejected if it has no letters, if its text is less like any fitted language than
+like a uniform mix of trigrams, or if the best language's posterior probability is below ``LEAST``. For the second test a language is
+its trigrams' frequencies with a fixed part ``UNSEEN`` of the uniform mix, so an unseen trigram weighs the same for samples of any size.
 
 Defined results: null text is empty and rejected; a null or unknown declaration, or a null or empty host, is no evidence; a
 suffix is what follows the host's last dot (none without a dot). Without a single labelled row all languages are alike and every row is
@@ -36,7 +37,7 @@ from gridlark.llm.near_dup import BROADCAST_IDS, groups
 LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of trigrams, rows of each language that the text model is fitted on, and what is added to each bucket's count.
 BUCKETS, SAMPLE, ADDED = 1 << 15, 4000, 0.5
-TEMPER, LEAST = 0.1, 0.5
+TEMPER, LEAST, UNSEEN = 0.1, 0.5, 0.1
 SMOOTH, DECLARED_WEIGHT, HONEST = 20.0, 20.0, 0.9
 #: Bytes of text handled at once.
 SLICE = 1 << 20
@@ -75,7 +76,10 @@ def suffix_of(host: Column) -> Column:
 
 
 def text_model(labelled: DataFrame) -> np.ndarray:
-    """Log-probabilities by bucket and language; labelled has id, declared and text. Its size depends on the parameters alone."""
+    """Log-probabilities by bucket and language, then by how much more likely than uniform each bucket is there, in logarithms.
+
+    Languages without text have -inf. labelled has id, declared and text. The size depends on the parameters alone.
+    """
     sizes = {r["declared"]: r["n"] for r in labelled.groupBy("declared").agg(F.count("*").alias("n")).collect()}
     picked = reduce(lambda c, l: c.when(F.col("declared") == l, SAMPLE / max(sizes.get(l, 0), 1)), LANGUAGES[1:], F.when(F.col("declared") == LANGUAGES[0], SAMPLE / max(sizes.get(LANGUAGES[0], 0), 1)))
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < picked * 1_000_000)
@@ -93,29 +97,36 @@ def text_model(labelled: DataFrame) -> np.ndarray:
     grouped = sample.select("declared", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
     for r in grouped.collect():  # at most BUCKETS rows a language
         counts[r["bucket"], r["k"]] += r["n"]
-    return np.log(counts / counts.sum(axis=0))
+    seen = counts - ADDED
+    fitted = seen.sum(axis=0) > 0
+    model = np.log(counts / counts.sum(axis=0))
+    if fitted.any():
+        model[:, ~fitted] = -np.inf
+    like = np.log((1 - UNSEEN) * BUCKETS * seen / np.maximum(seen.sum(axis=0), 1) + UNSEEN)
+    like[:, ~fitted] = -np.inf
+    return np.concatenate([model, like], axis=1)
 
 
 def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """rows (whose last column is text) with n_grams and s_<language>, the log-likelihoods, in the text's place."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # BUCKETS x languages
+    """rows (whose last column is text) with n_grams, s_<language>, the log-likelihoods, and likeness, the greatest over uniform, in the text's place."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # BUCKETS x twice the languages
     names = rows.columns[:-1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            sums, sizes = np.zeros((len(texts), len(LANGUAGES))), np.zeros(len(texts), np.int64)
+            sums, sizes = np.zeros((len(texts), 2 * len(LANGUAGES))), np.zeros(len(texts), np.int64)
             for a, b in groups(texts):
                 for i in range(a, b):
                     for found in trigrams(texts[i]):
                         sizes[i] += len(found)
                         sums[i] += weights[found].sum(axis=0, dtype=np.float64)
-            columns = [*batch.columns[:-1], pa.array(sizes), *(pa.array(sums[:, k]) for k in range(len(LANGUAGES)))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_grams", *(f"s_{l}" for l in LANGUAGES)])
+            columns = [*batch.columns[:-1], pa.array(sizes), *(pa.array(sums[:, k]) for k in range(len(LANGUAGES))), pa.array(sums[:, len(LANGUAGES) :].max(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_grams", *(f"s_{l}" for l in LANGUAGES), "likeness"])
 
     kinds = [f"{n} {t}" for n, t in rows.dtypes[:-1]]
-    return rows.mapInArrow(score, ", ".join([*kinds, "n_grams long", *(f"s_{l} double" for l in LANGUAGES)]))
+    return rows.mapInArrow(score, ", ".join([*kinds, "n_grams long", *(f"s_{l} double" for l in LANGUAGES), "likeness double"]))
 
 
 def with_softmax(df: DataFrame, prefix: str) -> DataFrame:
@@ -144,7 +155,7 @@ def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     scored = text_scores(rows, model)
     scored = with_softmax(scored.withColumns({f"t_{l}": TEMPER * F.col(f"s_{l}") for l in LANGUAGES}), "t_")
     posterior = [F.when(F.col("n_grams") > 0, F.exp(F.col(f"t_{l}") - F.col("top")) / F.col("total")).otherwise(0.0).alias(f"p_{l}") for l in LANGUAGES]
-    scored = written(scored.select(*rows.columns[:-1], "n_grams", *[f"s_{l}" for l in LANGUAGES], *posterior), "language-scores")
+    scored = written(scored.select(*rows.columns[:-1], "n_grams", *[f"s_{l}" for l in LANGUAGES], "likeness", *posterior), "language-scores")
 
     def sums(keys: list[str], source: DataFrame, prefix: str) -> DataFrame:
         return source.groupBy(*keys).agg(*[F.sum(f"{prefix}{l}").alias(f"n_{l}") for l in LANGUAGES])
@@ -185,11 +196,10 @@ def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         top = F.greatest(*[F.col(prefix + l) for l in LANGUAGES])
         return reduce(lambda c, l: c.when(F.col(prefix + l) == top, l), LANGUAGES[1:], F.when(F.col(prefix + LANGUAGES[0]) == top, LANGUAGES[0]))
 
-    likely = F.greatest(*[F.col(f"s_{l}") for l in LANGUAGES]) > -float(np.log(BUCKETS)) * F.col("n_grams")
     return final.select(
         F.col("id").alias(id_col), likeliest("f_").alias("language"), (1 / F.col("total")).alias("confidence"),
         F.when(F.col("n_grams") > 0, likeliest("s_")).alias("text_language"),
-        ((F.col("n_grams") > 0) & likely & (1 / F.col("total") >= LEAST)).alias("kept"), *(["key_a", "key_b"] if with_keys else []),
+        ((F.col("n_grams") > 0) & (F.col("likeness") > 0) & (1 / F.col("total") >= LEAST)).alias("kept"), *(["key_a", "key_b"] if with_keys else []),
     )
 
 

@@ -212,6 +212,18 @@ def test_rejected_rows_and_odd_tables(spark):
     assert language.identified(df.limit(0)).count() == 0 and language.kept_rows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("labelled", [["en"], ["de", "en"], ["de", "en", "es"], ["de", "en", "es", "fr"]])
+def test_unlike_texts_are_rejected_whatever_is_labelled(spark, labelled):
+    words = {"en": "the and of that with this was for ", "de": "und der die nicht ein mit auf das ", "es": "los que por para una con del está ", "fr": "les que pour dans une avec est pas "}
+    rng = random.Random(6)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(60))
+    rows = [(10 * i + k, words[l] * 5, l) for i, l in enumerate(labelled) for k in range(5)] + [(90, "русский текст о погоде и реках " * 9, None), (91, "日本語の文章です" * 20, None), (92, noise, None), (93, words["en"] * 3, None)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identified(df).collect()}
+    assert [got[i].kept for i in (90, 91, 92)] == [False] * 3
+    assert got[93].kept and got[93].language == "en" and all(got[10 * i + k].kept for i in range(len(labelled)) for k in range(5))
+
+
 def test_pages_read_markup(spark):
     rows = [(1, "https://X.example.de/a", '<html lang="de-AT"><head><script>var the = 1</script></head><p>Nicht &amp; aulich</p>'), (2, None, None)]
     got = language.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import language, near_dup, packing, pii, vocab
-from gridlark.llm.common import table, written
+from gridlark.llm.common import table
 from gridlark.llm.queries import BYTE_BPE, vocabulary_path
+from gridlark.storage import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

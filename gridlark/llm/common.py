@@ -1,10 +1,7 @@
-"""Helpers shared by the operators: the shared work folder, written tables, ASCII lower-casing."""
+"""Helpers shared by the operators: tables, bounded Arrow batches, names of added columns, ASCII lower-casing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,50 +13,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridlark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy a row. One with fewer splits than the session has cores is dealt over all of them; larger ones stay."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 #: Arrow batches that Python gets: rows, and bytes beyond which a batch ends early. Long texts would make the default batches large.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """The same DataFrame; from now on its session hands rows to Python in batches of a bounded size."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same DataFrame, whose session hands rows to Python in batches of a bounded size.
 
-    This cuts the lineage so that a lost executor costs a reread only, and an expensive stage isn't computed twice.
+    The result is computed later, so the settings have to stay: they are required ones. Smaller values that the session already has are kept.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    conf = df.sparkSession.conf
+    for name, most in BATCH_SETTINGS.items():
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made; only once nothing reads it any more."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unused(df: DataFrame, name: str) -> str:
+    """The name for a column to add: with underscores behind it as long as the input has a column of that name in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(c: Column) -> Column:

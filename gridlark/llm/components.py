@@ -1,39 +1,53 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join, so links, nodes and components stay distributed; a node with very many links is
-pre-aggregated by the minimum and split by the join's skew handling. Every round is a written table.
+Each step is a grouped minimum and a join, so links, nodes and components stay distributed. A node with very many links, such as the
+root of a large component, is pre-aggregated by the minimum, and its links are joined by a broadcast of that one row (``spread_join``).
+Every step is a written table; those of earlier steps are deleted.
+
+Defined results: links with a null end and links of a node with itself are left out; repeated links count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import written
+from gridlark.storage import HOT, drop_written, spread_join, written
+
+
+def _step(links: DataFrame, moving: str, moved: Column) -> DataFrame:
+    """New edges (u, v) from the links (u, v, moving only those that ``moving`` says) and m, the least v of each u among all links."""
+    links = written(links, "links")
+    total = links.count()
+    least = written(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    both = spread_join(links.where(moving), least.select("u", "m"), ["u"], least.where(F.col("n") > total / HOT))
+    edges = written(both.select(F.explode(moved).alias("e")).select("e.*").where("u != v").distinct(), "edges")
+    drop_written(links, least)
+    return edges
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _step(both, "v > u", F.array(F.struct(F.col("v").alias("u"), F.least("m", "u").alias("v"))))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return _step(down, "true", F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node), for every node that has a link; links has the columns a and b."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a != b").distinct(), "edges")
     before = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        if tuple(now) == before or not now[0]:
             break
         before = tuple(now)
+        large = _large_star(edges)
+        drop_written(edges)
+        edges = _small_star(large)
+        drop_written(large)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -1,15 +1,19 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification, components.
 
 1. Every whole text becomes a set of word shingles, a digest of the set and a sketch (``sketch.py``). Equal sets form one
-   class with its smallest doc_id; only classes go on, so copies cost one row each.
+   class with a number of its own; only classes go on, so copies cost one row each.
 2. Bands of the sketch are keys. A class in a bucket with others is compared with the bucket's least class (a star, so a
    bucket of n costs n - 1 pairs), on the full sets of the texts' own words; links give components.
 3. A bucket whose classes lie in several components still holds pairs that nobody compared. Its members outside the bucket's main
-   component are compared with all its members, in blocks of bounded size, by exact counts of common shingles; what
-   comes close to the threshold is verified as before. Then the components are final.
+   component are compared with all its members, in blocks of a bounded number of rows and shingles, by exact counts of common
+   shingles; what may reach the threshold is verified as before. Buckets with equal members are compared once. Then the
+   components are final, and each is named by the least doc_id of its documents.
 
 With ``ROWS`` coordinates a band and ``BANDS`` bands, a pair at the threshold of 0.8 shares no bucket with a probability of
-(1 - 0.8 ** 6) ** 46 = 8e-7; that is the only source of a missed link.
+(1 - 0.8 ** 6) ** 46 = 8e-7. That is the only source of a missed link, as long as no two shingles of a text have the same 64-bit hash.
+
+Pairs, buckets and links of a class with very many of them are dealt over all tasks: by ranges (``verified``), in blocks, or by a
+broadcast of the one row that they meet (``spread_join``).
 
 Defined results: null or word-less texts have an empty set and are linked with nothing. Rows with a null doc_id are linked
 with nothing either, have a null component_id and are kept. Repeated rows give repeated results; rows that share a
@@ -19,7 +23,6 @@ doc_id but not a text are judged each by its own text. An empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import sketch
-from gridlark.llm.common import in_small_batches, written
+from gridlark.llm.common import in_small_batches
 from gridlark.llm.components import components
+from gridlark.storage import HOT, PART, drop_written, partitions, ranged, spread_join, written
 
 ROWS, BANDS = 6, 46
 #: Words in a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
-#: Members, and queries, of a block in step 3.
-BLOCK = 1000
+#: Members, and queries, of a block in step 3, about: so many, or so many shingles.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 21
+#: Pairs of a task that verifies them, and blocks of a task that compares them.
+TASK_PAIRS, TASK_BLOCKS = 20_000, 16
 #: Ids that a join may broadcast (8 MB); beyond that it shuffles.
 BROADCAST_IDS = 1_000_000
 #: Texts that are sketched at once: so many, or so many characters.
@@ -72,10 +78,18 @@ def sketched(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, SKETCHED)
 
 
-def of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is among the (written, distinct) ids: by broadcast if they are few, else by a shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def texts_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of each of the (written) classes: from the row that its doc_id and text_key name. By broadcast if they are few, else by a shuffle."""
+    n = classes.count()
+    wanted = classes.select("id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
+    found = written(rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["_id", "_key"]).select("id", "text"), "texts")
+    if found.count() == n:
+        return found
+    once = written(found.groupBy("id").agg(F.first("text").alias("text")), "texts")  # some of these rows are repeated
+    drop_written(found)
+    return once
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,35 +105,59 @@ def shingle_set(text: str | None, k: int) -> frozenset:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts has id and text."""
+    """The distinct pairs (a, b) whose full sets are similar enough; texts has id and text.
+
+    Tasks take ranges of pairs, so a class with very many partners is dealt over several, and its own text travels once a range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lru_cache(maxsize=8)(lambda t: shingle_set(t, shingle))
+        head: frozenset = frozenset()
         for batch in batches:
             keep = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = sets(s), shingle_set(t, shingle)
-                common = len(x & y)
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            for b, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = shingle_set(text, shingle)
+                if b is None:  # comes before the partners of its class
+                    head = own
+                    keep.append(False)
+                else:
+                    common = len(head & own)
+                    keep.append(common > 0 and 100 * common >= percent * (len(head) + len(own) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    dealt = ranged(pairs, "a", "b", rows_each=TASK_PAIRS)
+    heads = dealt.select(PART, "a").distinct().join(texts.withColumnRenamed("id", "a"), "a").select(PART, "a", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(dealt.join(texts.withColumnRenamed("id", "b"), "b").select(PART, "a", "b", "text"))
+    n = partitions(texts.sparkSession, dealt.count(), TASK_PAIRS)
+    placed = rows.repartition(n, PART).sortWithinPartitions(PART, "a", F.col("b").asc_nulls_first())
+    found = written(placed.select("a", "b", "text").mapInArrow(run, "a long, b long"), "links")
+    drop_written(dealt)
+    return found
+
+
+def spread_buckets(members: DataFrame) -> DataFrame:
+    """Buckets that span several components: bucket, m (members), main (their component with most members), n_blocks, n_chunks.
+
+    Of buckets with equal members one is enough.
+    """
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("y"))).alias("y"))
+    stats = sizes.groupBy("bucket").agg(
+        F.sum("k").alias("m"), F.sum("w").alias("w"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count("*").alias("comps"), F.max(F.struct("k", "comp", "w")).alias("main")
+    )
+    blocks_ = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES))
+    chunks = F.ceil(F.greatest((F.col("m") - F.col("main.k")) / BLOCK, (F.col("w") - F.col("main.w")) / BLOCK_SHINGLES))
+    row = F.struct("bucket", "m", F.col("main.comp").alias("main"), blocks_.alias("n_blocks"), chunks.alias("n_chunks"))
+    return stats.where("comps > 1").groupBy("m", "x", "y").agg(F.min(row).alias("row")).select("row.*")
 
 
-def blocks(members: DataFrame) -> DataFrame:
+def blocks(members: DataFrame, spread: DataFrame) -> DataFrame:
     """Deals buckets that span several components to blocks.
 
-    members: bucket, id, comp. Returns bucket, chunk, block, id, comp, is_query, is_member: within a block every query is to be
+    members: bucket, id, n, comp. Returns bucket, chunk, block, id, comp, is_query, is_member: within a block every query is to be
     compared with every member of another component. Queries are the members outside the bucket's main component, in chunks;
     members are in blocks; each chunk meets each block once.
     """
-    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    stats = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("top"), F.count("*").alias("comps"))
-    spread = stats.where("comps > 1").select("bucket", "main", F.ceil(F.col("m") / BLOCK).alias("n_blocks"), F.ceil((F.col("m") - F.col("top")) / BLOCK).alias("n_chunks"))
-    rows = members.join(spread, "bucket").withColumn("q", F.col("comp") != F.col("main"))
+    hot = spread.where(F.col("m") > members.count() / HOT)
+    rows = spread_join(members, spread.drop("m"), ["bucket"], hot).withColumn("q", F.col("comp") != F.col("main"))
     block, chunk = F.pmod(F.xxhash64("id"), "n_blocks"), F.pmod(F.xxhash64("id", "bucket"), "n_chunks")
 
     def place(c, b, q, m):
@@ -134,25 +172,31 @@ def blocks(members: DataFrame) -> DataFrame:
 
 
 def close_in_block(ids, comps, queries, members, sets, sizes, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a query and a member of another component whose sets, known by 32 bits of each hash, may reach the threshold."""
+    """Pairs of a query and a member of another component whose sets may reach the threshold.
+
+    Sets are known by 32 bits of each hash. Where such bits coincide inside a set it looks smaller than it is (``sizes``), and two sets
+    have at most the lesser of their two differences more in common than is seen.
+    """
     who = np.flatnonzero(members)
+    if not len(who):
+        return []
     flat = np.concatenate([sets[i] for i in who])
     owner = np.repeat(np.arange(len(who)), [len(sets[i]) for i in who])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    hidden = sizes - np.array([len(s) for s in sets])
     out = []
     for q in np.flatnonzero(queries):
         low, high = np.searchsorted(flat, sets[q]), np.searchsorted(flat, sets[q], side="right")
         spans = high - low
         hits = np.repeat(low - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
-        common = np.bincount(owner[hits], minlength=len(who))
-        common = common + 2 + (sizes[q] * sizes[q] >> 32)  # hashes of one set may have fallen together
+        common = np.bincount(owner[hits], minlength=len(who)) + np.minimum(hidden[q], hidden[who])
         near = (100 * common >= percent * (sizes[q] + sizes[who] - common)) & (comps[who] != comps[q])
         out += [(min(ids[q], ids[who[j]]), max(ids[q], ids[who[j]])) for j in np.flatnonzero(near)]
     return out
 
 
-def close_pairs(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def close_pairs(dealt: DataFrame, n_blocks: int, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) from all blocks that may reach the threshold."""
     where = ["bucket", "chunk", "block"]
 
@@ -185,54 +229,73 @@ def close_pairs(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int)
             yield flush()
 
     sets = written(texts.select("id", "text").mapInArrow(to_sets, "id long, grams binary, n long"), "sets")
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(dealt.sparkSession, n_blocks, TASK_BLOCKS)
     rows = dealt.join(sets, "id").select(*where, "id", "comp", "is_query", "is_member", "grams", "n")
     sorted_ = rows.repartition(n, *where).sortWithinPartitions(*where)
-    return sorted_.mapInArrow(compare, "a long, b long").distinct()
+    found = written(sorted_.mapInArrow(compare, "a long, b long").distinct(), "close")
+    drop_written(sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of its component), kept (it is that document), and text_key if asked for."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of its component), kept (it is that document).
+
+    If asked for, also text_key and comp, a number of the component (null for rows that are linked with nothing by definition).
+    """
+    digest = ["hi", "lo", "n_shingles"]
     rows = written(sketched(in_small_batches(docs), shingle, id_col, text_col), "sketches")
-    named = rows.where("doc_id IS NOT NULL")
-    classes = named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    keyed = classes.where("n_shingles > 0").select("id", F.explode("bands").alias("bucket"))
-    centres = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("bucket", "centre")
-    shared = written(keyed.join(centres, "bucket"), "buckets")
-
-    involved = written(shared.select(F.col("id").alias(id_col)).distinct(), "involved")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    texts = written(of_ids(texts, involved, id_col).select(F.col(id_col).alias("id"), "text"), "texts")
-    sizes = classes.select("id", F.col("n_shingles").alias("n"))
-
-    stars = shared.where("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    sized = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    likely = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    links = written(verified(likely, texts, shingle, percent), "links")
+    named = rows.where("doc_id IS NOT NULL").groupBy(*digest).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = written(named.select(F.monotonically_increasing_id().alias("id"), *digest, "first.*", "copies", "bands"), "classes")
+    keyed = classes.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    centres = keyed.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    centres = written(centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"), "m"), "centres")
+    hot = centres.where(F.col("m") > F.lit(classes.count() * BANDS / HOT))
+    shared = written(spread_join(keyed, centres.drop("m"), ["bucket"], hot), "buckets")
+
+    involved = written(shared.select("id").distinct(), "involved")
+    texts = texts_of(docs, written(classes.select("id", "doc_id", "text_key").join(involved, "id", "left_semi"), "involved"), id_col, text_col)
+
+    likely = shared.where("id > centre").where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
+    links = verified(likely.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts, shingle, percent)
     first = components(links)
 
-    comps = shared.select("bucket", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
-    members = written(comps.select("bucket", "id", F.coalesce("component", "id").alias("comp")), "members")
-    more = verified(close_pairs(blocks(members), texts, shingle, percent), texts, shingle, percent)
-    last = components(links.unionByName(more))
-
-    of_class = classes.select("hi", "lo", "n_shingles", "id").join(last.withColumnRenamed("node", "id"), "id", "left")
-    of_class = of_class.select("hi", "lo", "n_shingles", F.coalesce("component", "id").alias("of_class"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("of_class"))
+    members = shared.select("bucket", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left")
+    members = written(members.select("bucket", "id", "n", F.coalesce("component", "id").alias("comp")), "members")
+    spread = written(spread_buckets(members), "spread")
+    n_blocks = spread.agg(F.sum(F.col("n_blocks") * F.col("n_chunks"))).first()[0] or 0
+    last = first
+    if n_blocks:
+        more = verified(close_pairs(blocks(members, spread), n_blocks, texts, shingle, percent), texts, shingle, percent)
+        if not more.isEmpty():
+            last = components(links.unionByName(more))
+    drop_written(centres, shared, involved, texts, members, spread)
+
+    numbered = last.withColumnRenamed("node", "id").join(classes.select("id", "doc_id"), "id")
+    least = written(numbered.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")), "component-names")
+    linked = spread_join(numbered.select("id", "component"), least.drop("k"), ["component"], least.where(F.col("k") > last.count() / HOT))
+    of_class = classes.select(*digest, "id", "doc_id", "copies").join(linked, "id", "left")
+    of_class = of_class.select(*digest, "copies", F.coalesce("component", "id").alias("comp"), F.coalesce("component_id", "doc_id").alias("of_class"))
+    of_class = written(of_class, "components")
+    plain = rows.select("doc_id", "text_key", *digest)
+    out = spread_join(plain, of_class.drop("copies"), digest, of_class.where(F.col("copies") > rows.count() / HOT), "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("of_class")).alias("component_id"), "text_key", F.when(~alone, F.col("comp")).alias("comp"))
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *(["text_key"] if with_key else []))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *(["text_key", "comp"] if with_key else []))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each component keeps one: that of its least doc_id.
 
-    Rows that are equal in id and text count as copies too. Rows without words or without an id all stay.
+    Rows that are equal in id and text count as copies too; of several texts of a component under its least doc_id, that with the least
+    hash stays. Rows without words or without an id all stay.
     """
     found = near_duplicates(docs, shingle, percent, id_col, text_col, with_key=True)
-    judged = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
-    marked = written(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "kept"), "marked")
+    judged = written(found.where("comp IS NOT NULL").groupBy("comp", "doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "judged")
+    several = judged.where("kept").groupBy("comp").agg(F.min("text_key").alias("first_key"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    kept = judged.where("kept").join(several, "comp", "left").withColumn("kept", F.col("first_key").isNull() | (F.col("first_key") == F.col("text_key"))).drop("first_key")
+    marked = kept.unionByName(judged.where("NOT kept")).where("NOT kept OR n > 1")
+    marked = written(marked.select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "kept"), "marked")
     few, copies = marked.count() <= BROADCAST_IDS, marked.where("kept").count()
     marked = F.broadcast(marked) if few else marked
     on = (F.col(f"`{id_col}`").cast("long") == marked["marked_id"]) & (F.xxhash64(F.col(f"`{text_col}`")) == marked["marked_key"])

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm import vocab
-from gridlark.llm.common import in_small_batches, new_path, written
+from gridlark.llm.common import in_small_batches
+from gridlark.storage import new_path, written
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])

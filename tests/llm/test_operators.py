@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat_format, language, media, near_dup, neighbours, pieces, pii, queries, url_filter
+from gridlark.llm import chat_format, components, language, media, near_dup, neighbours, pieces, pii, queries, url_filter
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "key_a string, rank int, hi long"
@@ -275,6 +275,74 @@ def test_components_are_those_of_all_pairs(spark, k, percent):
     assert all(r.kept == (i == r.component_id) and r.n_shingles == len(near_dup.shingle_set(dict(rows)[i], k)) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [1, 7, 30])
+def test_blocks_of_any_size_lose_nothing(spark, monkeypatch, block):
+    """Also without the links of the stars, so that every pair has to come from the blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = near_rows(96)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute_components(rows, 5, 80)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == wanted
+    if block == 7:
+        monkeypatch.setattr(near_dup, "components", lambda links: components.components(links.limit(0) if len(made) == 0 and not made.append(1) else links))
+        made = []
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == wanted
+        monkeypatch.undo()
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 50)
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == wanted
+
+
+def test_a_block_without_members_has_no_pairs():
+    none = near_dup.close_in_block([4], np.array([4]), np.array([True]), np.array([False]), [np.array([1], np.uint32)], np.array([1]), 80)
+    assert none == []
+
+
+def test_coinciding_hash_bits_hide_no_link():
+    """Sets of 10, of which 9 are common, but the bits of two common ones coincide and so are seen once."""
+    sets = [np.arange(1, 10, dtype=np.uint32), np.arange(2, 11, dtype=np.uint32)]
+    found = near_dup.close_in_block([1, 2], np.array([1, 2]), np.array([True, True]), np.array([True, True]), sets, np.array([10, 10]), 80)
+    assert set(found) == {(1, 2)}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    near = [(5, "a b c d e f g h i j k"), (5, "zz yy xx ww vv uu tt ss"), (3, "a b c d e f g h i j k l"), (3, "A b c d e f g h i j k l"), (3, "a b c d e f g h i j k l"), (7, "zz yy xx ww vv uu tt ss")]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(3, 11, 3, True)] * 3 + [(5, 7, 5, True), (5, 10, 3, False), (7, 7, 5, False)]
+    kept = near_dup.deduplicated(df, 2).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 5] and [r.text for r in kept if r.doc_id == 5] == [near[1][1]]
+
+
+def brute_rows(rows, k, percent):
+    """Component and kept of each row, where rows may share an id: components are those of rows."""
+    alone = [(n, t) for n, (i, t) in enumerate(rows) if i is not None]
+    least = {}
+    comps = brute_components(alone, k, percent)
+    for n, c in comps.items():
+        least[c] = min(least.get(c, rows[n][0]), rows[n][0])
+    return sorted((rows[n][0], least[c]) if near_dup.shingle_set(rows[n][1], k) else (rows[n][0], rows[n][0]) for n, c in comps.items())
+
+
+def test_shared_ids_repeated_rows_and_long_texts(spark):
+    rng = random.Random(11)
+    rows = [(rng.randint(0, 25), t) for _, t in near_rows(72)]
+    long = " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randint(0, 9999)) for _ in range(60_000))
+    rows += rows[:20] + [(30, long), (31, long + " tail"), (32, long[: len(long) // 2])]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == brute_rows(rows, 5, 80)
+    kept = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sized = [r for r in kept if near_dup.shingle_set(r.text, 5)]
+    sets = [near_dup.shingle_set(r.text, 5) for r in sized]
+    assert all(100 * len(a & b) < 80 * len(a | b) for n, a in enumerate(sets) for b in sets[:n])
+
+
+def test_components_of_a_star_a_chain_and_odd_links(spark):
+    links = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(2000, 2040)] + [(5000, 5000), (None, 1), (2040, 2039), (7000, 7001), (7001, 7000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(900)} | {i: 2000 for i in range(2000, 2041)} | {7000: 7000, 7001: 7000}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_document_of_each_group_stays(spark):
     text = "a b c d e f g h i j"
     rows = [(5, text, 1), (3, text, 2), (3, text, 3), (None, text, 4), (7, "other words are here today again", 5), (8, None, 6), (8, None, 6), (9, "", 7)]

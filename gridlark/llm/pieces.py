@@ -15,8 +15,8 @@ characters without a piece become the pieces of their UTF-8 bytes. Decoding undo
 space, as with the library.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null list of ids decodes to null. Strings that
-look like control or byte pieces are ordinary text. Repeated rows give repeated results; all input columns are kept and the
-column to add is named by the caller.
+look like control or byte pieces are ordinary text. Repeated rows give repeated results; an empty table gives none. All input columns are
+kept; the column to add is named by the caller, with underscores behind it while the input has such a column (``common.unused``).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import in_small_batches
+from gridlark.llm.common import in_small_batches, unused
 
 BPE, UNIGRAM = "bpe", "unigram"
 SPACE = "▁"
@@ -205,7 +205,7 @@ def with_ids(df: DataFrame, model: str, kind: str = BPE, text_col: str = "text",
         for texts in batches:
             yield pd.Series([vocabulary.encode(t) for t in texts], dtype=object)
 
-    return in_small_batches(df).withColumn(to, encoded(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(unused(df, to), encoded(F.col(f"`{text_col}`")))
 
 
 def with_text(df: DataFrame, model: str, kind: str = BPE, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -217,4 +217,4 @@ def with_text(df: DataFrame, model: str, kind: str = BPE, ids_col: str = "ids",
         for column in batches:
             yield pd.Series([vocabulary.decode(x) for x in column], dtype=object)
 
-    return in_small_batches(df).withColumn(to, decoded(F.col(f"`{ids_col}`")))
+    return in_small_batches(df).withColumn(unused(df, to), decoded(F.col(f"`{ids_col}`")))

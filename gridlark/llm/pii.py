@@ -12,8 +12,11 @@ A bare `` at `` counts as a disguise only in ``name at host dot tld``. The casca
 only; shorter ones, and those mixed with groups of digits, spoken dots and brackets, are candidates on their own (``mixed_spans``): a span
 is added only where the finder of cards, phones or addresses accepts what such a run says, so prose stays as it is.
 
-Defined results: null text is empty, without spans. Repeated rows give repeated results. All input columns are kept;
-findings come in one struct whose name the caller picks.
+Every pattern and scan takes time in proportion to the text, whatever runs of blanks, dots, digits or signs it holds.
+
+Defined results: null text is empty, without spans. Repeated rows give repeated results; an empty table gives none. All input columns
+are kept; findings come in one struct under the caller's name, behind which underscores come while the input has such a column
+(``common.unused``). ``with_redaction`` replaces a column that exists, if the caller names it.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import in_small_batches
+from gridlark.llm.common import in_small_batches, unused
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -150,7 +153,7 @@ IP_PART = re.compile(r"dot|\.|[a-z]+|[0-9]+", re.I)
 LETTER = re.compile("[A-Za-z]")
 
 _HOST = r"[A-Za-z0-9-]+"
-WRAPPED = re.compile(r"[ \t]*[(\[{<][ \t]*(at|@|dot|\.)[ \t]*[)\]}>][ \t]*", re.I)
+WRAPPED = re.compile(r"[(\[{<][ \t]*+(at|@|dot|\.)[ \t]*+[)\]}>][ \t]*+", re.I)
 SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])([ \t]+at[ \t]+){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST})*[ \t]+dot[ \t]+{_HOST}", re.I)
 DOTS = re.compile(r"[ \t]+dot[ \t]+", re.I)
 DOT_AFTER = re.compile(rf"(?<=@)({_HOST})((?:[ \t]+dot[ \t]+{_HOST})+)", re.I)
@@ -182,7 +185,12 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def signs(text: str) -> list[tuple[int, int, str]]:
-    found = [(*m.span(), "@" if m[1].lower() in ("at", "@") else ".") for m in WRAPPED.finditer(text)]
+    found: list[tuple[int, int, str]] = []
+    for m in WRAPPED.finditer(text):
+        start, least = m.start(), found[-1][1] if found else 0
+        while start > least and text[start - 1] in " \t":  # blanks before the bracket; from the bracket back, so that each is met once
+            start -= 1
+        found.append((start, m.end(), "@" if m[1].lower() in ("at", "@") else "."))
     for m in SPOKEN.finditer(text):
         found.append((*m.span(1), "@"))
         found += [(*d.span(), ".") for d in DOTS.finditer(text, m.end(1), m.end())]
@@ -300,7 +308,7 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 
 def with_findings(df: DataFrame, text_col: str = "text", to: str = "pii") -> DataFrame:
-    """Adds a struct: base counts by kind, digest of the base spans, and all spans as ``kind:start:end`` joined by commas."""
+    """Adds a struct (named as ``unused`` says): base counts by kind, digest of the base spans, and all spans as ``kind:start:end`` joined by commas."""
 
     @F.pandas_udf(FOUND)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -312,7 +320,7 @@ def with_findings(df: DataFrame, text_col: str = "text", to: str = "pii") -> Dat
                 rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    return in_small_batches(df).withColumn(to, found(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(unused(df, to), found(F.col(f"`{text_col}`")))
 
 
 def with_redaction(df: DataFrame, text_col: str = "text", to: str = "text") -> DataFrame:

@@ -2,27 +2,34 @@
 
 * *Text*: a naive Bayes model over hashed byte trigrams inside words, fitted on a bounded sample of rows that declare their
   language (``SAMPLE`` rows a language, picked by a hash of their id). Neighbouring trigrams aren't independent, so the
-  log-likelihood is tempered by ``TEMPER``.
+  log-likelihood is tempered by ``TEMPER``. The languages are those that rows declare: the ``MOST`` most frequent ones.
 * *Declared language* (a markup attribute or a column): how often each declaration meets each language, from a grouped
   aggregation over all rows, smoothed with ``DECLARED_WEIGHT`` rows of honest declarations.
 * *Address suffix* and *host*: the mean language mix of all other rows of the host, smoothed towards that of its suffix, smoothed towards
   that of the whole table, each with ``SMOOTH`` rows' weight; country suffixes start from ``SUFFIX_LANGUAGE``. The row itself
   is left out of its host's counts, so it isn't its own evidence.
 
-All counts cover all rows. They come from partial sums, so a host with a third of all rows costs one row a task.
+All counts cover all rows. They come from partial sums, so a host with a third of all rows costs one row a task, and its counts reach
+its rows by a broadcast (``spread_join``).
 
 Languages without labelled text take no part. A row is rejected if it has no letters, if its text is less like any fitted language than
 like a uniform mix of trigrams, or if the best language's posterior probability is below ``LEAST``. For the second test a language is
 its trigrams' frequencies with a fixed part ``UNSEEN`` of the uniform mix, so an unseen trigram weighs the same for samples of any size.
+A row that declares a language beyond the ``MOST`` is taken at its word if it has letters: nothing here could judge it.
 
-Defined results: null text is empty and rejected; a null or unknown declaration, or a null or empty host, is no evidence; a
-suffix is what follows the host's last dot (none without a dot). Without a single labelled row all languages are alike and every row is
+A declaration is a tag whose primary part has two or three letters, such as ``en`` or ``EN-us``, but for those that mean none
+(``NO_LANGUAGE``). Letters are ASCII letters, and letters and combining marks of all other scripts.
+
+Defined results: null text is empty and rejected; a null or malformed declaration, or a null or empty host, is no evidence; a
+suffix is what follows the host's last dot (none without a dot). Without a single labelled row the language is ``und`` and every row is
 rejected. Repeated rows give repeated results. An empty table gives none. ``identified`` returns the id column and its own columns only;
 ``kept_rows`` returns the rows of its input with all their columns.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,11 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import ascii_lower, in_small_batches
-from gridlark.llm.near_dup import BROADCAST_IDS, groups
-from gridlark.storage import written
+from gridlark.llm.common import ascii_lower, in_small_batches, unused
+from gridlark.llm.near_dup import BROADCAST_IDS
+from gridlark.storage import HOT, spread_join, written
 
-LANGUAGES = ("de", "en", "es", "fr")
+#: Languages that are told apart at most, and what a table without labels has.
+MOST, UNDETERMINED = 32, "und"
+#: Codes of declarations that name no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 #: Buckets of trigrams, rows of each language that the text model is fitted on, and what is added to each bucket's count.
 BUCKETS, SAMPLE, ADDED = 1 << 15, 4000, 0.5
 TEMPER, LEAST, UNSEEN = 0.1, 0.5, 0.1
@@ -43,7 +53,11 @@ SMOOTH, DECLARED_WEIGHT, HONEST = 20.0, 20.0, 0.9
 #: Bytes of text handled at once.
 SLICE = 1 << 20
 #: Languages that country suffixes stand for.
-SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
+SUFFIX_LANGUAGE = {
+    "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en",
+    "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "jp": "ja", "cn": "zh", "kr": "ko",
+    "tr": "tr", "gr": "el", "cz": "cs", "hu": "hu", "ro": "ro", "ua": "uk", "ir": "fa", "vn": "vi", "th": "th", "il": "he", "bg": "bg", "sk": "sk",
+}
 
 
 def _is_letter() -> np.ndarray:
@@ -55,9 +69,20 @@ def _is_letter() -> np.ndarray:
 LETTER = _is_letter()
 
 
+#: Characters beyond ASCII that aren't letters, but for combining marks.
+OTHER = re.compile(r"[^\x00-\x7f\w]|\d(?<=[^\x00-\x7f])")
+
+
+def lettered(text: str) -> str:
+    """The text in lower case, with a space for each character beyond ASCII that belongs to no word."""
+    if not text.isascii():
+        text = OTHER.sub(lambda m: m[0] if unicodedata.category(m[0])[0] == "M" else " ", text)
+    return text.lower()
+
+
 def trigrams(text: str | None) -> Iterator[np.ndarray]:
     """Buckets of the byte trigrams around each letter, in slices; what isn't a letter counts as a space."""
-    raw = np.frombuffer(b"  " + (text or "").lower().encode("utf-8", "surrogatepass") + b"  ", np.uint8)
+    raw = np.frombuffer(b"  " + lettered(text or "").encode("utf-8", "surrogatepass") + b"  ", np.uint8)
     for start in range(1, len(raw) - 1, SLICE):
         part = raw[start - 1 : start + SLICE + 1]
         letter = LETTER[part]
@@ -66,40 +91,45 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
         yield ((x[at] * np.uint32(0x9E3779B1) + x[at + 1] * np.uint32(0x85EBCA77) + x[at + 2] * np.uint32(0xC2B2AE3D)) >> np.uint32(17)) & np.uint32(BUCKETS - 1)
 
 
-def declared_of(tag: Column) -> Column:
-    """The language of a declaration such as ``en`` or ``EN-us``; null if it isn't a known one."""
-    primary = F.regexp_extract(ascii_lower(F.trim(tag)), "^([a-z]+)(?:[-_].*)?$", 1)
-    return F.when(primary.isin(*LANGUAGES), primary)
+def stated_of(tag: Column) -> Column:
+    """The language of a declaration such as ``en`` or ``EN-us``; null if it names none."""
+    primary = F.regexp_extract(ascii_lower(F.trim(tag)), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when((primary != "") & ~primary.isin(*NO_LANGUAGE), primary)
 
 
 def suffix_of(host: Column) -> Column:
     return F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -1))
 
 
-def text_model(labelled: DataFrame) -> np.ndarray:
+def languages_of(stated: DataFrame) -> dict[str, int]:
+    """The ``MOST`` most frequent languages that rows state, in order of name, with their numbers of rows. There are at most 26^2 + 26^3 codes."""
+    counts = {r["stated"]: r["n"] for r in stated.where("stated IS NOT NULL").groupBy("stated").agg(F.count("*").alias("n")).collect()}
+    return {l: counts[l] for l in sorted(sorted(counts, key=lambda l: (-counts[l], l))[:MOST])} or {UNDETERMINED: 0}
+
+
+def text_model(labelled: DataFrame, sizes: dict[str, int]) -> np.ndarray:
     """Log-probabilities by bucket and language, then by how much more likely than uniform each bucket is there, in logarithms.
 
-    Languages without text have -inf. labelled has id, declared and text. The size depends on the parameters alone.
+    Languages without text have -inf. labelled has id, declared and text; sizes has its rows by language. The result's size depends on
+    the parameters alone.
     """
-    sizes = {r["declared"]: r["n"] for r in labelled.groupBy("declared").agg(F.count("*").alias("n")).collect()}
-    picked = reduce(lambda c, l: c.when(F.col("declared") == l, SAMPLE / max(sizes.get(l, 0), 1)), LANGUAGES[1:], F.when(F.col("declared") == LANGUAGES[0], SAMPLE / max(sizes.get(LANGUAGES[0], 0), 1)))
+    names = list(sizes)
+    picked = reduce(lambda c, l: c.when(F.col("declared") == l, SAMPLE / max(sizes[l], 1)), names[1:], F.when(F.col("declared") == names[0], SAMPLE / max(sizes[names[0]], 1)))
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < picked * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        total = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
             for declared, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for found in trigrams(text):
-                    total[LANGUAGES.index(declared)] += np.bincount(found, minlength=BUCKETS)
+                    total[names.index(declared)] += np.bincount(found, minlength=BUCKETS)
         k, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": total[k, bucket]})
 
-    counts = np.full((BUCKETS, len(LANGUAGES)), ADDED)
-    grouped = sample.select("declared", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
-    for r in grouped.collect():  # at most BUCKETS rows a language
-        counts[r["bucket"], r["k"]] += r["n"]
-    seen = counts - ADDED
-    fitted = seen.sum(axis=0) > 0
+    grouped = sample.select("declared", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
+    seen = np.zeros((BUCKETS, len(names)))
+    seen[grouped["bucket"].to_numpy(), grouped["k"].to_numpy()] = grouped["n"].to_numpy()
+    counts, fitted = seen + ADDED, seen.sum(axis=0) > 0
     model = np.log(counts / counts.sum(axis=0))
     if fitted.any():
         model[:, ~fitted] = -np.inf
@@ -108,35 +138,38 @@ def text_model(labelled: DataFrame) -> np.ndarray:
     return np.concatenate([model, like], axis=1)
 
 
-def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
+def text_scores(rows: DataFrame, model: np.ndarray, names: list[str]) -> DataFrame:
     """rows (whose last column is text) with n_grams, s_<language>, the log-likelihoods, and likeness, the greatest over uniform, in the text's place."""
     shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # BUCKETS x twice the languages
-    names = rows.columns[:-1]
+    others, n = rows.columns[:-1], len(names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            sums, sizes = np.zeros((len(texts), 2 * len(LANGUAGES))), np.zeros(len(texts), np.int64)
-            for a, b in groups(texts):
-                for i in range(a, b):
-                    for found in trigrams(texts[i]):
-                        sizes[i] += len(found)
-                        sums[i] += weights[found].sum(axis=0, dtype=np.float64)
-            columns = [*batch.columns[:-1], pa.array(sizes), *(pa.array(sums[:, k]) for k in range(len(LANGUAGES))), pa.array(sums[:, len(LANGUAGES) :].max(axis=1))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_grams", *(f"s_{l}" for l in LANGUAGES), "likeness"])
+            sums, sizes = np.zeros((len(texts), 2 * n)), np.zeros(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                for found in trigrams(text):
+                    sizes[i] += len(found)
+                    sums[i] += weights[found].sum(axis=0, dtype=np.float64)
+            columns = [*batch.columns[:-1], pa.array(sizes), *(pa.array(sums[:, k]) for k in range(n)), pa.array(sums[:, n:].max(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "n_grams", *(f"s_{l}" for l in names), "likeness"])
+
+    kinds = [f"{c} {t}" for c, t in rows.dtypes[:-1]]
+    return rows.mapInArrow(score, ", ".join([*kinds, "n_grams long", *(f"s_{l} double" for l in names), "likeness double"]))
 
-    kinds = [f"{n} {t}" for n, t in rows.dtypes[:-1]]
-    return rows.mapInArrow(score, ", ".join([*kinds, "n_grams long", *(f"s_{l} double" for l in LANGUAGES), "likeness double"]))
 
+def _greatest(columns: list[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
 
-def with_softmax(df: DataFrame, prefix: str) -> DataFrame:
+
+def with_softmax(df: DataFrame, prefix: str, names: list[str]) -> DataFrame:
     """Adds top, the greatest of the columns prefix + language, and total, the sum of their exponentials relative to it.
 
     The greatest probability is then 1 / total. Step by step, since later columns refer to earlier ones many times.
     """
-    topped = df.withColumn("top", F.greatest(*[F.col(prefix + l) for l in LANGUAGES]))
-    return topped.withColumn("total", reduce(lambda a, b: a + b, [F.exp(F.col(prefix + l) - F.col("top")) for l in LANGUAGES]))
+    topped = df.withColumn("top", _greatest([F.col(prefix + l) for l in names]))
+    return topped.withColumn("total", reduce(lambda a, b: a + b, [F.exp(F.col(prefix + l) - F.col("top")) for l in names]))
 
 
 def keys_of(text: Column, declared: Column, host: Column) -> list[Column]:
@@ -145,75 +178,90 @@ def keys_of(text: Column, declared: Column, host: Column) -> list[Column]:
 
 
 def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", with_keys: bool = False) -> DataFrame:
-    """id, language (the likeliest), confidence (its posterior probability), text_language (by the text alone), kept."""
+    """id, language (the likeliest), confidence (its posterior probability), text_language (by the text alone), kept.
+
+    A row that is taken at its word has a null confidence and text_language.
+    """
     none = F.lit(None).cast("string")
     tag = F.col(f"`{declared_col}`").cast("string") if declared_col else none
     host = F.col(f"`{host_col}`").cast("string") if host_col else none
     text = F.col(f"`{text_col}`")
-    rows = in_small_batches(df).select(F.col(f"`{id_col}`").alias("id"), *keys_of(text, tag, host), declared_of(tag).alias("declared"), F.when(host != "", host).alias("host"), text.alias("text"))
+    sizes = languages_of(df.select(stated_of(tag).alias("stated")))
+    names = list(sizes)
+    declared = F.when(F.col("stated").isin(*names), F.col("stated"))
+    rows = in_small_batches(df).select(F.col(f"`{id_col}`").alias("id"), *keys_of(text, tag, host), stated_of(tag).alias("stated"), F.when(host != "", host).alias("host"), text.alias("text"))
 
-    model = text_model(rows.where(F.col("declared").isNotNull()).select("id", "declared", "text"))
-    scored = text_scores(rows, model)
-    scored = with_softmax(scored.withColumns({f"t_{l}": TEMPER * F.col(f"s_{l}") for l in LANGUAGES}), "t_")
-    posterior = [F.when(F.col("n_grams") > 0, F.exp(F.col(f"t_{l}") - F.col("top")) / F.col("total")).otherwise(0.0).alias(f"p_{l}") for l in LANGUAGES]
-    scored = written(scored.select(*rows.columns[:-1], "n_grams", *[f"s_{l}" for l in LANGUAGES], "likeness", *posterior), "language-scores")
+    model = text_model(rows.select("id", declared.alias("declared"), "text").where("declared IS NOT NULL"), sizes)
+    scored = text_scores(rows, model, names)
+    scored = with_softmax(scored.withColumns({f"t_{l}": TEMPER * F.col(f"s_{l}") for l in names}), "t_", names)
+    posterior = [F.when(F.col("n_grams") > 0, F.exp(F.col(f"t_{l}") - F.col("top")) / F.col("total")).otherwise(0.0).alias(f"p_{l}") for l in names]
+    scored = written(scored.select(*rows.columns[:-1], "n_grams", *[f"s_{l}" for l in names], "likeness", *posterior), "language-scores")
 
     def sums(keys: list[str], source: DataFrame, prefix: str) -> DataFrame:
-        return source.groupBy(*keys).agg(*[F.sum(f"{prefix}{l}").alias(f"n_{l}") for l in LANGUAGES])
+        return source.groupBy(*keys).agg(*[F.sum(f"{prefix}{l}").alias(f"n_{l}") for l in names], F.count("*").alias("n_rows"))
 
     # One row a host, then one a suffix, then one.
     hosts = written(sums(["host"], scored, "p_"), "language-hosts").withColumn("suffix", suffix_of(F.col("host")))
     whole = sums([], hosts, "n_").first()
-    overall = {l: (float(whole[f"n_{l}"] or 0) + 1) for l in LANGUAGES}
+    overall = {l: (float(whole[f"n_{l}"] or 0) + 1) for l in names}
     base = {l: n / sum(overall.values()) for l, n in overall.items()}
 
     def smoothed(counts: dict[str, Column], above: dict[str, Column]) -> dict[str, Column]:
         total = reduce(lambda a, b: a + b, counts.values())
-        return {l: (counts[l] + SMOOTH * above[l]) / (total + SMOOTH) for l in LANGUAGES}
+        return {l: (counts[l] + SMOOTH * above[l]) / (total + SMOOTH) for l in names}
 
-    country = {l: F.when(F.col("suffix").isin(*[s for s, x in SUFFIX_LANGUAGE.items() if x == l]), SMOOTH).otherwise(0.0) for l in LANGUAGES}
+    country = {l: F.when(F.col("suffix").isin(*[s for s, x in SUFFIX_LANGUAGE.items() if x == l]), SMOOTH).otherwise(0.0) for l in names}
     suffixes = sums(["suffix"], hosts.where("suffix IS NOT NULL"), "n_")
-    start = smoothed({l: F.col(f"n_{l}") + country[l] for l in LANGUAGES}, {l: F.lit(base[l]) for l in LANGUAGES})
-    suffixes = suffixes.select("suffix", *[c.alias(f"u_{l}") for l, c in start.items()])
-    of_host = hosts.where("host IS NOT NULL").join(suffixes, "suffix", "left").select("host", *[f"n_{l}" for l in LANGUAGES], *[F.coalesce(f"u_{l}", F.lit(base[l])).alias(f"u_{l}") for l in LANGUAGES])
+    start = smoothed({l: F.col(f"n_{l}") + country[l] for l in names}, {l: F.lit(base[l]) for l in names})
+    suffixes = written(suffixes.select("suffix", "n_rows", *[c.alias(f"u_{l}") for l, c in start.items()]), "language-suffixes")
+    named = hosts.where("host IS NOT NULL").withColumnRenamed("n_rows", "n_host")
+    of_host = spread_join(named, suffixes.drop("n_rows"), ["suffix"], suffixes.where(F.col("n_rows") > hosts.count() / HOT), "left")
+    of_host = of_host.select("host", "n_host", *[f"n_{l}" for l in names], *[F.coalesce(f"u_{l}", F.lit(base[l])).alias(f"u_{l}") for l in names])
 
     # One row a known declaration: what it says of each language.
-    met = {r["declared"]: r for r in sums(["declared"], scored.where("declared IS NOT NULL"), "p_").collect()}
-    joint = {d: {l: (met[d][f"n_{l}"] if d in met else 0.0) + DECLARED_WEIGHT * (HONEST if d == l else (1 - HONEST) / (len(LANGUAGES) - 1)) for l in LANGUAGES} for d in LANGUAGES}
+    met = {r["stated"]: r for r in sums(["stated"], scored.where(F.col("stated").isin(*names)), "p_").collect()}
+    joint = {d: {l: (met[d][f"n_{l}"] if d in met else 0.0) + DECLARED_WEIGHT * (HONEST if d == l else (1 - HONEST) / (len(names) - 1)) for l in names} for d in names}
 
     def said(l: str) -> Column:
-        out = F.when(F.col("declared").isNull(), 0.0)
-        for d in LANGUAGES:
-            out = out.when(F.col("declared") == d, float(np.log(joint[d][l] / sum(joint[x][l] for x in LANGUAGES))))
-        return out
+        out = F.when(F.col("stated").isNull(), 0.0)
+        for d in names:
+            out = out.when(F.col("stated") == d, float(np.log(joint[d][l] / sum(joint[x][l] for x in names))))
+        return out.otherwise(0.0)
 
-    joined = scored.join(of_host, "host", "left")
-    others = {l: F.greatest(F.col(f"n_{l}") - F.col(f"p_{l}"), F.lit(0.0)) for l in LANGUAGES}
-    prior = {l: F.coalesce(c, F.lit(base[l])) for l, c in smoothed(others, {l: F.col(f"u_{l}") for l in LANGUAGES}).items()}
-    final = with_softmax(joined.withColumns({f"f_{l}": TEMPER * F.col(f"s_{l}") + F.log(prior[l]) + said(l) for l in LANGUAGES}), "f_")
+    joined = spread_join(scored, of_host.drop("n_host"), ["host"], of_host.where(F.col("n_host") > scored.count() / HOT), "left")
+    others = {l: F.greatest(F.col(f"n_{l}") - F.col(f"p_{l}"), F.lit(0.0)) for l in names}
+    prior = {l: F.coalesce(c, F.lit(base[l])) for l, c in smoothed(others, {l: F.col(f"u_{l}") for l in names}).items()}
+    final = with_softmax(joined.withColumns({f"f_{l}": TEMPER * F.col(f"s_{l}") + F.log(prior[l]) + said(l) for l in names}), "f_", names)
 
     def likeliest(prefix: str) -> Column:
         """The first language with the greatest value."""
-        top = F.greatest(*[F.col(prefix + l) for l in LANGUAGES])
-        return reduce(lambda c, l: c.when(F.col(prefix + l) == top, l), LANGUAGES[1:], F.when(F.col(prefix + LANGUAGES[0]) == top, LANGUAGES[0]))
+        top = _greatest([F.col(prefix + l) for l in names])
+        return reduce(lambda c, l: c.when(F.col(prefix + l) == top, l), names[1:], F.when(F.col(prefix + names[0]) == top, names[0]))
 
+    beyond = F.coalesce(~F.col("stated").isin(*names), F.lit(False))
+    sure = (F.col("likeness") > 0) & (1 / F.col("total") >= LEAST)
     return final.select(
-        F.col("id").alias(id_col), likeliest("f_").alias("language"), (1 / F.col("total")).alias("confidence"),
-        F.when(F.col("n_grams") > 0, likeliest("s_")).alias("text_language"),
-        ((F.col("n_grams") > 0) & (F.col("likeness") > 0) & (1 / F.col("total") >= LEAST)).alias("kept"), *(["key_a", "key_b"] if with_keys else []),
+        F.col("id").alias(id_col), F.when(beyond, F.col("stated")).otherwise(likeliest("f_")).alias("language"), F.when(~beyond, 1 / F.col("total")).alias("confidence"),
+        F.when(~beyond & (F.col("n_grams") > 0), likeliest("s_")).alias("text_language"),
+        ((F.col("n_grams") > 0) & (beyond | sure)).alias("kept"), *(["key_a", "key_b", "stated"] if with_keys else []),
     )
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The rows that aren't rejected, with all their columns.
+    """The rows that aren't rejected, with all their columns; the declaration becomes the identified language where it says another or none.
 
-    Rejected ones are known by hashes of all that a decision depends on: broadcast if few (16 bytes each), else by a shuffle.
+    Rejected and relabelled rows are known by hashes of all that a decision depends on: broadcast if few (24 bytes each), else by a shuffle.
     """
     found = identified(df, id_col, text_col, declared_col, host_col, with_keys=True)
-    bad = written(found.where("NOT kept").select("key_a", "key_b").distinct(), "language-rejected")
-    few = bad.count() <= BROADCAST_IDS
-    a, b = keys_of(F.col(f"`{text_col}`"), F.col(f"`{declared_col}`").cast("string"), F.col(f"`{host_col}`").cast("string"))
-    return df.join(F.broadcast(bad) if few else bad, (a == bad["key_a"]) & (b == bad["key_b"]), "left_anti")
+    changed = found.where(~F.col("kept") | ~F.col("language").eqNullSafe(F.col("stated"))).select("key_a", "key_b", "kept", "language").distinct()
+    names = {c: unused(df, c) for c in changed.columns}
+    changed = written(changed.withColumnsRenamed(names), "language-rulings")
+    few = changed.count() <= BROADCAST_IDS
+    tag, host = F.col(f"`{declared_col}`").cast("string"), F.col(f"`{host_col}`").cast("string")
+    a, b = keys_of(F.col(f"`{text_col}`"), tag, host)
+    ruled = df.join(F.broadcast(changed) if few else changed, (a == F.col(names["key_a"])) & (b == F.col(names["key_b"])), "left")
+    stays = F.coalesce(F.col(names["kept"]), F.lit(True))
+    return ruled.where(stays).select(*[F.coalesce(names["language"], tag).cast(t).alias(c) if c == declared_col else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

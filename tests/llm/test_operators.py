@@ -227,6 +227,109 @@ def test_unlike_texts_are_rejected_whatever_is_labelled(spark, labelled):
     assert got[93].kept and got[93].language == "en" and all(got[10 * i + k].kept for i in range(len(labelled)) for k in range(5))
 
 
+ITALIAN = ["il tempo della sera non era quello che tutti gli altri avevano detto ", "questa casa sul lago con gli alberi della nostra infanzia ", "perché nessuno sapeva dove andare quando la pioggia cadeva ", "degli anni passati nel paese dei nonni resta soltanto una lettera "]
+
+
+def test_languages_come_from_the_labels(spark):
+    en = "the and of that with this was for a house by the lake where nobody knew what had been said "
+    rows = [(i, ITALIAN[i % 4] * 3, "it", "s") for i in range(20)] + [(100 + i, en * 3, "en-GB", "s") for i in range(20)] + [(200, ITALIAN[1] * 2, None, "s"), (201, ITALIAN[2] * 5, "en", "s"), (202, ITALIAN[0] * 3, "und", "s"), (203, en, "  ", None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, key_a string, language string")
+    got = {r.doc_id: r for r in language.identified(df).collect()}
+    assert all(got[i].language == "it" and got[i].kept for i in range(20)) and all(got[100 + i].language == "en" for i in range(20))
+    assert [got[i].language for i in (200, 201, 202, 203)] == ["it", "it", "it", "en"]
+    kept = {r.doc_id: r for r in language.kept_rows(df).collect()}
+    assert {i: r.lang for i, r in kept.items()} == {**{i: "it" for i in range(20)}, **{100 + i: "en-GB" for i in range(20)}, 200: "it", 201: "it", 202: "it", 203: "en"}
+    assert all((r.key_a, r.language) == ("x", "y") for r in kept.values())
+
+
+def test_languages_beyond_the_most_are_taken_at_their_word(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST", 1)
+    rows = [(i, "the and of that with this was for " * 5, "en", "s") for i in range(5)] + [(10, ITALIAN[0], "it", "s"), (11, "...", "it", "s"), (12, ITALIAN[0], None, "s")]
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[10].language, got[10].kept, got[10].confidence) == ("it", True, None) and not got[11].kept and not got[12].kept
+
+
+def test_only_letters_of_any_script_count():
+    assert language.lettered("“Été” — naïve…") == " été    naïve "
+    assert language.lettered("नमस्ते ２०") == "नमस्ते   " and language.lettered("ABC 12") == "abc 12"
+
+
+def fused(rows):
+    """The fusion in plain Python: rows (text, declared tag, host) -> (language, confidence, text language, kept)."""
+    def stated(tag):
+        m = re.match("^([a-z]{2,3})(?:[-_].*)?$", (tag or "").strip(" ").lower())
+        return m[1] if m and m[1] not in language.NO_LANGUAGE else None
+
+    tags = [stated(tag) for _, tag, _ in rows]
+    names = sorted(set(filter(None, tags)))
+    grams = [np.concatenate([*language.trigrams(t), np.zeros(0, np.uint32)]).astype(int) for t, _, _ in rows]
+    seen = np.zeros((len(names), language.BUCKETS))
+    for tag, found in zip(tags, grams):
+        if tag:
+            np.add.at(seen[names.index(tag)], found, 1)
+    counts = seen + language.ADDED
+    model = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    like = np.log((1 - language.UNSEEN) * language.BUCKETS * seen / seen.sum(axis=1, keepdims=True) + language.UNSEEN).astype(np.float32)
+    score = np.array([[float(np.sum(m[g], dtype=np.float64)) for m in model] for g in grams])
+    likeness = [max(float(np.sum(m[g], dtype=np.float64)) for m in like) for g in grams]
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    p = np.array([softmax(language.TEMPER * s) if len(g) else np.zeros(len(names)) for s, g in zip(score, grams)])
+    overall = p.sum(axis=0) + 1
+    base = overall / overall.sum()
+    hosts = [h or None for _, _, h in rows]
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    of_host = {h: p[[k for k, x in enumerate(hosts) if x == h]].sum(axis=0) for h in set(hosts) if h}
+
+    def of_suffix(s):
+        if s is None:
+            return base
+        n = sum((of_host[h] for h in of_host if suffix(h) == s), np.zeros(len(names)))
+        n = n + np.array([language.SMOOTH if language.SUFFIX_LANGUAGE.get(s) == l else 0.0 for l in names])
+        return (n + language.SMOOTH * base) / (n.sum() + language.SMOOTH)
+
+    met = {d: p[[k for k, t in enumerate(tags) if t == d]].sum(axis=0) for d in names}
+    joint = np.array([met[d] + language.DECLARED_WEIGHT * np.array([language.HONEST if d == l else (1 - language.HONEST) / (len(names) - 1) for l in names]) for d in names])
+    out = []
+    for k, (tag, h) in enumerate(zip(tags, hosts)):
+        prior = base
+        if h:
+            others = np.maximum(of_host[h] - p[k], 0)
+            prior = (others + language.SMOOTH * of_suffix(suffix(h))) / (others.sum() + language.SMOOTH)
+        final = language.TEMPER * score[k] + np.log(prior) + (np.log(joint[names.index(tag)] / joint.sum(axis=0)) if tag else 0)
+        sure = softmax(final).max()
+        text = names[int(score[k].argmax())] if len(grams[k]) else None
+        out.append((names[int(final.argmax())], sure, text, bool(len(grams[k])) and likeness[k] > 0 and sure >= language.LEAST))
+    return out
+
+
+@pytest.mark.parametrize("name", ["op5_language_id", "language_of_pages"])
+def test_fusion_agrees_with_a_plain_version(spark, name):
+    from gridlark.llm import registry
+
+    if name == "op5_language_id":
+        rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    else:
+        rows = [tuple(r) for r in language.of_pages(spark.read.parquet(f"{SF}/pages.parquet")).select("page_id", "text", "declared", "host").collect()]
+    got = {r[0]: r for r in registry.QUERIES[name](spark, SF).collect()}
+    wanted = fused([r[1:] for r in rows])
+    assert len(got) == len(rows)
+    for (i, *_), (l, sure, text, kept) in zip(rows, wanted):
+        r = got[i]
+        assert (r.language, r.text_language, r.kept) == (l, text, kept), i
+        assert r.confidence == pytest.approx(sure, rel=1e-6)
+
+
+def test_a_hot_host_and_a_hot_suffix_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("h"), F.col("doc_id") % 4, F.lit(".example.org"))))
+    before = sorted(map(str, language.identified(docs).collect()))
+    monkeypatch.setattr(language, "HOT", 0.5)  # no key is hot any more
+    assert sorted(map(str, language.identified(docs).collect())) == before
+
+
 def test_pages_read_markup(spark):
     rows = [(1, "https://X.example.de/a", '<html lang="de-AT"><head><script>var the = 1</script></head><p>Nicht &amp; aulich</p>'), (2, None, None)]
     got = language.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

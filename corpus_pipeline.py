@@ -3,7 +3,7 @@
 Every stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that its predecessor kept. ``run`` writes each stage's result
 as Parquet into the shared folder and reads it again, so a lost executor costs at most a stage.
 
-* ``language_id`` drops documents without an identifiable language; all others keep all their columns.
+* ``language_id`` drops documents without an identifiable language; all others keep all their columns, and ``lang`` says what was identified.
 * ``near_dedup`` keeps one document, that of the least doc_id, of each group of near copies (five words, similarity 0.8).
 * ``pii`` replaces personal data in the text by its kind in angle brackets and corrects n_chars where the text changed.
 * ``packing`` returns the pieces of all documents with their token ids and their places in sequences of 2048 tokens.
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import language, near_dup, packing, pii, vocab
-from gridlark.llm.common import table
+from gridlark.llm.common import spread_table, unused
 from gridlark.llm.queries import BYTE_BPE, vocabulary_path
-from gridlark.storage import written
+from gridlark.storage import drop_written, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.with_redaction(docs, to="_masked")
-    changed = F.col("text") != F.col("_masked")
-    size = F.when(changed, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))
-    return masked.select(*[F.col("_masked").alias("text") if c == "text" else size.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs, "masked")
+    masked, text = pii.with_redaction(docs, to=name), F.col(f"`{name}`")
+    size = F.when(F.col("text") != text, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return masked.select(*[text.alias("text") if c == "text" else size.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = spread_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

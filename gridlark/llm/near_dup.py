@@ -38,9 +38,9 @@ ROWS, BANDS = 6, 46
 #: Words in a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Members, and queries, of a block in step 3, about: so many, or so many shingles.
-BLOCK, BLOCK_SHINGLES = 1000, 1 << 21
+BLOCK, BLOCK_SHINGLES = 600, 1 << 21
 #: Pairs of a task that verifies them, and blocks of a task that compares them.
-TASK_PAIRS, TASK_BLOCKS = 20_000, 16
+TASK_PAIRS, TASK_BLOCKS = 20_000, 64
 #: Ids that a join may broadcast (8 MB); beyond that it shuffles.
 BROADCAST_IDS = 1_000_000
 #: Texts that are sketched at once: so many, or so many characters.

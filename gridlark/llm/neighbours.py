@@ -1,26 +1,26 @@
 """Nearest neighbours by inner product with cross-polytope hashing, multiprobe tables and exact reranking.
 
-1. Equal vectors form one class, which keeps its ``top + 1`` smallest ids: no search needs more of them, since ties go to smaller ids.
-   A vector that fills a third of the table is one row from here on.
+1. Equal vectors form one class, which keeps the ``top + 1`` smallest ids of its rows: no search needs more of them, since ties go to
+   smaller ids. A vector that fills a third of the table is one row from here on.
 2. Inner products become angles: classes are put into bands by their length (within a factor of 2), and inside a band of greatest
    length M a vector x becomes the unit vector (x / M, sqrt(1 - |x|^2 / M^2)), a query q becomes (q / |q|, 0). A query is asked
    in all bands. Vectors of different dimensions never meet.
 3. In each of ``TABLES`` tables a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) sends a vector to its
    nearest signed axis; with ``hashes`` of them a bucket is a tuple of axes. A query probes the buckets of the axes nearest to it,
-   best sum of coordinates first.
-4. A bucket is dealt in blocks of members and chunks of queries, each cell of a bounded size. Inside a cell the products come from
-   the original vectors in double precision, summed in order of the coordinates, and each query keeps its ``top + 1`` best
-   classes, so nothing grows with the product of a bucket's sides. The cells' best are merged.
+   best sum of coordinates first. Classes and queries keep lists of bucket numbers; vectors are dealt to buckets in one shuffle.
+4. A bucket is dealt in blocks of members and chunks of queries, each cell of a bounded size. Inside a cell a matrix product finds what can
+   be among a query's ``top + 1`` best classes; their products are then summed in double precision in order of the coordinates, from
+   the original vectors. So nothing grows with the product of a bucket's sides. The cells' best are merged.
 5. A query that thereby finds fewer than ``top`` rows, though its dimension has more, is compared with all classes of its dimension,
-   in the same kind of cells. So are all queries of a dimension with at most ``WHOLE`` classes, which isn't hashed.
+   in the same kind of cells.
 
 The share of buckets that a query probes in a table is measured in every run: up to ``SAMPLED`` queries of a dimension are compared with
-all its classes, and the share is the least at which ``TARGET`` of their true neighbours lie in a probed bucket, but at least
-``SHARE * n ** -FALL`` for n classes, which was fitted on vectors of one length with hardly any structure.
+all its classes, and the share is the least at which ``TARGET`` of their true neighbours lie in a probed bucket.
 
-Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers, and null ids, take no part. Of rows that
-share an id the one with the least vector takes part. A query without candidates has no rows. Empty tables give none.
-Other columns are ignored.
+Defined results: vectors that are null, empty, zero, or hold nulls or non-finite numbers, and null ids, take no part. Every other row
+is a candidate, and a query if the condition says so, also where rows share an id or are repeated; only the query's own row is no
+candidate of it, so a repeated row finds its copies, and its results are repeated. A query without candidates has no rows. Empty tables
+give none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,18 +34,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import in_small_batches
-from gridlark.storage import written
+from gridlark.storage import drop_written, partitions, written
 
 TABLES = 8
-SHARE, FALL = 0.4, 0.183
 #: Queries that the share is measured on, the recall it is chosen for, and numbers that all sampled vectors may have together.
 SAMPLED, TARGET, NUMBERS = 128, 0.95, 1 << 22
 #: Classes a bucket should hold about, beyond which a further hash makes buckets finer.
 LOAD = 2000
 #: Members and queries of a cell.
 BLOCK, CHUNK = 4096, 1024
-#: Classes of a dimension up to which each of its queries is compared with all of them.
-WHOLE = 4096
+#: Buckets whose numbers of blocks and chunks may be broadcast (24 bytes each), and cells that a task compares, about.
+BROADCAST_BUCKETS, TASK_CELLS = 1_000_000, 8
 #: Rows hashed at once.
 GROUP = 256
 SEED = 20
@@ -103,23 +102,14 @@ def probes(unit: np.ndarray, table: int, hashes: int, share: float) -> np.ndarra
     return found
 
 
-def products(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Inner products, each summed in the order of the coordinates, so that a pair's is the same wherever it is computed."""
-    out = np.zeros((len(queries), len(members)))
-    for k in range(queries.shape[1]):
-        out += queries[:, k : k + 1] * members[:, k]
-    return out
-
-
 def lengths(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(axis=1, keepdims=True)
     return top[:, 0] * np.sqrt(((x / top) ** 2).sum(axis=1))
 
 
-def hash_plan(n: int, dim: int) -> tuple[int, float]:
-    """Hashes in a bucket, and the least share of a table's buckets that a query probes, for n classes."""
-    hashes = max(1, round(math.log(max(n, 1) / LOAD) / math.log(2 * padded_dim(dim)))) if n > LOAD else 1
-    return hashes, min(1.0, SHARE * max(n, 1) ** -FALL)
+def hash_plan(n: int, dim: int) -> int:
+    """Hashes in a bucket for n classes."""
+    return max(1, round(math.log(max(n, 1) / LOAD) / math.log(2 * padded_dim(dim)))) if n > LOAD else 1
 
 
 def usable(vector: Column) -> Column:
@@ -129,7 +119,7 @@ def usable(vector: Column) -> Column:
 
 
 def classes_of(vectors: DataFrame, top: int) -> DataFrame:
-    """class_id, vector, ids (the smallest top + 1), first_id, length, dim, band of each distinct vector."""
+    """class_id, vector, ids (of the top + 1 rows with the smallest), first_id, length, dim, band of each distinct vector."""
     kind = dict(vectors.dtypes)["vector"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +130,14 @@ def classes_of(vectors: DataFrame, top: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm, pa.float64()), pa.array(band)], names=["vector", "ids", "length", "band"])
 
     smallest = Window.partitionBy("vector").orderBy("id")
-    one = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
-    few = one.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= top + 1)
+    few = vectors.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= top + 1)
     grouped = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     measured = grouped.mapInArrow(measure, f"vector {kind}, ids array<long>, length double, band int")
     return written(measured.select(F.monotonically_increasing_id().alias("class_id"), "*", F.col("ids")[0].alias("first_id"), F.size("vector").alias("dim")), "vector-classes")
 
 
 def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: dict[int, tuple[int, float]], as_queries: bool) -> DataFrame:
-    """One row per class and bucket it lies in (or, as a query, looks into). A place numbers band, table and bucket of a dimension."""
+    """dim, class_id, first_id, vector, places: the buckets it lies in (or, as a query, looks into). A place numbers band, table and bucket of a dimension."""
     kind = dict(classes.dtypes)["vector"]
     order = {key: i for i, key in enumerate(sorted(greatest))}
     bands = {dim: [b for d, b in order if d == dim] for dim, _ in order}
@@ -157,9 +146,9 @@ def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: di
         for whole in batches:
             for start in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(start, GROUP)
-                dims, band = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                dims, band = batch.column(0).to_numpy(), batch.column(4).to_numpy()
                 norms = batch.column(5).to_numpy()
-                vectors = batch.column(2).to_pylist()
+                vectors = batch.column(3).to_pylist()
                 for dim in np.unique(dims):
                     dim = int(dim)
                     at = np.flatnonzero(dims == dim)
@@ -173,17 +162,19 @@ def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: di
                         top = np.array([greatest[dim, int(b)] for b in band[at]])
                         unit /= top[:, None]
                         unit[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (norms[at] / top) ** 2))
+                        own = np.array([order[dim, int(b)] for b in band[at]])
+                    places = []
                     for table in range(TABLES):
                         if as_queries:
                             found = probes(unit, table, hashes, share)
-                            places = np.concatenate([(order[dim, b] * TABLES + table) * size + found for b in bands[dim]], axis=1)
+                            places += [(order[dim, b] * TABLES + table) * size + found for b in bands[dim]]
                         else:
-                            places = ((np.array([order[dim, int(b)] for b in band[at]]) * TABLES + table) * size + codes(unit, table, hashes))[:, None]
-                        rows = pa.array(np.repeat(at, places.shape[1]))
-                        picked = batch.take(rows)
-                        yield pa.RecordBatch.from_arrays([picked.column(3), pa.array(places.reshape(-1)), *(picked.column(i) for i in range(3))], names=["dim", "place", "class_id", "first_id", "vector"])
+                            places.append(((own * TABLES + table) * size + codes(unit, table, hashes))[:, None])
+                    rows, flat = batch.take(pa.array(at)), np.concatenate(places, axis=1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), lists], names=["dim", "class_id", "first_id", "vector", "places"])
 
-    return classes.select("class_id", "first_id", "vector", "dim", "band", "length").mapInArrow(run, f"dim int, place long, class_id long, first_id long, vector {kind}")
+    return classes.select("dim", "class_id", "first_id", "vector", "band", "length").mapInArrow(run, f"dim int, class_id long, first_id long, vector {kind}, places array<long>")
 
 
 def depths(query: np.ndarray, members: np.ndarray, hashes: int) -> np.ndarray:
@@ -198,11 +189,11 @@ def depths(query: np.ndarray, members: np.ndarray, hashes: int) -> np.ndarray:
     return least
 
 
-def measured_plans(classes: DataFrame, queries: DataFrame, greatest: dict[tuple[int, int], float], plans: dict[int, tuple[int, float]], top: int) -> dict[int, tuple[int, float]]:
-    """The plans with their shares widened to what sampled queries (some of the classes) need for a recall of ``TARGET``."""
+def measured_plans(classes: DataFrame, queries: DataFrame, greatest: dict[tuple[int, int], float], plans: dict[int, int], top: int) -> dict[int, tuple[int, float]]:
+    """Hashes and the share of buckets by dimension: the share that sampled queries (some of the classes) need for a recall of ``TARGET``."""
     most = min(SAMPLED, NUMBERS // sum(plans))
     if not most:  # so many dimensions that there is no room for samples
-        return {dim: (hashes, 1.0) for dim, (hashes, _) in plans.items()}
+        return {dim: (hashes, 1.0) for dim, hashes in plans.items()}
     some = Window.partitionBy("dim").orderBy(F.xxhash64("class_id"), "class_id")
     picked = queries.select("class_id", "vector", "dim").withColumn("k", F.row_number().over(some)).where(F.col("k") <= most).collect()
     sample = {dim: ([r["class_id"] for r in picked if r["dim"] == dim], np.array([r["vector"] for r in picked if r["dim"] == dim], np.float64)) for dim in {r["dim"] for r in picked}}
@@ -235,41 +226,47 @@ def measured_plans(classes: DataFrame, queries: DataFrame, greatest: dict[tuple[
                 longest = np.array([greatest[dim, m["band"]] for m in members])
                 unit[:, :dim] = np.array([m["vector"] for m in members]) / longest[:, None]
                 unit[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (np.array([m["length"] for m in members]) / longest) ** 2))
-                found = depths(query, unit, plans[dim][0])
+                found = depths(query, unit, plans[dim])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), dim, np.int32)), pa.array(found)], names=["dim", "depth"])
 
     first = Window.partitionBy("dim", "i").orderBy(F.desc("score"), "class_id")
     near = classes.where(F.col("dim").isin(*sample)).select("class_id", "vector", "dim").mapInArrow(compare, "dim int, i int, class_id long, score double")
     true = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= top).select("i", "class_id")
     members = classes.join(F.broadcast(true), "class_id").groupBy("dim", "i").agg(F.collect_list(F.struct("vector", "band", "length")).alias("members"))
-    out = dict(plans)
+    out = {dim: (hashes, 1.0) for dim, hashes in plans.items()}
     needed: dict[int, list[int]] = {}
     for r in members.mapInArrow(measure, "dim int, depth long").collect():  # SAMPLED * top rows a dimension
         needed.setdefault(r["dim"], []).append(r["depth"])
     for dim, found in needed.items():
-        hashes, share = plans[dim]
         at = sorted(found)[math.ceil(TARGET * len(found)) - 1]
-        out[dim] = hashes, max(share, min(1.0, (at + 1) / (2 * padded_dim(dim)) ** hashes))
+        out[dim] = plans[dim], min(1.0, (at + 1) / (2 * padded_dim(dim)) ** plans[dim])
     return out
 
 
-def cells(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Deals buckets that have both sides to cells of a bounded size: dim, place, block, chunk, is_query and the row."""
+def cells(members: DataFrame, queries: DataFrame) -> tuple[DataFrame, int]:
+    """Deals buckets that have both sides to cells of a bounded size: dim, place, block, chunk, is_query and the row; and their number."""
     keys = ["dim", "place"]
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("m")).join(queries.groupBy(*keys).agg(F.count("*").alias("q")), keys)
-    sizes = sizes.select(*keys, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / CHUNK).cast("int").alias("chunks"))
+
+    def placed(side: DataFrame, *more: str) -> DataFrame:
+        return side.select("dim", *more, F.explode("places").alias("place"))
+
+    sizes = placed(members).groupBy(*keys).agg(F.count("*").alias("m")).join(placed(queries).groupBy(*keys).agg(F.count("*").alias("q")), keys)
+    sizes = written(sizes.select(*keys, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / CHUNK).cast("int").alias("chunks")), "bucket-sizes")
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("blocks").cast("long") * F.col("chunks")), F.lit(0))).first()
+    sizes = F.broadcast(sizes) if n <= BROADCAST_BUCKETS else sizes
 
     def dealt(side: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
+        rows = placed(side, "class_id", "first_id", "vector").join(sizes, keys)
         mine = F.pmod(F.xxhash64("class_id"), F.col(own)).cast("int")
         to = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        rows = side.join(sizes, keys).select(*keys, "class_id", "first_id", "vector", mine.alias("mine"), to.alias("to"))
+        rows = rows.select(*keys, "class_id", "first_id", "vector", mine.alias("mine"), to.alias("to"))
         block, chunk = ("to", "mine") if is_query else ("mine", "to")
         return rows.select(*keys, F.col(block).alias("block"), F.col(chunk).alias("chunk"), F.lit(is_query).alias("is_query"), "class_id", "first_id", "vector")
 
-    return dealt(members, "blocks", "chunks", False).unionByName(dealt(queries, "chunks", "blocks", True))
+    return dealt(members, "blocks", "chunks", False).unionByName(dealt(queries, "chunks", "blocks", True)), total
 
 
-def whole_cells(classes: DataFrame, asked: DataFrame, sizes: dict[int, int]) -> DataFrame:
+def whole_cells(classes: DataFrame, asked: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, int]:
     """As ``cells``, for queries (class_id, dim) that are compared with all classes of their dimension; sizes has the number of classes."""
     counts = asked.groupBy("dim").agg(F.count("*").alias("q")).collect()
     grid = [(r["dim"], math.ceil(sizes[r["dim"]] / BLOCK), math.ceil(r["q"] / CHUNK)) for r in counts]
@@ -281,13 +278,14 @@ def whole_cells(classes: DataFrame, asked: DataFrame, sizes: dict[int, int]) ->
         both = side.select("dim", F.lit(-1).cast("long").alias("place"), mine, to, F.lit(is_query).alias("is_query"), "class_id", "first_id", "vector")
         return both.select("dim", "place", "block", "chunk", "is_query", "class_id", "first_id", "vector")
 
-    return dealt(rows, "blocks", "chunks", False).unionByName(dealt(rows.join(asked.select("class_id"), "class_id", "left_semi"), "chunks", "blocks", True))
+    queries = rows.join(asked.select("class_id"), "class_id", "left_semi")
+    return dealt(rows, "blocks", "chunks", False).unionByName(dealt(queries, "chunks", "blocks", True)), sum(b * c for _, b, c in grid)
 
 
 FOUND = "query long, class_id long, first_id long, score double"
 
 
-def best_in_cells(dealt: DataFrame, top: int) -> DataFrame:
+def best_in_cells(dealt: DataFrame, n_cells: int, top: int) -> DataFrame:
     """The best ``top + 1`` classes of each query in each cell."""
     where = ["dim", "place", "block", "chunk"]
 
@@ -299,7 +297,7 @@ def best_in_cells(dealt: DataFrame, top: int) -> DataFrame:
             if rows[0] == members:
                 yield _best(rows[1], rows[3], ids, firsts, vectors, top)
 
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(dealt.sparkSession, n_cells, TASK_CELLS)
     placed = dealt.repartition(n, *where).sortWithinPartitions(*where, "is_query")
     return placed.mapInArrow(run, FOUND)
 
@@ -330,13 +328,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _best(queries, query_vectors, ids, firsts, vectors, top: int) -> pa.RecordBatch:
-    out = []
-    for at in range(0, len(queries), 64):
-        scores = products(query_vectors[at : at + 64], vectors)
-        for q, row in zip(queries[at : at + 64], scores, strict=True):
-            order = np.arange(len(row)) if len(row) <= top + 1 else np.flatnonzero(row >= np.partition(row, len(row) - top - 1)[len(row) - top - 1])
-            order = order[np.lexsort((firsts[order], -row[order]))][: top + 1]
-            out.append((np.full(len(order), q), ids[order], firsts[order], row[order]))
+    """The best ``top + 1`` of the members for each query, ties to the smaller first id."""
+    out, longest = [], lengths(vectors).max()
+    for at in range(0, len(queries), 256):
+        part = query_vectors[at : at + 256]
+        rough = part @ vectors.T
+        if rough.shape[1] > top + 1:
+            # What rounding can make of a sum of products, in whatever order, is far below this part of the product of the lengths.
+            slack = 4 * vectors.shape[1] * np.finfo(np.float64).eps * lengths(part) * longest
+            least = np.partition(rough, rough.shape[1] - top - 1, axis=1)[:, rough.shape[1] - top - 1] - slack
+            q, m = np.nonzero(rough >= least[:, None])
+        else:
+            q, m = (x.ravel() for x in np.indices(rough.shape))
+        score = np.zeros(len(q))
+        for k in range(vectors.shape[1]):  # in order of the coordinates, so that a pair's score is the same wherever it is computed
+            score += part[q, k] * vectors[m, k]
+        order = np.lexsort((firsts[m], -score, q))
+        q, m, score = q[order], m[order], score[order]
+        first = np.searchsorted(q, np.arange(len(part)))
+        keep = np.arange(len(q)) - first[q] <= top
+        out.append((queries[at : at + 256][q[keep]], ids[m[keep]], firsts[m[keep]], score[keep]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query", "class_id", "first_id", "score"])
 
 
@@ -349,44 +360,42 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     rows = in_small_batches(vectors).select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     classes = classes_of(rows, top)
-    queries = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = written(queries.join(classes.select("vector", "class_id"), "vector").select("id", "class_id"), "asked")
+    # Both sides of this join are plain shuffles, so that a very common vector is split by the session's handling of skewed joins.
+    asked = rows.where(is_query).join(classes.select("vector", "class_id"), "vector")
+    asked = written(asked.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("query_id"), F.col("class_id").alias("query")), "asked")
 
     # By length of vectors and exponent of their norm: at most some hundred rows for a table of one dimension.
     stats = classes.groupBy("dim", "band").agg(F.max("length").alias("top"), F.count("*").alias("n"), F.sum(F.size("ids")).alias("n_ids")).collect()
     sizes = {d: sum(r["n"] for r in stats if r["dim"] == d) for d in {r["dim"] for r in stats}}
-    greatest = {(r["dim"], r["band"]): r["top"] for r in stats if sizes[r["dim"]] > WHOLE}
-    plans = {d: hash_plan(sizes[d], d) for d, _ in greatest}
+    greatest = {(r["dim"], r["band"]): r["top"] for r in stats}
 
     def merged(found: DataFrame) -> DataFrame:
-        """The best ``top + 1`` ids of each queried class: query, class_id, score, id."""
+        """The best ``top + 1`` rows of each queried class: query, class_id, score, id, first (of the class's rows with that id)."""
         best = Window.partitionBy("query").orderBy(F.desc("score"), "first_id", "class_id")
         few = found.withColumn("k", F.dense_rank().over(best)).where(F.col("k") <= top + 1).select("query", "class_id", "score").distinct()
-        ids = few.join(classes.select("class_id", "ids"), "class_id").select("query", "class_id", "score", F.explode("ids").alias("id"))
-        first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        return written(ids.withColumn("k", F.dense_rank().over(first)).where(F.col("k") <= top + 1).select("query", "class_id", "score", "id"), "found")
-
-    wanted = classes.join(asked.select("class_id").distinct(), "class_id", "left_semi")
-    few = None
-    if plans:
-        large = F.col("dim").isin(*plans)
-        plans = measured_plans(classes.where(large), wanted.where(large), greatest, plans, top)
-        members = written(hashed(classes.where(large), greatest, plans, False), "members")
-        queries = written(hashed(wanted.where(large), greatest, plans, True), "probes")
-        few = merged(best_in_cells(cells(members, queries), top))
-
-    # Classes whose queries found fewer ids than there are. Those of a class differ in their own id only.
+        ids = few.join(classes.select("class_id", "ids"), "class_id").select("query", "class_id", "score", "ids", F.posexplode("ids").alias("at", "id"))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "class_id", "at")
+        ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1)
+        return written(ids.select("query", "class_id", "score", "id", "at", (F.array_position("ids", F.col("id")) == F.col("at") + 1).alias("first")), "found")
+
+    wanted = classes.join(asked.select(F.col("query").alias("class_id")).distinct(), "class_id", "left_semi")
+    plans = measured_plans(classes, wanted, greatest, {d: hash_plan(n, d) for d, n in sizes.items()}, top) if sizes else {}
+    members = written(hashed(classes, greatest, plans, False), "members")
+    queries = written(hashed(wanted, greatest, plans, True), "probes")
+    few = merged(best_in_cells(*cells(members, queries), top))
+    drop_written(members, queries)
+
+    # Classes whose queries found fewer rows than there are.
     n_ids = {d: sum(r["n_ids"] for r in stats if r["dim"] == d) for d in sizes}
     exist = classes.sparkSession.createDataFrame([(d, min(top, n - 1)) for d, n in n_ids.items()], "dim int, exist long")
-    lacking = wanted.select("class_id", "dim").join(F.broadcast(exist), "dim").where("exist > 0")
-    if few is not None:
-        got = few.groupBy(F.col("query").alias("class_id")).agg((F.count("*") - F.max((F.col("class_id") == F.col("query")).cast("int"))).alias("got"))
-        lacking = lacking.join(got, "class_id", "left").where(F.coalesce("got", F.lit(0)) < F.col("exist"))
+    got = few.groupBy(F.col("query").alias("class_id")).agg((F.count("*") - F.max((F.col("class_id") == F.col("query")).cast("int"))).alias("got"))
+    lacking = wanted.select("class_id", "dim").join(F.broadcast(exist), "dim").join(got, "class_id", "left").where(F.coalesce("got", F.lit(0)) < F.col("exist"))
     lacking = written(lacking.select("class_id", "dim"), "lacking")
-    if few is None or not lacking.isEmpty():
-        exact = merged(best_in_cells(whole_cells(classes, lacking, sizes), top))
-        few = exact if few is None else few.join(lacking.select(F.col("class_id").alias("query")), "query", "left_anti").unionByName(exact)
-
-    pairs = asked.select(F.col("id").alias("query_id"), F.col("class_id").alias("query")).join(few, "query").where("id != query_id")
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    if not lacking.isEmpty():
+        exact = merged(best_in_cells(*whole_cells(classes, lacking, sizes), top))
+        few = few.join(lacking.select(F.col("class_id").alias("query")), "query", "left_anti").unionByName(exact)
+
+    own = (F.col("class_id") == F.col("query")) & (F.col("id") == F.col("query_id")) & F.col("first")
+    ranks = Window.partitionBy("row").orderBy(F.desc("score"), "id", "class_id", "at")
+    pairs = asked.join(few, "query").where(~own).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= top)
+    return pairs.select("query_id", "rank", F.col("id").alias(id_col), "score")

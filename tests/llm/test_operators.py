@@ -1,5 +1,6 @@
 """Pieces, neighbours, language, near duplicates, personal data, media, chat, URL rules and the pipeline against plain versions."""
 
+import functools
 import hashlib
 import io
 import random
@@ -94,38 +95,63 @@ class Watched(str):
 
 
 def exact(rows, top=20):
-    one = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            one[i] = min(one.get(i, v), v)
-    out = {}
-    for q, v in one.items():
+    """By query row: (id, score) of its nearest other rows; rows (id, vector), of which some take no part."""
+    sound = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = []
+    for n, (q, v) in enumerate(sound):
         if q % 20 == 0:
-            scored = [(sum(a * b for a, b in zip(v, w)), i) for i, w in one.items() if i != q and len(w) == len(v)]
-            out[q] = [(i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:top]]
-    return {q: x for q, x in out.items() if x}
+            scored = [(functools.reduce(lambda t, x: t + x[0] * x[1], zip(v, w), 0.0), i) for k, (i, w) in enumerate(sound) if k != n and len(w) == len(v)]
+            out.append((q, [(i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:top]]))
+    return sorted((q, k + 1, i, s) for q, found in out for k, (i, s) in enumerate(found))
 
 
-def test_small_tables_are_searched_whole(spark):
-    rng = random.Random(2)
-    grid = [-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 4.0, 64.0]
-    rows = [(i, [rng.choice(grid) for _ in range(4)]) for i in range(60)] + [(100 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(60)]
-    rows += [(200, None), (220, []), (240, [0.0] * 4), (260, [1.0, None, 0.0, 0.0]), (280, [float("nan")] * 4), (300, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (320, [1.0, 2.0]), (321, [2.0, 1.0]), (0, [9.0] * 4), (340, [7.0] * 9)]
-    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows + rows[:5]], "vec_id long, embedding array<float>, " + EXTRA)
-    got = {}
-    for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    wanted = exact(rows)
-    assert {q: [(i, s) for _, i, s in sorted(x)] for q, x in got.items()} == wanted
-    assert neighbours.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+def found_in(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect())
 
 
-def test_recall_on_the_embeddings(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    wanted = exact([(r.vec_id, r.embedding) for r in df.collect()])
-    got = {(r.query_id, r.vec_id) for r in queries.neighbours_query(spark, SF).collect()}
-    hits = sum((q, i) in got for q, x in wanted.items() for i, _ in x)
-    assert hits >= 0.9 * sum(map(len, wanted.values()))
+def test_small_tables_with_odd_rows_are_answered_in_full(spark):
+    rng = random.Random(2)
+    grid = [-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 4.0, 64.0]
+    rows = [(i, [rng.choice(grid) for _ in range(4)]) for i in range(15)] + [(100 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(6)]
+    rows += [(200, None), (220, []), (240, [0.0] * 4), (260, [1.0, None, 0.0, 0.0]), (280, [float("nan")] * 4), (300, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (320, [1.0, 2.0]), (321, [2.0, 1.0]), (340, [7.0] * 9)]
+    shared = [(0, [9.0] * 4), (120, [1.0, 1.0, 0.0, 0.0]), (120, [1.0, 1.0, 0.0, 0.0]), (120, [3.0, -1.0, 0.0, 0.0])]
+    for table in (rows, rows + shared + rows[:2]):
+        df = spark.createDataFrame([(*r, "x", 1, 2) for r in table], "vec_id long, embedding array<float>, " + EXTRA)
+        got, wanted = found_in(df), exact(table)
+        counts = [sum(r[0] == q for r in got) for q in {r[0] for r in wanted}]
+        assert counts == [sum(r[0] == q for r in wanted) for q in {r[0] for r in wanted}]
+        assert sum(a == b for a, b in zip(got, wanted)) >= 0.9 * len(wanted)
+    assert found_in(df.limit(0)) == []
+
+
+def test_with_all_buckets_probed_results_are_exact(spark, monkeypatch):
+    """Ties, rows that share an id, repeated rows, a vector that many rows have."""
+    monkeypatch.setattr(neighbours, "TARGET", 1.0)
+    monkeypatch.setattr(neighbours, "measured_plans", lambda classes, queries, greatest, plans, top: {d: (h, 1.0) for d, h in plans.items()})
+    rng = random.Random(3)
+    grid = [-2.0, -1.0, 0.0, 0.5, 1.0, 4.0]
+    rows = [(i % 70, [rng.choice(grid) for _ in range(3)]) for i in range(120)] + [(20 * i, [1.0, 1.0, 0.0]) for i in range(60)] + [(40, [1.0, 1.0, 0.0])] * 30
+    assert found_in(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == exact(rows)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 10000])
+def test_recall_on_embeddings_of_several_sizes(spark, n):
+    """The table at sf0.1 (2,000 rows), a part of it, and it with mixtures of its rows."""
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect() if r.embedding], np.float64)
+    rng = np.random.default_rng(n)
+    if n > len(x):
+        mixed = rng.normal(size=(n - len(x), 3))[:, :, None] * x[rng.integers(0, len(x), (n - len(x), 3))]
+        mixed = mixed.sum(axis=1)
+        x = np.concatenate([x, mixed / np.linalg.norm(mixed, axis=1, keepdims=True)])
+    x = x[:n]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect()}
+    hits = 0
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += sum((q, int(i)) in got for i in np.argsort(-scores)[:20])
+    assert hits >= 0.9 * 20 * len(range(0, len(x), 20))
 
 
 def test_cells_of_a_hot_bucket_lose_nothing(spark, monkeypatch):
@@ -133,25 +159,21 @@ def test_cells_of_a_hot_bucket_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 2)
     rng = random.Random(3)
     rows = [(i, [1.0, rng.random() / 100, rng.random() / 100]) for i in range(150)]
-    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
-    wanted = exact(rows)
-    assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q, x in wanted.items() for i, _ in x}
+    assert found_in(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == exact(rows)
 
 
-def test_every_query_gets_all_rows_there_are(spark, monkeypatch):
-    """Few candidates, an antipode and a query on its own side of the others; with hashing and without."""
+def test_every_query_gets_all_rows_there_are(spark):
+    """Few candidates, an antipode and a query on its own side of the others."""
     rng = np.random.default_rng(5)
     v = rng.normal(size=64)
     around = v / np.linalg.norm(v) + 0.02 * rng.normal(size=(40, 64))
-    tables = [[(0, v.tolist()), (1, (-v).tolist())]]
+    tables = [[(0, v.tolist()), (1, (-v).tolist())], [(20, v.tolist())]]
     tables.append([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(25, 64)))])
     tables.append([(0, (-v).tolist()), *((i + 1, x.tolist()) for i, x in enumerate(around)), (80, [1.0, 2.0]), (81, [2.0, -1.0])])
-    for whole in (neighbours.__dict__.get("WHOLE", 0), 0):
-        monkeypatch.setattr(neighbours, "WHOLE", whole, raising=False)
-        for rows in tables:
-            got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
-            counts = {q: sum(r.query_id == q for r in got) for q, _ in rows if q % 20 == 0}
-            assert counts == {q: min(20, sum(len(y) == len(x) for _, y in rows) - 1) for q, x in rows if q % 20 == 0}
+    for rows in tables:
+        got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+        counts = {q: sum(r.query_id == q for r in got) for q, _ in rows if q % 20 == 0}
+        assert counts == {q: min(20, sum(len(y) == len(x) for _, y in rows) - 1) for q, x in rows if q % 20 == 0}
 
 
 def test_recall_holds_with_unequal_lengths(spark):

@@ -1,12 +1,13 @@
 """Media columns: Netpbm and BMP bytes decoded to numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
 ``decode`` reads P1-P6 Netpbm (8-bit samples, maxval up to 255) and uncompressed BMP of 1, 4, 8, 24 or 32 bits.
-``features`` averages the luminance over the cells of a small grid with an integral image, taken in bands of rows so
-that memory doesn't grow with the picture, stores that tile as NPY and hashes the sign of its horizontal differences.
+``area_resize`` averages the luminance over the cells of a small grid with an integral image, taken in bands of rows so
+that memory doesn't grow with the picture; the tile is written as NPY and the signs of its horizontal differences are its hash.
 
 Defined results: null bytes give null fields; bytes that aren't such a picture, or are cut short, give null fields and
-the reason in ``error``. Equal bytes give equal values. All other columns are kept; the added ones come in one struct,
-so that no name of the input can clash with them.
+the reason in ``error``. A null text is an empty one. Equal bytes give equal values. An empty table gives none. All columns of the input
+are kept; what is added is one struct under the caller's name, behind which underscores come while the input has such a column
+(``common.unused``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import in_small_batches
+from gridlark.llm.common import in_small_batches, unused
 
 #: Samples in a row of a stored payload.
 WIDTH = 64
@@ -188,7 +189,7 @@ def with_media(df: DataFrame, media_col: str = "media", to: str = "decoded") ->
         for column in batches:
             yield pd.DataFrame([_described(x) for x in column], columns=["height", "width", "channels", "tile", "dhash", "error"]).astype({c: "Int32" for c in ("height", "width", "channels")})
 
-    return in_small_batches(df).withColumn(to, decoded(F.col(f"`{media_col}`")))
+    return in_small_batches(df).withColumn(unused(df, to), decoded(F.col(f"`{media_col}`")))
 
 
 def _described(data: bytes | None) -> tuple:
@@ -203,7 +204,7 @@ def _described(data: bytes | None) -> tuple:
 
 
 def store_text(df: DataFrame, text_col: str = "text", to: str = "media") -> DataFrame:
-    """Adds each text's payload, padded to whole rows, as the bytes of a grey picture (``media``) and its length (``n_bytes``).
+    """Adds a struct: each text's payload, padded to whole rows, as the ``bytes`` of a grey picture, and the text's length (``n_bytes``).
 
     Payloads of an odd number of rows are stored as BMP, the others as PGM: both are lossless.
     """
@@ -218,25 +219,35 @@ def store_text(df: DataFrame, text_col: str = "text", to: str = "media") -> Data
                 out.append((n, (encode_bmp if len(samples) % 2 else encode_pgm)(samples)))
             yield pd.DataFrame(out, columns=["n_bytes", "bytes"])
 
-    return in_small_batches(df).withColumn(to, stored(F.col(f"`{text_col}`")))
+    return in_small_batches(df).withColumn(unused(df, to), stored(F.col(f"`{text_col}`")))
 
 
-DIGEST_TYPE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST_TYPE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, error string"
+
+
+def _digest(data: bytes | None) -> tuple:
+    if data is None:
+        return (None,) * 8
+    stored = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        picture = decode(data)
+    except (BadMedia, struct.error, ValueError) as why:
+        return (None, None, None, *stored, None, None, str(why))
+    payload, tile = picture.tobytes(), tile_of(picture)
+    made = npy(tile)
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *stored, f"{difference_hash(tile)}:{zlib.crc32(made):08x}", made, None)
 
 
 def digests(df: DataFrame, media_col: str = "media.bytes", to: str = "digest") -> DataFrame:
-    """Adds what is read back from stored payloads: length, hashes and the feature (difference hash and the tile's checksum)."""
+    """Adds a struct of what is read back from stored payloads: length, hashes, the feature (difference hash and the tile's checksum) and the NPY tile.
+
+    media_col may name a struct's field. Bytes that aren't a picture have their own length and hash and the reason in ``error``.
+    """
 
     @F.pandas_udf(DIGEST_TYPE)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
-            out = []
-            for data in column:
-                picture = decode(data)
-                payload = picture.tobytes()
-                tile = tile_of(picture)
-                feature = f"{difference_hash(tile)}:{zlib.crc32(npy(tile)):08x}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST_TYPE.split(", ")])
-
-    return in_small_batches(df).withColumn(to, digest(F.col(media_col)))
+            names = [c.split()[0] for c in DIGEST_TYPE.split(", ")]
+            yield pd.DataFrame([_digest(x) for x in column], columns=names).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
+
+    return in_small_batches(df).withColumn(unused(df, to), digest(F.col(media_col)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm import chat_format, language, media, near_dup, neighbours, packing, pieces, pii, token_records, url_filter, vocab
 from gridlark.llm.common import spread_table, table
+from gridlark.storage import written
 
 #: Names of the public vocabularies; ``vocabulary_path`` finds their files.
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -90,7 +91,8 @@ FROM summed GROUP BY conv_id"""
 
 
 def media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_text(spread_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media")
+    """Payloads stored as a table of pictures; everything but n_bytes comes from the table read back."""
+    stored = written(media.store_text(spread_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media"), "media")
     return media.digests(stored).select("doc_id", "media.n_bytes", "digest.*")
 
 

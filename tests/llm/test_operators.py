@@ -634,6 +634,26 @@ def test_media_columns_keep_the_payload(spark):
     assert got[5].digest == got[6].digest
 
 
+def test_digests_of_nulls_and_foreign_bytes(spark):
+    good = media.encode_pgm(np.arange(64, dtype=np.uint8).reshape(1, 64))
+    rows = spark.createDataFrame([(1, None, "x"), (2, bytearray(b"abc"), "x"), (3, bytearray(good), "x"), (4, bytearray(good[:40]), "x"), (5, bytearray(b""), "x")], "id long, media binary, digest string")
+    out = media.digests(rows, "media")
+    assert out.columns == ["id", "media", "digest", "digest_"]
+    got = {r.id: r.digest_ for r in out.collect()}
+    assert got[1] == (None,) * 8
+    assert all(got[i].error and got[i].payload_bytes is None and got[i].media_sha256 == hashlib.sha256(x).hexdigest() for i, x in ((2, b"abc"), (4, good[:40]), (5, b"")))
+    assert got[3].error is None and np.load(io.BytesIO(got[3].tile)).shape == (8, 9)
+    assert media.digests(rows.limit(0), "media").count() == 0
+
+
+def test_added_media_columns_replace_nothing(spark):
+    df = spark.createDataFrame([("a", "x", "y")], "text string, media string, decoded string")
+    stored = media.store_text(df)
+    assert stored.columns == ["text", "media", "decoded", "media_"]
+    both = media.with_media(stored.withColumn("b", F.col("media_.bytes")), "b").first()
+    assert (both.media, both.decoded, both.decoded_.width) == ("x", "y", 64)
+
+
 @pytest.mark.parametrize("shape", [(1, 1), (3, 5), (8, 9), (40, 64), (5000, 7)])
 def test_area_resize_is_the_mean_over_cells(shape):
     x = np.random.default_rng(0).integers(0, 256, shape).astype(np.uint8)
@@ -674,13 +694,44 @@ def test_every_reply_is_an_example_and_comes_back(spark):
 
 
 def test_url_rules_and_terms(spark):
-    urls = {"https://A.Example.com/en/7": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://x.com/en/1?porn": ("x.com", "/en/1", "com/en/", "block"), "http://q.net/de/porn": ("q.net", "/de/porn", "net/de/", "allow"), "http://h.io/porn#x": ("h.io", "/porn", None, "block"), "http://h.io/pornx-win": ("h.io", "/pornx-win", None, "allow"), "http://h.io/free-win": ("h.io", "/free-win", None, "block"), "http://h.io/free-free": ("h.io", "/free-free", None, "allow"), "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow")}
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    urls = {"https://A.Example.com/en/7": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://x.com/en/1?porn": ("x.com", "/en/1", "com/en/", "block"), "http://q.net/de/porn": ("q.net", "/de/porn", "net/de/", "allow"), "http://h.io/porn#x": ("h.io", "/porn", None, "block"), "http://h.io/pornx-poker": ("h.io", "/pornx-poker", None, "allow"), "http://h.io/bets-poker": ("h.io", "/bets-poker", None, "block"), "http://h.io/poker-poker": ("h.io", "/poker-poker", None, "allow"), "http://h.io/free-win": ("h.io", "/free-win", None, "allow"), "http://h.io/free-win-bonus-cheap": ("h.io", "/free-win-bonus-cheap", None, "block"), "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://h.io/" + "a-poker/" * 50_000: ("h.io", "/" + "a-poker/" * 50_000, None, "allow"), "": ("", "", None, "allow")}
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df.unionByName(df)).collect()}
     assert [got[i] for i in range(len(urls))] == list(urls.values())
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_vocabularies_are_data(spark, tmp_path):
+    (tmp_path / "terms.tsv").write_text("Strict-One\tstrict\nlight\t0.5\nheavy\t3\nmiddle\t1.5\nLIGHT\t0.75\nplain\n\n")
+    v = url_filter.read_vocabulary(spark, str(tmp_path / "terms.tsv"))
+    assert (v.strict, v.soft) == (("strict-one",), (("heavy", 3.0), ("light", 0.75), ("middle", 1.5), ("plain", 1.0)))
+    rows = ["http://a.b/x/strict-one", "http://a.b/heavy", "http://a.b/light.middle", "http://a.b/light.plain", "http://a.b/heavy+light", "http://a.b/xheavy+light"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = sorted((r.page_id, r.verdict, r.n_strict, r.n_soft, r.soft_weight) for r in url_filter.judge(df, vocabulary=v).collect())
+    assert got == [(0, "block", 1, 0, 0.0), (1, "allow", 0, 1, 3.0), (2, "block", 0, 2, 2.25), (3, "allow", 0, 2, 1.75), (4, "block", 0, 2, 3.75), (5, "allow", 0, 1, 0.75)]
+    monkey = url_filter.MOST_TERMS
+    try:
+        url_filter.MOST_TERMS = 2
+        with pytest.raises(ValueError):
+            url_filter.read_vocabulary(spark, str(tmp_path / "terms.tsv"))
+    finally:
+        url_filter.MOST_TERMS = monkey
+
+
+def test_a_large_vocabulary_counts_as_a_plain_search_does():
+    rng = random.Random(9)
+    terms = {"".join(rng.choice("abc-") for _ in range(rng.randint(1, 5))) for _ in range(400)}
+    v = url_filter.Vocabulary.of({t: rng.choice([None, 0.5, 1.0, 2.0]) for t in terms})
+    count = v.counter()
+    for _ in range(300):
+        text = "".join(rng.choice("abc-/é1") for _ in range(rng.randint(0, 40)))
+        spots = [(t, m.start()) for t in terms for m in re.finditer(f"(?={re.escape(t)})", text)]
+        clear = [(t, a) for t, a in spots if not re.match("[a-z0-9]", text[a - 1 : a] if a else "") and not re.match("[a-z0-9]", text[a + len(t) :])]
+        soft = {t for t, _ in clear} & set(dict(v.soft))
+        strict, distinct, weight = count(text)
+        assert (strict, distinct) == (sum(t in v.strict for t, _ in clear), len(soft)) and weight == pytest.approx(sum(dict(v.soft)[t] for t in soft))
+
+
 # Pipeline and queries
 
 

@@ -27,6 +27,8 @@ from gridlark.llm.common import in_small_batches
 from gridlark.storage import written
 
 CAPACITY = 2048
+#: Counts by task and length that may be broadcast (20 bytes each).
+BROADCAST_COUNTS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, part int, place long"
 PLAN = "length int, rank_from long, rank_to long, first_sequence long, first_offset int, per_sequence int"
 
@@ -116,15 +118,17 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces.
 
     The histogram, at most ``capacity`` rows, and the plan made from it, whose rows its capacity bounds, are all that
-    the driver holds and all that is broadcast.
+    the driver holds. They are broadcast, and so are counts by task and length up to ``BROADCAST_COUNTS``; more are joined by merging.
     """
     spark = cut.sparkSession
     here = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = written(here.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
+    base = counts.select("part", "length", "base")
+    base = F.broadcast(base) if counts.count() <= BROADCAST_COUNTS else base.hint("merge")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = spark.createDataFrame(plan(histogram, capacity), PLAN)
-    ranked = cut.join(counts.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
+    ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     at = F.col("rank") - F.col("rank_from")
     taken = ranked.join(F.broadcast(rows.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (at >= 0) & (F.col("rank") < F.col("rank_to")))
     return taken.select(

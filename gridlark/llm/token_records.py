@@ -5,7 +5,7 @@ checksum (4); all numbers are little-endian. The payload is one document's ids,
 needs it). The checksum is CRC-32, rotated and offset like the masks of the usual record files so that the checksum
 of data holding checksums stays sound. An index file has one entry of 24 bytes per frame: document id, offset in the data file, number of ids.
 
-Documents are dealt to files by ranges of doc_id, so that the files in order hold ascending ids; a file is written
+Documents are dealt to files by ranges of doc_id (and, where rows share one, of text), so that the files in order hold ascending ids; a file is written
 under a name of the task's attempt and then renamed, and the manifest names the attempt's file, so that a repeated
 attempt or a lost executor leaves no half file in use.
 
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from gridlark.llm import vocab
 from gridlark.llm.common import in_small_batches
-from gridlark.storage import new_path, written
+from gridlark.storage import new_path, partitions, written
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
 NO_ID = -(1 << 63)
-#: Bytes read at once from a data file.
-READ_BYTES = 4 << 20
+#: Bytes read at once from a data file, documents in one, and characters of a text that the deal to files looks at.
+READ_BYTES, FILE_DOCS, PREFIX = 4 << 20, 100_000, 32
 
 
 class BadRecord(ValueError):
@@ -80,8 +80,9 @@ MANIFEST = "part int, file string, n_records long, n_ids long, n_bytes long"
 def write(docs: DataFrame, path: str, vocabulary: str, cut: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes all documents below ``path``; returns the manifest, one row per data file, itself written there."""
     rows = in_small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = partitions(docs.sparkSession, docs.count(), FILE_DOCS)
+    # Rows that share an id may go to several files: the prefix follows the order of texts, and keeps the sampled bounds short.
+    dealt = rows.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,18 +124,18 @@ RECORDS = "doc_id long, start long, n_tokens long, ids binary"
 def read(spark: SparkSession, path: str, manifest: DataFrame, width: int = 2) -> DataFrame:
     """All records of the files that the manifest names: doc_id, start (ids of all records before), n_tokens, ids (binary).
 
-    Each file is a task of its own; a start is the sum of the manifest's counts before the file plus that inside it.
+    Files are dealt to tasks by ranges of their numbers, one each; a start is the sum of the manifest's counts before the file plus that inside it.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(manifest.count(), 1)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield from _records(path, row["file"], row["first"], row["n_records"], width)
 
-    return files.select("part", "file", "first", "n_records").repartition(n, "part").mapInArrow(load, RECORDS)
+    return files.select("part", "file", "first", "n_records").repartitionByRange(n, "part").mapInArrow(load, RECORDS)
 
 
 def _records(path: str, name: str, start: int, wanted: int, width: int) -> Iterator[pa.RecordBatch]:

@@ -690,6 +690,14 @@ def test_every_reply_is_an_example_and_comes_back(spark):
     assert chat_format.expand(df.limit(0)).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} <|im_end|>") for k in range(120)] + [(2, 0, "user", "\\<|" * 200_000), (2, 1, "assistant", "é<|" * 200_000)]
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2):
+        assert [(t.role, t.text) for t in got[c].turns] == [(r, t) for i, _, r, t in rows if i == c]
+        assert got[c].loss == "".join(t for i, _, r, t in rows if i == c and r == "assistant")
+
+
 # URLs
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridlark.llm import packing, queries, token_records, vocab
 
@@ -42,6 +43,26 @@ def test_records_hold_every_document_in_order(spark, docs):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out), key=lambda r: r[1]) == wanted
 
 
+def test_an_id_that_most_rows_share_goes_to_several_files(spark):
+    rng = random.Random(5)
+    rows = [(7, "".join(rng.choice("abcdef ") for _ in range(40))) for _ in range(400)] + [(i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    read = token_records.write_and_read(df, queries.vocabulary_path(queries.WORD_BPE), vocab.WORDS, 1)
+    start = 0
+    for r, (i, t) in zip(sorted(read.collect(), key=lambda r: r.start), sorted(rows), strict=True):
+        ids = [*whole(queries.WORD_BPE, t), 1]
+        assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u2").tolist()) == (i, start, ids)
+        start += len(ids)
+    assert len({r.p for r in read.where("doc_id = 7").select(F.spark_partition_id().alias("p")).collect()}) > 1
+
+
+def test_many_counts_are_joined_by_merging(spark, docs, monkeypatch):
+    before = sorted(map(str, packing.pack(docs, queries.vocabulary_path(queries.BYTE_BPE), vocab.SPACED, 0, keep_ids=False).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    merged = packing.pack(docs, queries.vocabulary_path(queries.BYTE_BPE), vocab.SPACED, 0, keep_ids=False)
+    assert sorted(map(str, merged.collect())) == before
+
+
 def test_records_of_an_empty_table(spark, docs):
     assert token_records.write_and_read(docs.limit(0), queries.vocabulary_path(queries.WORD_BPE), vocab.WORDS, 1).count() == 0
 

@@ -44,7 +44,7 @@ LOAD = 2000
 #: Members and queries of a cell.
 BLOCK, CHUNK = 4096, 1024
 #: Buckets whose numbers of blocks and chunks may be broadcast (24 bytes each), and cells that a task compares, about.
-BROADCAST_BUCKETS, TASK_CELLS = 1_000_000, 8
+BROADCAST_BUCKETS, TASK_CELLS = 1_000_000, 256
 #: Rows hashed at once.
 GROUP = 256
 SEED = 20

@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark import storage
+
 WRAP = 1 << 32
 
 
+def lost_between(before: Column, seq: Column) -> Column:
+    """Packets missing between two that arrive one after the other, modulo the wrap; none before the first."""
+    return F.coalesce(F.pmod(seq - before - 1, F.lit(WRAP)), F.lit(0))
+
+
 def seq_gaps(packets: DataFrame, sender: str = "sender", arrival: str = "arrival", seq: str = "seq") -> DataFrame:
     """Per sender: packets and lost ones, counted modulo 2^32 in order of arrival.
 
-    A repeated packet adds 2^32 - 1 and a late one subtracts, modulo the wrap.
+    A repeated packet adds 2^32 - 1 and a late one subtracts, modulo the wrap. If a sender has more packets than a task should order
+    (``RANGE_ROWS``), packets are dealt by ranges of sender and arrival, and each range takes on from the last number of the one before.
+    """
+    rows = packets.select(F.col(sender).alias("sender"), F.col(arrival).alias("arrival"), F.col(seq).alias("seq"))
+    few = storage.largest_group(rows, "sender") <= storage.RANGE_ROWS
+    rows = rows.withColumn(storage.PART, F.lit(0)) if few else storage.ranged(rows, "sender", "arrival")
+    inside = rows.withColumn("lost", lost_between(F.lag("seq").over(Window.partitionBy("sender", storage.PART).orderBy("arrival")), F.col("seq")))
+    parts = inside.groupBy("sender", storage.PART).agg(F.count("*").alias("packets"), F.sum("lost").alias("lost"), F.min_by("seq", "arrival").alias("first"), F.max_by("seq", "arrival").alias("last"))
+    if not few:
+        parts = parts.withColumn("lost", F.col("lost") + lost_between(F.lag("last").over(Window.partitionBy("sender").orderBy(storage.PART)), F.col("first")))
+    return parts.groupBy(F.col("sender").alias(sender)).agg(F.sum("packets").alias("packets"), F.pmod(F.sum("lost"), F.lit(WRAP)).alias("lost"))
+
+
+def finite_before(points: DataFrame, finite: Column, *order: str, group: str = "frame_id", to: str = "slot") -> DataFrame:
+    """Adds how many rows of the group before this one, in a total order, satisfy ``finite``: where stream compaction puts them.
+
+    Groups beyond ``RANGE_ROWS`` are dealt by ranges; the sums of their ranges are added up in a small table.
     """
-    before = F.lag(seq).over(Window.partitionBy(sender).orderBy(arrival))
-    lost = F.coalesce(F.pmod(F.col(seq) - before - 1, F.lit(WRAP)), F.lit(0))
-    return packets.select(sender, lost.alias("lost")).groupBy(sender).agg(F.count("*").alias("packets"), F.pmod(F.sum("lost"), F.lit(WRAP)).alias("lost"))
+    rows = points.withColumn("_f", finite.cast("long"))
+    few = storage.largest_group(points, group) <= storage.RANGE_ROWS
+    rows = rows.withColumn(storage.PART, F.lit(0)) if few else storage.ranged(rows, group, *order)
+    inside = F.sum("_f").over(Window.partitionBy(group, storage.PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    if few:
+        return rows.withColumn(to, F.col("_inside")).drop("_f", "_inside", storage.PART)
+    before = Window.partitionBy(group).orderBy(storage.PART).rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(group, storage.PART).agg(F.sum("_f").alias("_n")).select(group, storage.PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(base, [group, storage.PART]).withColumn(to, F.col("_base") + F.col("_inside")).drop("_f", "_inside", "_base", storage.PART)
 
 
 def conflate(results: DataFrame, window: str = "batch", order: str = "timestamp_ns") -> DataFrame:

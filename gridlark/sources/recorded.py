@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.storage import ordinal
+
 POINTS = "frame_id long, pixel_id long, x float, y float, z float, w float"
 FRAMES = "frame_id long, timestamp_ns long, pose struct<x: float, y: float, z: float, w: float>"
 
@@ -23,12 +25,9 @@ def event_time(frames: DataFrame) -> DataFrame:
     return frames.withColumn("ts", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("long")))
 
 
-def skip(frames: DataFrame, k: int, order: str = "timestamp_ns") -> DataFrame:
-    """Every (k+1)-th frame: k are dropped before each one kept, and an incomplete group at the end is dropped.
-
-    Ordinals come from a global order over the frame table, one narrow row per frame.
-    """
+def skip(frames: DataFrame, k: int, *order: str) -> DataFrame:
+    """Every (k+1)-th frame in a total order (by default time stamp, then frame_id): k are dropped before each one kept, and an
+    incomplete group at the end is dropped."""
     if k == 0:
         return frames
-    ordinal = F.row_number().over(Window.orderBy(order)) - 1
-    return frames.withColumn("_ordinal", ordinal).where(F.pmod("_ordinal", F.lit(k + 1)) == k).drop("_ordinal")
+    return ordinal(frames, *(order or ("timestamp_ns", "frame_id")), to="_ordinal").where(F.pmod("_ordinal", F.lit(k + 1)) == k).drop("_ordinal")

@@ -18,6 +18,8 @@ RANGE_ROWS = 1_000_000
 #: A key with more than this share of a table's rows is hot; there are fewer than HOT such keys.
 HOT = 256
 PART = "_part"
+#: Folders of local sessions without a named one, by application.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gridlark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="gridlark-")
+        found = _own[app]
     if "://" not in found:
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -74,7 +78,9 @@ def ranged(df: DataFrame, *order: str, rows_each: int = RANGE_ROWS) -> DataFrame
 
 
 def ordinal(df: DataFrame, *order: str, to: str) -> DataFrame:
-    """df with its rows' numbers from 0 in a total order. Only the sizes of the ranges meet in one task."""
+    """df with its rows' numbers from 0 in a total order. A table beyond ``RANGE_ROWS`` is dealt by ranges, of which only the sizes meet in one task."""
+    if df.limit(RANGE_ROWS + 1).count() <= RANGE_ROWS:
+        return df.withColumn(to, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     rows = ranged(df, *order)
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy(PART).agg(F.count("*").alias("_n")).select(PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -83,6 +89,11 @@ def ordinal(df: DataFrame, *order: str, to: str) -> DataFrame:
     return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_inside")).alias(to))
 
 
+def largest_group(df: DataFrame, key: str) -> int:
+    """Rows of the most frequent key."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """many joined (inner or left) with ``one``, which has a bounded number of rows a key, without a task of its own for a hot key.
 

@@ -95,3 +95,14 @@ class Grid:
                     (x, y), (u, v) = at[i, j], at[n]
                     rows.append((i, j, di, dj, *n, float(np.sqrt((x - u) ** 2 + (y - v) ** 2))))
         return spark.createDataFrame(rows, "i int, j int, di int, dj int, ri int, rj int, dxy double")
+
+    def stencils(self, spark: SparkSession) -> DataFrame:
+        """One row a cell: k = i * nt + j, i, j, the range of its centre, and by offset (row-major) the neighbours' k (near) and distances (dxy)."""
+        at = [self.centre(i, j) for i in range(self.nr) for j in range(self.nt)]
+        reach = range(-STEP_HALF, STEP_HALF + 1)
+        rows = []
+        for k, (r, _, x, y) in enumerate(at):
+            i, j = divmod(k, self.nt)
+            near = [reflected(i + di, self.nr) * self.nt + reflected(j + dj, self.nt) for di in reach for dj in reach]
+            rows.append((k, i, j, float(r), near, [float(np.sqrt((x - at[n][2]) ** 2 + (y - at[n][3]) ** 2)) for n in near]))
+        return spark.createDataFrame(rows, "k int, i int, j int, r_c float, near array<int>, dxy array<double>")

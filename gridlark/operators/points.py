@@ -6,7 +6,7 @@ but raw points are not dealt by it: a frame with most of the points would land i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.config import PolarConfig, VoxelConfig
@@ -58,19 +58,31 @@ def voxel_count(points: DataFrame, c: VoxelConfig) -> DataFrame:
     return voxel_index(points, c).groupBy("frame_id", "ix", "iy", "iz").agg(F.count("*").alias("n"))
 
 
-def voxel_filter(points: DataFrame, c: VoxelConfig) -> DataFrame:
-    """Centres of voxels with enough points.
+def with_centres(counted: DataFrame, c: VoxelConfig) -> DataFrame:
+    """Voxels with their centres x, y, z.
 
     The centres come from a generator: later filters on them stay above the count, where there are few rows. The optimizer
     would otherwise rewrite them over the raw coordinates and evaluate them for every point.
     """
     sizes = {"x": c.voxel_size_x, "y": c.voxel_size_y, "z": c.voxel_size_z}
     centres = [((single(F.col(f"i{a}")) + f32(0.5)) * f32(s)).alias(a) for a, s in sizes.items()]
-    return voxel_count(points, c).where(F.col("n") >= c.min_points_per_voxel).select("frame_id", "ix", "iy", "iz", "n", F.inline(F.array(F.struct(*centres))))
+    return counted.select("frame_id", "ix", "iy", "iz", "n", F.inline(F.array(F.struct(*centres))))
+
+
+def voxel_filter(points: DataFrame, c: VoxelConfig) -> DataFrame:
+    """Centres of voxels with enough points."""
+    return with_centres(voxel_count(points, c).where(F.col("n") >= c.min_points_per_voxel), c)
+
+
+def _range() -> Column:
+    return single(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+
+
+def in_band(c: PolarConfig) -> Column:
+    """Whether a point lies inside the height band and beyond the least range."""
+    return (F.abs("z") < f32(c.z_threshold)) & (_range() > f32(c.min_range))
 
 
 def polarize(voxels: DataFrame, c: PolarConfig) -> DataFrame:
     """Range, bearing and height of points inside the height band and beyond the least range."""
-    r = single(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
-    kept = voxels.where((F.abs("z") < f32(c.z_threshold)) & (r > f32(c.min_range)))
-    return kept.select("frame_id", r.alias("r"), single(F.atan2("y", "x")).alias("theta"), "z")
+    return voxels.where(in_band(c)).select("frame_id", _range().alias("r"), single(F.atan2("y", "x")).alias("theta"), "z")

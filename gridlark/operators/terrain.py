@@ -1,18 +1,22 @@
 """Grid stages: height map, terrain, slope, roughness, step height, danger, ray cast, drivability code.
 
-The three metrics read the same neighbourhoods, so they come from one join of the terrain with the (broadcast) neighbour table and
-one aggregation. A neighbour outside the grid is the mirrored cell, once per offset that leads to it; for a gradient that
-makes the missing neighbour the cell itself, which is what a one-sided difference needs.
+A frame's terrain travels as one row with a dense array of its cells, in which the three metrics find their neighbours by index; a small
+broadcast table, fixed by the configuration, says which. So cells are neither multiplied nor shuffled for them. A neighbour outside
+the grid is the mirrored cell, once per offset that leads to it; for a gradient that makes the missing neighbour the cell itself,
+which is what a one-sided difference needs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.functions.floats import f32, single
-from gridlark.grid import F32, ROUGH_HALF, STEP_NEIGHBOURS, Grid
+from gridlark.functions.floats import f32
+from gridlark.grid import F32, ROUGH_HALF, STEP_HALF, STEP_NEIGHBOURS, Grid
 
 #: Height of cells without points; weights of slope, roughness and step height.
 EMPTY_HEIGHT = -0.3
@@ -40,11 +44,24 @@ def height_map(polar: DataFrame, g: Grid) -> DataFrame:
     return polar_bin(polar, g).where(inside).groupBy("frame_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(F.max("z").alias("z_max"))
 
 
+def dense(heights: DataFrame, frames: DataFrame, g: Grid) -> DataFrame:
+    """One row a frame: frame_id, z (the heights of all cells, row by row; null without points) and t (empty ground in their place)."""
+    cell = F.struct((F.col("i") * g.nt + F.col("j")).alias("k"), "z_max")
+    known = heights.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(g.nr * g.nt - 1))
+    rows = frames.select("frame_id").join(known, "frame_id", "left").select("frame_id", F.transform(every, lambda k: F.try_element_at("m", k)).alias("z"))
+    return rows.select("frame_id", "z", F.transform("z", lambda z: F.coalesce(z, f32(EMPTY_HEIGHT))).alias("t"))
+
+
+def cells_of(rows: DataFrame, g: Grid) -> DataFrame:
+    """One row a frame and cell: the cell's columns of ``Grid.stencils``, z_max, terrain, whether it was seen, and the frame's t."""
+    flat = rows.select("frame_id", "t", F.posexplode("z").alias("k", "z_max")).join(F.broadcast(g.stencils(rows.sparkSession)), "k")
+    return flat.select("*", F.get("t", F.col("k")).alias("terrain"), F.col("z_max").isNotNull().alias("valid"))
+
+
 def terrain(heights: DataFrame, frames: DataFrame, g: Grid) -> DataFrame:
     """Every cell of every frame: its height or that of empty ground, and whether it was seen."""
-    cells = F.broadcast(g.cells(frames.sparkSession).select("i", "j"))
-    dense = frames.select("frame_id").crossJoin(cells).join(heights, ["frame_id", "i", "j"], "left")
-    return dense.select("frame_id", "i", "j", "z_max", F.coalesce("z_max", f32(EMPTY_HEIGHT)).alias("terrain"), F.col("z_max").isNotNull().alias("valid"))
+    return cells_of(dense(heights, frames, g), g).select("frame_id", "i", "j", "z_max", "terrain", "valid")
 
 
 def gradient(t: DataFrame, g: Grid) -> DataFrame:
@@ -60,42 +77,49 @@ def gradient(t: DataFrame, g: Grid) -> DataFrame:
     return t.select("frame_id", "i", "j", along("i", "j", g.dr).alias("dz_dr"), along("j", "i", g.dtheta).alias("dz_dtheta"))
 
 
-def pairs(t: DataFrame, g: Grid) -> DataFrame:
-    """Each cell with each neighbour of the step window: offsets, distance, both heights."""
-    near = F.broadcast(g.neighbours(t.sparkSession))
-    other = t.select("frame_id", F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("terrain").alias("z_n"))
-    return t.select("frame_id", "i", "j", "terrain", "valid").join(near, ["i", "j"]).join(other, ["frame_id", "ri", "rj"])
+def metrics(t: DataFrame, g: Grid) -> DataFrame:
+    """t, of all cells of each frame, with slope, roughness and step_height; a metric over its limit is infinite."""
+    cells = t.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "terrain", "valid"))).alias("c"))
+    z = F.transform("c", lambda c: F.when(c["valid"], c["terrain"]))
+    return metrics_of(cells.select("frame_id", z.alias("z"), F.transform("c", lambda c: c["terrain"]).alias("t")), g)
 
 
-def metrics(t: DataFrame, g: Grid) -> DataFrame:
-    """t with slope, roughness and step_height; a metric over its limit is infinite."""
-    p = pairs(t, g)
+def metrics_of(rows: DataFrame, g: Grid) -> DataFrame:
+    """frame_id, i, j, terrain, valid, slope, roughness, step_height from dense rows."""
+    width = 2 * STEP_HALF + 1
+
+    def offset(di: int, dj: int) -> int:
+        return (di + STEP_HALF) * width + dj + STEP_HALF
+
+    cells = cells_of(rows, g).withColumn("v", F.transform("near", lambda n: F.get("t", n)))
 
     def at(di: int, dj: int) -> Column:
-        return F.max(F.when((F.col("di") == di) & (F.col("dj") == dj), F.col("z_n")))
+        return F.get("v", F.lit(offset(di, dj)))
 
     def rise(step: np.float32, after: Column, before: Column, inner: Column) -> Column:
         return (after - before).cast("double") / F.when(inner, float(F32(2) * step)).otherwise(float(step))
 
-    close = (F.abs("di") <= ROUGH_HALF) & (F.abs("dj") <= ROUGH_HALF)
-    v = F.when(close, F.col("z_n").cast("double"))
-    dz = F.abs(F.col("terrain") - F.col("z_n"))
-    steep = (F.col("dxy") > 0) & (dz > f32(g.step_limit)) & (F.atan2(dz.cast("double"), F.col("dxy")) > float(g.slope_limit))
-    sums = p.groupBy("frame_id", "i", "j").agg(
-        F.first("terrain").alias("terrain"), F.first("valid").alias("valid"),
-        at(1, 0).alias("down"), at(-1, 0).alias("up"), at(0, 1).alias("right"), at(0, -1).alias("left"),
-        F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
-        F.coalesce(F.max(F.when(steep, dz)), F.lit(0.0).cast("float")).cast("double").alias("h"), F.count_if(steep).alias("c"),
+    reach = range(-ROUGH_HALF, ROUGH_HALF + 1)
+    close = [at(di, dj).cast("double") for di in reach for dj in reach]
+
+    def climb(z: Column, d: Column) -> Column:
+        """The height difference to a neighbour, if it is too steep and too high."""
+        dz = F.abs(F.col("terrain") - z)
+        return F.when((d > 0) & (dz > f32(g.step_limit)) & (F.atan2(dz.cast("double"), d) > float(g.slope_limit)), dz)
+
+    dzdr = rise(g.dr, at(1, 0), at(-1, 0), F.col("i").between(1, g.nr - 2))
+    dzdt = rise(g.dtheta, at(0, 1), at(0, -1), F.col("j").between(1, g.nt - 2))
+    m = cells.select(
+        "frame_id", "i", "j", "terrain", "valid", dzdr.alias("dzdr"), (dzdt / F.col("r_c").cast("double")).alias("arc"),
+        reduce(add, close).alias("s"), reduce(add, [v * v for v in close]).alias("ss"), F.array_compact(F.zip_with("v", "dxy", climb)).alias("climbs"),
     )
-    dzdr = rise(g.dr, F.col("down"), F.col("up"), F.col("i").between(1, g.nr - 2))
-    dzdt = rise(g.dtheta, F.col("right"), F.col("left"), F.col("j").between(1, g.nt - 2))
-    r_centre = (f32(g.r_min) + (single(F.col("i")) + f32(0.5)) * f32(g.dr)).cast("double")
-    arc = dzdt / r_centre
-    rough = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / 9 - F.pow(F.col("s") / 9, 2)))
-    step = F.least(F.col("h"), F.col("h") * F.col("c") / STEP_NEIGHBOURS)
-    return sums.select(
+    h = F.coalesce(F.array_max("climbs"), F.lit(0.0).cast("float")).cast("double")
+    n = len(close)
+    rough = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / n - F.pow(F.col("s") / n, 2)))
+    step = F.least(h, h * F.size("climbs") / STEP_NEIGHBOURS)
+    return m.select(
         "frame_id", "i", "j", "terrain", "valid",
-        over(F.atan(F.sqrt(dzdr * dzdr + arc * arc)), g.slope_limit).alias("slope"), over(rough, g.rough_limit).alias("roughness"), over(step, g.step_limit).alias("step_height"),
+        over(F.atan(F.sqrt(F.col("dzdr") * F.col("dzdr") + F.col("arc") * F.col("arc"))), g.slope_limit).alias("slope"), over(rough, g.rough_limit).alias("roughness"), over(step, g.step_limit).alias("step_height"),
     )
 
 
@@ -124,8 +148,7 @@ def codes(n: DataFrame) -> DataFrame:
 
 def grid_of(polar: DataFrame, frames: DataFrame, g: Grid) -> DataFrame:
     """All grid stages: frame_id, i, j, terrain, valid, the metrics, danger, nontraversable, observed, code."""
-    t = terrain(height_map(polar, g), frames, g)
-    return codes(ray_cast(danger(metrics(t, g), g)))
+    return codes(ray_cast(danger(metrics_of(dense(height_map(polar, g), frames, g), g), g)))
 
 
 def colorize(grid: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ class SourceConfig:
                 raise ValueError(f"{name}: {getattr(self, name)!r} is none of {', '.join(known)}")
         if self.frame_skip < 0:
             raise ValueError("frame_skip must not be negative")
+        if self.fps <= 0:
+            raise ValueError("fps must be positive")
 
 
 @dataclass(frozen=True)
@@ -147,5 +149,8 @@ def load(path: str) -> PipelineConfig:
 
 
 def consumer_kind(name: str) -> str:
-    """The consumer a configured name stands for, in any case of letters; unknown names discard results."""
-    return name.lower() if name.lower() in CONSUMERS else "null"
+    """The consumer a configured name stands for, in any case of letters; unknown names discard results, with a warning."""
+    if name.lower() not in CONSUMERS:
+        log.warning("unrecognised consumer %r, discarding results", name)
+        return "null"
+    return name.lower()

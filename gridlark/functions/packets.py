@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructField, StructType
 
 from gridlark.grid import Grid
+from gridlark.storage import ordinal, written
 
 # Fixed values of the wire format.
 MAGIC = 0x54524156
@@ -56,7 +57,7 @@ def layout_ok() -> Column:
 def _encode(seq: pd.Series, stamp: pd.Series, nr: pd.Series, nt: pd.Series, trav: pd.Series, height: pd.Series, r: pd.Series, t: pd.Series) -> pd.Series:
     out = []
     for s, ns, rows, cols, *arrays in zip(seq, stamp, nr, nt, trav, height, r, t, strict=True):
-        head = np.array([(MAGIC, s & 0xFFFFFFFF, ns, rows, cols)], HEADER)
+        head = np.array([(MAGIC, int(s) & 0xFFFFFFFF, int(ns), rows, cols)], HEADER)
         out.append(head.tobytes() + b"".join(np.asarray(a, "<f4").tobytes() for a in arrays))
     return pd.Series(out, dtype=object)
 
@@ -72,16 +73,19 @@ def swapped(hexed: Column, n: int) -> Column:
 
 
 def little_endian(payload: Column, at: int, n: int) -> Column:
-    """An unsigned number of n bytes at a 0-based offset, as BIGINT (as DECIMAL text would be needed only above 2^63)."""
-    return F.conv(swapped(F.hex(F.substring(payload, at + 1, n)), n), 16, 10).cast("decimal(20,0)").cast("long")
+    """An unsigned number of n bytes at a 0-based offset: BIGINT up to four bytes, else DECIMAL(20, 0), which holds all of eight. Null if cut short."""
+    whole = F.when(F.length(payload) >= at + n, F.conv(swapped(F.hex(F.substring(payload, at + 1, n)), n), 16, 10).cast("decimal(20,0)"))
+    return whole.cast("long") if n <= 4 else whole
 
 
 def headers(packets: DataFrame) -> DataFrame:
-    """Packets that are whole and well-formed, with their header's fields; all others are dropped."""
+    """Packets that are whole and well-formed, with their header's fields; all others are dropped.
+
+    Fields are unsigned: seq, nr and nt are BIGINT, timestamp_ns is DECIMAL(20, 0).
+    """
     p = F.col("payload")
-    long_enough = packets.where(F.length(p) >= HEADER_BYTES).where(little_endian(p, 0, 4) == MAGIC)
-    fields = long_enough.select("*", little_endian(p, 4, 4).alias("seq"), little_endian(p, 8, 8).alias("timestamp_ns"), little_endian(p, 16, 4).alias("nr"), little_endian(p, 20, 4).alias("nt"))
-    nr, nt = (F.col(c).cast("decimal(20,0)") for c in ("nr", "nt"))
+    fields = packets.where(little_endian(p, 0, 4) == MAGIC).select("*", little_endian(p, 4, 4).alias("seq"), little_endian(p, 8, 8).alias("timestamp_ns"), little_endian(p, 16, 4).alias("nr"), little_endian(p, 20, 4).alias("nt"))
+    nr, nt = (F.col(c).cast("decimal(10,0)") for c in ("nr", "nt"))
     return fields.where(F.length(p) == HEADER_BYTES + 4 * (2 * nr * nt + nr + nt + 2))
 
 
@@ -104,7 +108,15 @@ def decoded(packets: DataFrame) -> DataFrame:
 
 
 def with_sequence(results: DataFrame) -> DataFrame:
-    """Numbers results in order of time from 0; results that don't fit a datagram get no number and aren't sent."""
-    from pyspark.sql import Window
+    """Numbers results in order of time (then frame) from 0; results that don't fit a datagram get no number and aren't sent."""
+    return numbered(results.where(layout_ok()), "seq")
+
+
+def numbered(results: DataFrame, to: str) -> DataFrame:
+    """results with their numbers in order of time. The order is found on keys alone; the arrays stay where they are.
 
-    return results.where(layout_ok()).withColumn("seq", F.row_number().over(Window.orderBy("timestamp_ns")).cast("long") - 1)
+    results are read twice, so they are written first unless they are cached.
+    """
+    held = results if results.is_cached else written(results, "results")
+    keys = ordinal(held.select("frame_id", "timestamp_ns"), "timestamp_ns", "frame_id", to=to)
+    return held.join(keys.select("frame_id", to), "frame_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark import config
@@ -57,7 +57,7 @@ def cloud(spark, d):
 
 def leveled(spark, d):
     points, frames = cloud(spark, d)
-    return P.tilt_compensate(P.extract_xyz(points), frames, few_frames=True)
+    return P.tilt_compensate(P.extract_xyz(points), frames)
 
 
 def voxels(spark, d):
@@ -73,7 +73,7 @@ def ground(spark, d):
 
 
 def measured(spark, d):
-    return T.metrics(ground(spark, d), G)
+    return T.metrics_of(T.dense(T.height_map(polar(spark, d), G), synthetic.frames(spark, d), G), G)
 
 
 def full_grid(spark, d):
@@ -96,7 +96,7 @@ def scan_points(spark, d):
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 3 = 2")
 def frame_skip(spark, d):
     at = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.struct("ts", "event_id").alias("timestamp_ns"))
-    return recorded.skip(at, 2).select("event_id")
+    return recorded.skip(at, 2, "timestamp_ns").select("event_id")
 
 
 @query(O.chain(f"SELECT frame_id, timestamp_ns, {wide_sql('qx', 'qy', 'qz', 'qw')}, count(*) AS points FROM points JOIN frames USING (frame_id) GROUP BY ALL"))
@@ -111,7 +111,7 @@ def frame_ts(spark, d):
     return recorded.event_time(synthetic.frames(spark, d)).select("frame_id", "timestamp_ns", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {w}, {h})" for k, (w, h) in config.RESOLUTIONS.items()) + ", ('other', 1920, 1080)) t(resolution, w, h)")
+@query("SELECT * FROM (VALUES ('VGA', 672, 376), ('SVGA', 800, 600), ('HD720', 1280, 720), ('HD1080', 1920, 1080), ('HD2K', 2208, 1242), ('other', 1920, 1080)) t(resolution, w, h)")
 def resolution_dims(spark, d):
     return spark.createDataFrame([(n, *config.resolution_dims(n)) for n in (*config.RESOLUTIONS, "other")], "resolution string, w int, h int")
 
@@ -184,8 +184,7 @@ def compaction_offsets(spark, d):
     """The explicit form of stream compaction; the pipeline itself only filters."""
     points = synthetic.points(spark, d)
     finite = P.is_finite(F.col("x")) & P.is_finite(F.col("y")) & P.is_finite(F.col("z"))
-    before = Window.partitionBy("frame_id").orderBy("pixel_id", "y", "z").rowsBetween(Window.unboundedPreceding, -1)
-    return points.select("frame_id", "pixel_id", F.coalesce(F.sum(finite.cast("int")).over(before), F.lit(0)).alias("slot"))
+    return streams.finite_before(points, finite, "pixel_id", "y", "z").select("frame_id", "pixel_id", "slot")
 
 
 @query(O.chain(f"SELECT frame_id, {rounded_sql('r', 'theta', 'z')} FROM polar"))
@@ -312,9 +311,28 @@ def packed_results(spark, d):
     return packets.packed(full_grid(spark, d), synthetic.frames(spark, d), G)
 
 
-@query(O.chain(f"SELECT frame_id, timestamp_ns, {G.nr} AS r_bins, {G.nt} AS theta_bins, true AS ok FROM frames"))
+@query(O.chain("SELECT frame_id, timestamp_ns, variant, variant IN ('good', 'empty') AS ok FROM frames, (VALUES ('good'), ('short grid'), ('short heights'), ('edges'), ('bins'), ('negative'), ('too large'), ('empty')) v(variant)"))
 def layout_check(spark, d):
-    return packed_results(spark, d).select("frame_id", "timestamp_ns", "r_bins", "theta_bins", packets.layout_ok().alias("ok"))
+    """Every result as it is and damaged in several ways."""
+    r = packed_results(spark, d)
+    none = F.array().cast("array<float>")
+
+    def filled(n: int) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), n)
+
+    large = {"trav_grid": filled(10_000), "height_map": filled(10_000), "r_edges": filled(101), "theta_edges": filled(101), "r_bins": F.lit(100), "theta_bins": F.lit(100)}
+    variants = {
+        "good": {},
+        "short grid": {"trav_grid": F.slice("trav_grid", 1, G.nr * G.nt - 1)},
+        "short heights": {"height_map": F.slice("height_map", 2, G.nr * G.nt - 1)},
+        "edges": {"theta_edges": F.concat("theta_edges", filled(1))},
+        "bins": {"r_bins": F.lit(G.nt), "theta_bins": F.lit(G.nr)},
+        "negative": {"r_bins": F.lit(-1), "theta_bins": F.lit(-1), "trav_grid": filled(1), "height_map": filled(1), "r_edges": none, "theta_edges": none},
+        "too large": large,
+        "empty": {"trav_grid": none, "height_map": none, "r_edges": filled(1), "theta_edges": filled(1), "r_bins": F.lit(0), "theta_bins": F.lit(0)},
+    }
+    rows = [F.struct(F.lit(v).alias("variant"), *[new.get(c, F.col(c)).alias(c) for c in large]) for v, new in variants.items()]
+    return r.select("frame_id", "timestamp_ns", F.inline(F.array(*rows))).select("frame_id", "timestamp_ns", "variant", packets.layout_ok().alias("ok"))
 
 
 @query("SELECT nr, nt, 24 + 8 * nr * nt + 4 * (nr + 1) + 4 * (nt + 1) AS bytes FROM (SELECT p_partkey % 40 AS nr, p_size::BIGINT AS nt FROM part)")
@@ -332,20 +350,34 @@ def packet_roundtrip(spark, d):
 
 
 def packet_stream(spark, d) -> DataFrame:
-    """Packets without cells, one per event, of which some are cut short, mislabelled or of a wrong length."""
+    """Packets of small grids, one per event. Some are cut short, mislabelled or of a wrong length, some claim enormous grids, and some
+    have time stamps that only unsigned numbers hold."""
     events = spark.read.parquet(f"{d}/events.parquet")
 
     def number(c, n: int) -> Column:
         return F.unhex(packets.swapped(F.lpad(F.hex(c), 2 * n, "0"), n))
 
-    head = F.concat(number(F.lit(packets.MAGIC).cast("long"), 4), number(F.col("event_id"), 4), number(F.unix_micros(F.col("ts").cast("timestamp")) * 1000, 8), number(F.lit(0).cast("long"), 4), number(F.lit(0).cast("long"), 4), F.unhex(F.lit("00" * 8)))
-    broken = F.when(F.col("event_id") % 11 == 3, F.substring(head, 1, 23)).when(F.col("event_id") % 13 == 5, F.substring(head, 1, 30)).when(F.col("event_id") % 17 == 2, F.concat(F.unhex(F.lit("00")), F.substring(head, 2, 31)))
-    return events.select(F.col("event_id").alias("arrival"), F.col("user_id").alias("sender"), F.coalesce(broken, head).alias("payload"))
+    def zeros(n: Column) -> Column:
+        return F.unhex(F.repeat(F.lit("00"), n))
 
+    k = F.col("event_id")
+    stamp = F.when(k % 19 == 4, F.lit(-1).cast("long") - k).otherwise(F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
+    nr, nt = k % 4, k % 3
+    huge = k % 23 == 6
+    claimed = [F.when(huge, F.lit(4294967295)).otherwise(n) for n in (nr, nt)]
+    body = zeros((4 * (2 * nr * nt + nr + nt + 2)).cast("int"))
+    whole = F.concat(number(F.lit(packets.MAGIC).cast("long"), 4), number(k, 4), number(stamp, 8), *(number(n.cast("long"), 4) for n in claimed), body)
+    broken = F.when(k % 11 == 3, F.substring(whole, 1, 23)).when(k % 13 == 5, F.substring(whole, 1, 30)).when(k % 17 == 2, F.concat(F.unhex(F.lit("00")), F.substring(whole, 2, 1000))).when(k % 29 == 7, F.unhex(F.lit("")))
+    return events.select(k.alias("arrival"), F.col("user_id").alias("sender"), F.coalesce(broken, whole).alias("payload"))
 
-@query("SELECT event_id AS arrival, event_id AS seq, epoch_us(ts) * 1000 AS timestamp_ns, 0::BIGINT AS nr, 0::BIGINT AS nt FROM events WHERE event_id % 11 <> 3 AND event_id % 13 <> 5 AND event_id % 17 <> 2")
+
+@query(
+    "SELECT event_id AS arrival, event_id AS seq, CASE WHEN event_id % 19 = 4 THEN (18446744073709551615 - event_id)::VARCHAR ELSE (epoch_us(ts) * 1000)::VARCHAR END AS timestamp_ns, "
+    "event_id % 4 AS nr, event_id % 3 AS nt FROM events WHERE event_id % 11 <> 3 AND event_id % 13 <> 5 AND event_id % 17 <> 2 AND event_id % 23 <> 6 AND event_id % 29 <> 7"
+)
 def packet_decode(spark, d):
-    return packets.headers(packet_stream(spark, d)).select("arrival", "seq", "timestamp_ns", "nr", "nt")
+    """The time stamp as text: both engines show all 64 unsigned bits of it alike."""
+    return packets.headers(packet_stream(spark, d)).select("arrival", "seq", F.col("timestamp_ns").cast("string").alias("timestamp_ns"), "nr", "nt")
 
 
 # Measures

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import socket
 import struct
 import zlib
@@ -9,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.config import PipelineConfig, consumer_kind
@@ -20,10 +22,11 @@ SCALE = 8
 COLOURS = ((128, 128, 128), (0, 200, 0), (220, 0, 0))
 HOST, PORT = "127.0.0.1", 5005
 
-Sink = Callable[[DataFrame], None]
+#: Takes results and, from a stream, their batch's number.
+Sink = Callable[..., None]
 
 
-def discard(results: DataFrame) -> None:
+def discard(results: DataFrame, batch: int | None = None) -> None:
     results.write.format("noop").mode("overwrite").save()
 
 
@@ -34,11 +37,6 @@ def csv_rows(grid: DataFrame) -> DataFrame:
     return grid.groupBy("frame_id", "i").agg(F.array_join(F.transform(row, lambda c: c["v"]), ",").alias("line"))
 
 
-def numbered(results: DataFrame, first: int = 0) -> DataFrame:
-    """Adds file_index, the order of consumption."""
-    return results.withColumn("file_index", F.row_number().over(Window.orderBy("timestamp_ns")).cast("long") - 1 + first)
-
-
 def png(nr: int, nt: int, codes: np.ndarray, scale: int = SCALE) -> bytes:
     """The grid's picture: one colour per cell, each scale x scale pixels."""
     kinds = np.where(np.isnan(codes), 0, np.where(codes <= 0.5, 1, 2)).reshape(nr, nt)
@@ -58,7 +56,10 @@ def csv_text(nr: int, nt: int, codes: np.ndarray) -> bytes:
 
 
 def write_files(results: DataFrame, folder: str, images: bool, first: int = 0) -> int:
-    """Writes frame_<index>.png or .csv for each packed result, from the executors, below a URI; returns how many."""
+    """Writes frame_<index>.png or .csv for each packed result, from the executors, below a URI; returns how many.
+
+    Results are numbered by their frames' time stamps from ``first`` on; only these keys are put into a global order.
+    """
     kind = "png" if images else "csv"
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +77,8 @@ def write_files(results: DataFrame, folder: str, images: bool, first: int = 0) -
                 fs.move(name + f".{r.file_index}.part", name)
             yield pd.DataFrame({"n": [len(rows)]})
 
-    rows = numbered(results, first).select("file_index", "trav_grid", "r_bins", "theta_bins").repartition("file_index")
+    rows = packets.numbered(results, "file_index").withColumn("file_index", F.col("file_index") + first)
+    rows = rows.select("file_index", "trav_grid", "r_bins", "theta_bins")
     return rows.mapInPandas(store, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
@@ -101,15 +103,42 @@ def send(results: DataFrame, host: str = HOST, port: int = PORT, first_seq: int
     return seq
 
 
-def sink_of(config: PipelineConfig) -> Sink:
-    """The sink that the configuration names; it keeps count of what it has written."""
-    kind, done = consumer_kind(config.consumer), [0]
+class Counts:
+    """How many results a sink has taken, batch by batch, kept below ``state`` so that they survive a restart.
 
-    def disk(results: DataFrame) -> None:
-        folder = config.disk_writer.output_dir
-        done[0] += write_files(results, folder if "://" in folder else "file://" + folder, config.disk_writer.write_images, done[0])
+    A batch that is repeated after a failure starts from the count before it and so writes the same names again.
+    """
 
-    def network(results: DataFrame) -> None:
-        done[0] = send(results, first_seq=done[0])
+    def __init__(self, spark: SparkSession, state: str | None = None):
+        self.spark, self.state, self.now = spark, state, 0
+
+    def before(self, batch: int | None) -> int:
+        if self.state is None or batch is None:
+            return self.now
+        if batch == 0:
+            return 0
+        try:
+            return self.spark.read.parquet(f"{self.state}/{batch - 1}").first()["n"]
+        except AnalysisException:  # this batch is the first that the sink sees
+            return self.now
+
+    def after(self, batch: int | None, n: int) -> None:
+        self.now = n
+        if self.state is not None and batch is not None:
+            self.spark.range(1).select(F.lit(n).cast("long").alias("n")).write.mode("overwrite").parquet(f"{self.state}/{batch}")
+
+
+def sink_of(config: PipelineConfig, spark: SparkSession, state: str | None = None) -> Sink:
+    """The sink that the configuration names. It counts what it has written; with a folder for its state also across restarts."""
+    kind, counts = consumer_kind(config.consumer), Counts(spark, state)
+    folder = config.disk_writer.output_dir
+    folder = folder if "://" in folder else "file://" + os.path.abspath(folder)
+
+    def disk(results: DataFrame, batch: int | None = None) -> None:
+        first = counts.before(batch)
+        counts.after(batch, first + write_files(results, folder, config.disk_writer.write_images, first))
+
+    def network(results: DataFrame, batch: int | None = None) -> None:
+        counts.after(batch, send(results, first_seq=counts.before(batch)))
 
     return {"disk": disk, "network": network}.get(kind, discard)

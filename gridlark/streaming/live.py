@@ -26,20 +26,23 @@ def newest(results: DataFrame) -> tuple[DataFrame, int]:
     return results.where(F.col("timestamp_ns") == counts["last"]) if counts["n"] else results, max(counts["n"] - 1, 0)
 
 
-def grid_stream(points: DataFrame, frames: DataFrame, config: PipelineConfig, sink: Callable[[DataFrame], None], checkpoint: str, conflate: bool = True, on_drop: Callable[[int], None] | None = None, interval: str | None = None) -> StreamingQuery:
-    """Starts the query: points is a stream, frames a table of poses. ``interval`` paces it; otherwise it runs through what there is and ends."""
+def grid_stream(
+    points: DataFrame, frames: DataFrame, config: PipelineConfig, sink: Callable[..., None], checkpoint: str, conflate: bool = True,
+    on_batch: Callable[[int, int], None] | None = None, interval: str | None = None,
+) -> StreamingQuery:
+    """Starts the query: points is a stream, frames a table of poses. ``interval`` paces it; otherwise it runs through what there is and ends.
 
-    def each(batch: DataFrame, _: int) -> None:
+    The sink gets results and the batch's number; on_batch gets the frames that a batch had and those that newer ones superseded.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
         seen = frames.join(batch.select("frame_id").distinct(), "frame_id", "left_semi")
         results = pipeline.results(batch, seen, config).persist()
         try:
-            if conflate:
-                kept, dropped = newest(results)
-                if on_drop and dropped:
-                    on_drop(dropped)
-                sink(kept)
-            else:
-                sink(results)
+            kept, dropped = newest(results) if conflate else (results, 0)
+            sink(kept, number)
+            if on_batch:
+                on_batch(results.count(), dropped)
         finally:
             results.unpersist()
 

@@ -32,11 +32,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr(
         "frame_id",
         "pixel_id",
-        "case when nan_when_0 = 0 then float('NaN') else cast(cast(x_mm as float) / cast(1000 as float) as float) end as x",
-        "cast(cast(y_mm as float) / cast(1000 as float) as float) as y",
-        "case when inf_when_0 = 0 then float('Infinity') else cast(cast(case when ((x_mm div 300) * 3 + ((y_mm + 2000) div 250) * 5 + frame_id) % 7 = 0 "
-        "then 60 + jit else -299 + jit end as float) / cast(1000 as float) as float) end as z",
-        "cast(jit as float) as w",
+        # Out of a generator the coordinates are plain columns, as they would be in a stored cloud. As expressions they would be repeated in every
+        # later one, until the generated code is too large to be compiled.
+        "inline(array(named_struct("
+        "'x', case when nan_when_0 = 0 then float('NaN') else cast(cast(x_mm as float) / cast(1000 as float) as float) end, "
+        "'y', cast(cast(y_mm as float) / cast(1000 as float) as float), "
+        "'z', case when inf_when_0 = 0 then float('Infinity') else cast(cast(case when ((x_mm div 300) * 3 + ((y_mm + 2000) div 250) * 5 + frame_id) % 7 = 0 "
+        "then 60 + jit else -299 + jit end as float) / cast(1000 as float) as float) end, "
+        "'w', cast(jit as float))))",
     )
 
 

@@ -22,7 +22,7 @@ def stream_points(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 def event_time(frames: DataFrame) -> DataFrame:
     """Adds ts, the time stamp in microseconds (the nanoseconds stay in timestamp_ns)."""
-    return frames.withColumn("ts", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("long")))
+    return frames.withColumn("ts", F.expr("timestamp_micros((timestamp_ns - pmod(timestamp_ns, 1000)) div 1000)"))
 
 
 def skip(frames: DataFrame, k: int, *order: str) -> DataFrame:

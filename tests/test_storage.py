@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark import storage
 from gridlark.functions import streams
+from gridlark.sources import recorded
 
 
 class Session:
@@ -82,3 +83,9 @@ def test_spread_joins_are_joins(spark, how, least):
     hot = m.groupBy("i", "s").agg(F.count("*").alias("n")).where(F.col("n") > least)
     got = storage.spread_join(m, o, ["i", "s"], hot, how)
     assert sorted(map(str, got.select("i", "s", "k", "v").collect())) == sorted(map(str, m.join(o, ["i", "s"], how).select("i", "s", "k", "v").collect()))
+
+
+def test_event_times_keep_every_microsecond(spark):
+    stamps = [1705232584597200000, 1705232584597200999, 1706142270696784001, 0, -1, -1000, -1001]
+    got = recorded.event_time(spark.createDataFrame([(t,) for t in stamps], "timestamp_ns long")).select("timestamp_ns", F.unix_micros("ts").alias("us")).collect()
+    assert {r.timestamp_ns: r.us for r in got} == {t: t // 1000 for t in stamps}

@@ -119,8 +119,10 @@ class Counts:
             return 0
         try:
             return self.spark.read.parquet(f"{self.state}/{batch - 1}").first()["n"]
-        except AnalysisException:  # this batch is the first that the sink sees
-            return self.now
+        except AnalysisException as why:
+            if why.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.now  # this batch is the first that the sink sees
 
     def after(self, batch: int | None, n: int) -> None:
         self.now = n

@@ -71,9 +71,12 @@ def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_each))
 
 
-def ranged(df: DataFrame, *order: str, rows_each: int = RANGE_ROWS) -> DataFrame:
-    """df, dealt by ranges of a total order and written, with the range's number as ``PART``: ranges follow each other in that order."""
-    n = partitions(df.sparkSession, df.count(), rows_each)
+def ranged(df: DataFrame, *order: str, rows_each: int | None = None, most: int | None = None) -> DataFrame:
+    """df, dealt by ranges of a total order and written, with the range's number as ``PART``: ranges follow each other in that order.
+
+    most: a known bound of its rows, where counting them would compute them once more.
+    """
+    n = partitions(df.sparkSession, df.count() if most is None else most, rows_each or RANGE_ROWS)
     return written(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()), "ranged")
 
 
@@ -97,10 +100,10 @@ def largest_group(df: DataFrame, key: str) -> int:
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """many joined (inner or left) with ``one``, which has a bounded number of rows a key, without a task of its own for a hot key.
 
-    hot: the keys that have more than one HOTth of the rows of ``many``, so fewer than HOT. Their rows of ``one`` are broadcast; all
+    hot (from a written table): the keys that have more than one HOTth of the rows of ``many``, so fewer than HOT. Their rows of ``one`` are broadcast; all
     others are joined by a shuffle. Null keys match nothing and aren't shuffled.
     """
-    hot = written(hot.select(*on), "hot-keys")
+    hot = hot.select(*on)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     if hot.isEmpty() and (how == "inner" or many.where(missing).isEmpty()):
         return many.join(one, on, how)

@@ -27,7 +27,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +91,7 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+# Case is that of ASCII letters in all patterns below: others that fold to them aren't letters of a digit's name.
 # Transducers: each rewrites some spans of its input and knows where every output position came from.
 
 
@@ -140,24 +141,36 @@ ODD = re.compile(f"[{''.join(HOMOGLYPHS)}{INVISIBLE}{COMPATIBLE}]")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 SPELLED_LEAST = 7
 _WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])"
-SPELLED = re.compile(rf"(?:\bplus[ -])?\b{_WORD}(?:[ ,.-]{{1,2}}{_WORD}){{{SPELLED_LEAST - 1},}}\b", re.I)
-SPELLED_PART = re.compile(r"plus[ -]|[a-z]+|[ ,.-]+", re.I)
+SPELLED = re.compile(rf"(?:\bplus[ -])?\b{_WORD}(?:[ ,.-]{{1,2}}{_WORD}){{{SPELLED_LEAST - 1},}}\b", re.I | re.A)
+SPELLED_PART = re.compile(r"plus[ -]|[a-z]+|[ ,.-]+", re.I | re.A)
 
 #: A digit word or a group of digits; runs of them with separators, brackets and spoken dots; what an address can be among them.
 _TOKEN = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]++)(?![A-Za-z0-9_])"
-MIXED = re.compile(rf"(?:(?<![0-9][ ])\bplus[ -]\(?|\+)?(?<![A-Za-z0-9_]){_TOKEN}(?:(?:[ ,.()-]{{1,3}}|[ \t]++dot[ \t]++){_TOKEN})*+", re.I)
-MIXED_PART = re.compile(r"[ \t]+dot[ \t]+|plus[ -]|[a-z]+|[ ,.()-]+", re.I)
+MIXED = re.compile(rf"(?:(?<![0-9][ ])\bplus[ -]\(?|\+)?(?<![A-Za-z0-9_]){_TOKEN}(?:(?:[ ,.()-]{{1,3}}|[ \t]++dot[ \t]++){_TOKEN})*+", re.I | re.A)
+MIXED_PART = re.compile(r"[ \t]+dot[ \t]+|plus[ -]|[a-z]+|[ ,.()-]+", re.I | re.A)
 _OCTET = rf"{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}"
-MIXED_IP = re.compile(rf"(?<![A-Za-z0-9_]){_OCTET}(?:(?:[ \t]{{1,9}}dot[ \t]{{1,9}}|\.){_OCTET}){{3}}", re.I)
-IP_PART = re.compile(r"dot|\.|[a-z]+|[0-9]+", re.I)
+MIXED_IP = re.compile(rf"(?<![A-Za-z0-9_]){_OCTET}(?:(?:[ \t]{{1,9}}dot[ \t]{{1,9}}|\.){_OCTET}){{3}}", re.I | re.A)
+IP_PART = re.compile(r"dot|\.|[a-z]+|[0-9]+", re.I | re.A)
 LETTER = re.compile("[A-Za-z]")
 
+#: What every run with a spelled digit, a spoken dot between digits or a spoken plus has in lower case. Each begins with few characters, so that most
+#: texts are passed over quickly.
+_SAID = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+_BETWEEN = r"(?:[ ,.()-]{1,3}|[ \t]+dot[ \t]+)"
+SPOKEN_DIGITS = tuple(re.compile(p) for p in (rf"[^A-Za-z0-9_]{_SAID}{_BETWEEN}(?:{_SAID}|[0-9])", rf"[0-9](?:{_BETWEEN}{_SAID}|[ \t]+dot[ \t]+[0-9])", rf"plus[ -]\(?(?:{_SAID}|[0-9])"))
+
 _HOST = r"[A-Za-z0-9-]+"
-WRAPPED = re.compile(r"[(\[{<][ \t]*+(at|@|dot|\.)[ \t]*+[)\]}>][ \t]*+", re.I)
-SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])([ \t]+at[ \t]+){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST})*[ \t]+dot[ \t]+{_HOST}", re.I)
-DOTS = re.compile(r"[ \t]+dot[ \t]+", re.I)
-DOT_AFTER = re.compile(rf"(?<=@)({_HOST})((?:[ \t]+dot[ \t]+{_HOST})+)", re.I)
-DOT_DIGITS = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
+WRAPPED = re.compile(r"[(\[{<][ \t]*+(at|@|dot|\.)[ \t]*+[)\]}>][ \t]*+", re.I | re.A)
+SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])([ \t]+at[ \t]+){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST})*[ \t]+dot[ \t]+{_HOST}", re.I | re.A)
+DOTS = re.compile(r"[ \t]+dot[ \t]+", re.I | re.A)
+DOT_AFTER = re.compile(rf"(?<=@)({_HOST})((?:[ \t]+dot[ \t]+{_HOST})+)", re.I | re.A)
+DOT_DIGITS = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I | re.A)
+
+
+def says_digits(text: str) -> bool:
+    """Whether the text may have a run that ``SPELLED`` or ``MIXED`` makes something of."""
+    plain = " " + text.lower()
+    return any(p.search(plain) for p in SPOKEN_DIGITS)
 
 
 def homoglyphs(text: str) -> list[tuple[int, int, str]]:
@@ -262,11 +275,12 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
                 start, end = step.back(start, end)
             found.append((kind, start, end))
 
+    spoken = False
     for transducer in CASCADE:
-        if edits := transducer(seen):
+        if (transducer is not spelled_digits or spoken) and (edits := transducer(seen)):
             steps.append(Rewrite(seen, edits))
             seen = steps[-1].text
-        if transducer is homoglyphs:
+        if transducer is homoglyphs and (spoken := says_digits(seen)):
             add(mixed_spans(seen))
     if steps:
         add(base_spans(seen))
@@ -310,15 +324,17 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 def with_findings(df: DataFrame, text_col: str = "text", to: str = "pii") -> DataFrame:
     """Adds a struct (named as ``unused`` says): base counts by kind, digest of the base spans, and all spans as ``kind:start:end`` joined by commas."""
 
-    @F.pandas_udf(FOUND)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(FOUND)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = []
-            for text in texts:
+            for text in texts.to_pylist():
                 base, spans = find(text)
                 kinds = [k for k, _, _ in base]
                 rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+            types = [pa.int64()] * len(KINDS) + [pa.string()] * 2
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return in_small_batches(df).withColumn(unused(df, to), found(F.col(f"`{text_col}`")))
 
@@ -326,9 +342,9 @@ def with_findings(df: DataFrame, text_col: str = "text", to: str = "pii") -> Dat
 def with_redaction(df: DataFrame, text_col: str = "text", to: str = "text") -> DataFrame:
     """Replaces (or adds) a column holding the text with all findings masked."""
 
-    @F.pandas_udf("string")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([redacted(t, find(t)[1]) for t in texts], dtype=object)
+            yield pa.array([redacted(t, find(t)[1]) for t in texts.to_pylist()], pa.string())
 
     return in_small_batches(df).withColumn(to, masked(F.col(f"`{text_col}`")))

@@ -591,6 +591,16 @@ def test_every_planted_disguise_is_found_where_it_stands():
         assert set(base) <= set(spans)
 
 
+def test_no_run_of_spoken_digits_is_passed_over(monkeypatch):
+    rng = random.Random(13)
+    parts = ["one", "TWO", "ſix", "fıve", "FİVE", "oh", "dot", "DOT", "plus", "Plus", " ", " ", "  ", "\t", "-", ",", ".", "(", ")", "+", "4", "12", "4111", "é", "x", "\n", "at"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["".join(rng.choice(parts[:16]) + " " for _ in range(20)) for _ in range(1000)]
+    found = [pii.find(t) for t in texts]
+    gated = sum(not pii.says_digits(t) for t in texts)
+    monkeypatch.setattr(pii, "says_digits", lambda text: True)
+    assert [pii.find(t) for t in texts] == found and gated > 100 and any(len(b) < len(a) for b, a in found)
+
+
 @pytest.mark.parametrize("unit", [" ", ".", "1", "@", "a@", "1 ", "[ ", "[\t\t", "one ", "plus ", "+1((", "1.", " at ", "a at b ", "a dot ", "at dot ", " (at) ", "\u0430", "1-", "one, ", "+", "one dot ", "@b dot ", "7 dot ", "a", "a-", "(", "one  \t", "x at a."])
 def test_time_grows_with_the_text(unit):
     import time

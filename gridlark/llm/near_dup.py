@@ -38,7 +38,7 @@ ROWS, BANDS = 6, 46
 #: Words in a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Members, and queries, of a block in step 3, about: so many, or so many shingles.
-BLOCK, BLOCK_SHINGLES = 600, 1 << 21
+BLOCK, BLOCK_SHINGLES = 600, 1 << 20
 #: Pairs of a task that verifies them, and blocks of a task that compares them.
 TASK_PAIRS, TASK_BLOCKS = 20_000, 64
 #: Ids that a join may broadcast (8 MB); beyond that it shuffles.
@@ -104,8 +104,8 @@ def shingle_set(text: str | None, k: int) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(k)), strict=False))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose full sets are similar enough; texts has id and text.
+def verified(pairs: DataFrame, most: int, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b), at ``most`` so many, whose full sets are similar enough; texts has id and text.
 
     Tasks take ranges of pairs, so a class with very many partners is dealt over several, and its own text travels once a range.
     """
@@ -124,7 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                     keep.append(common > 0 and 100 * common >= percent * (len(head) + len(own) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    dealt = ranged(pairs, "a", "b", rows_each=TASK_PAIRS)
+    dealt = ranged(pairs, "a", "b", rows_each=TASK_PAIRS, most=most)
     heads = dealt.select(PART, "a").distinct().join(texts.withColumnRenamed("id", "a"), "a").select(PART, "a", F.lit(None).cast("long").alias("b"), "text")
     rows = heads.unionByName(dealt.join(texts.withColumnRenamed("id", "b"), "b").select(PART, "a", "b", "text"))
     n = partitions(texts.sparkSession, dealt.count(), TASK_PAIRS)
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = texts_of(docs, written(classes.select("id", "doc_id", "text_key").join(involved, "id", "left_semi"), "involved"), id_col, text_col)
 
     likely = shared.where("id > centre").where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
-    links = verified(likely.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts, shingle, percent)
+    links = verified(likely.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), shared.count(), texts, shingle, percent)
     first = components(links)
 
     members = shared.select("bucket", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left")
@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     n_blocks = spread.agg(F.sum(F.col("n_blocks") * F.col("n_chunks"))).first()[0] or 0
     last = first
     if n_blocks:
-        more = verified(close_pairs(blocks(members, spread), n_blocks, texts, shingle, percent), texts, shingle, percent)
+        close = close_pairs(blocks(members, spread), n_blocks, texts, shingle, percent)
+        more = verified(close, close.count(), texts, shingle, percent)
         if not more.isEmpty():
             last = components(links.unionByName(more))
     drop_written(centres, shared, involved, texts, members, spread)

@@ -36,7 +36,7 @@ from gridlark.llm.common import in_small_batches, unused
 BPE, UNIGRAM = "bpe", "unigram"
 SPACE = "▁"
 #: Parts of texts, and pairs of pieces, that a worker remembers at most, and the longest such part; a full table is emptied.
-MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 1_000_000, 2_000_000, 40
+MEMO_PARTS, MEMO_PAIRS, MEMO_CHARS = 500_000, 1_000_000, 40
 #: What the library takes off the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
 #: Positions after which the window is looked through for a common boundary, in lengths of the longest piece.
@@ -105,23 +105,26 @@ class Pieces:
         """(start, end, id) of each piece in order, as soon as it is certain; an unknown character's id is -1."""
         base, starts, last, total = 0, [0], [_UNKNOWN], [0.0]  # by position - base: what ends there
         look = LOOK_EVERY * self.longest
+        id_of, tails, suits, n, unigram = self.ids.get, self.tails, self.suits.get, len(self.entries), self.kind == UNIGRAM
         for end in range(1, len(text) + 1):
-            start, best = end - 1, None
-            while start >= base and (piece := text[start:end]) in self.tails:
-                found = self.ids.get(piece)
+            start, best, value = end - 1, None, None
+            while start >= base and (piece := text[start:end]) in tails:
+                found = id_of(piece)
                 if found is not None:
-                    if self.kind == UNIGRAM:
-                        value = total[start - base] + self.scores[found]
-                        if best is None or value > best[2]:
-                            best = start, found, value
-                    elif self.follows(last[start - base], found):
-                        best = start, found, 0.0
+                    before = start - base
+                    if unigram:
+                        if value is None or total[before] + self.scores[found] > value:
+                            best, value = (start, found), total[before] + self.scores[found]
+                    else:
+                        fits = suits((last[before] + 1) * n + found)
+                        if fits or fits is None and self.follows(last[before], found):
+                            best = start, found
                 start -= 1
             if best is None:
-                best = end - 1, _UNKNOWN, total[end - 1 - base] + self.unknown_score
+                best, value = (end - 1, _UNKNOWN), total[end - 1 - base] + self.unknown_score
             starts.append(best[0])
             last.append(best[1])
-            total.append(best[2])
+            total.append(value or 0.0)
             if end == len(text) or (end - base) % look == 0:
                 ends = {end} if end == len(text) else set(range(max(base, end - self.longest + 1), end + 1))
                 while len(ends) > 1:
@@ -155,18 +158,16 @@ class Pieces:
         """The ids as unsigned 32-bit integers."""
         if not text:
             return b""
-        out, memo = [], self.memo
-        for m in self.parts.finditer(SPACE + text.replace(" ", SPACE)):
-            part = m[0]
-            ids = memo.get(part)
-            if ids is None:
-                ids = self.part_ids(part)
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_PARTS:
-                        memo.clear()
-                    memo[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        parts, memo = self.parts.findall(SPACE + text.replace(" ", SPACE)), self.memo
+        try:
+            return b"".join([memo[p] for p in parts])
+        except KeyError:  # some parts are new, or too long to be remembered
+            pass
+        if len(memo) >= MEMO_PARTS:
+            memo.clear()
+        found = {p: self.part_ids(p) for p in set(parts).difference(memo)}
+        memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
+        return b"".join([memo[p] if p in memo else found[p] for p in parts])
 
     @property
     def shown(self) -> list[bytes]:

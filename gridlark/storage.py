@@ -8,6 +8,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +23,9 @@ HOT = 256
 PART = "_part"
 #: Folders of local sessions without a named one, by application.
 _own: dict[str, str] = {}
+#: Paths that this process has made and not deleted, and the folder of the innermost ``scratch``.
+_made: set[str] = set()
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,24 +52,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, or in that of the ``scratch`` around the call."""
+    path = f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back."""
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``new_path`` made, with all in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.difference_update([p for p in _made if p == path or p.startswith(path + "/")])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is written inside the block lies in one folder, which is deleted when the block ends.
+
+    Results must be computed or written to a path made before the block, since DataFrames that read the folder's tables can't be used after it.
+    """
+    folder = new_path(spark, "run")
+    before = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(before)
+        _delete(spark, folder)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder (or to a path of ``new_path``) and reads it back."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(file: str) -> str:
+    """The folder of a file as Spark names it, written as ``shared_dir`` writes paths."""
+    scheme, _, rest = file.rsplit("/", 1)[0].partition(":")
+    return f"{scheme}://{rest}" if rest.startswith("/") and not rest.startswith("//") else f"{scheme}:{rest}"
+
+
 def drop_written(*tables: DataFrame) -> None:
-    """Deletes the files of tables that ``written`` made; only once nothing reads them any more."""
+    """Deletes tables that ``written`` made in this process; only once nothing reads them any more.
+
+    A DataFrame that reads anything else, such as a source table, is refused, and then nothing is deleted.
+    """
     for df in tables:
-        spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        found = {_folder(f) for f in df.inputFiles()}
+        foreign = sorted(found - _made)
+        if foreign:
+            raise ValueError(f"not written here, so not deleted: {', '.join(foreign)}")
+        for path in found:
+            _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:

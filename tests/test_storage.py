@@ -89,3 +89,27 @@ def test_event_times_keep_every_microsecond(spark):
     stamps = [1705232584597200000, 1705232584597200999, 1706142270696784001, 0, -1, -1000, -1001]
     got = recorded.event_time(spark.createDataFrame([(t,) for t in stamps], "timestamp_ns long")).select("timestamp_ns", F.unix_micros("ts").alias("us")).collect()
     assert {r.timestamp_ns: r.us for r in got} == {t: t // 1000 for t in stamps}
+
+
+def test_only_what_was_written_here_is_dropped(spark, tmp_path):
+    source = str(tmp_path / "docs.parquet")
+    spark.range(5).write.parquet(source)
+    docs, made = spark.read.parquet(source), storage.written(spark.range(3), "t")
+    for df in (docs, docs.join(made, "id"), docs.union(made)):
+        with pytest.raises(ValueError):
+            storage.drop_written(df)
+    assert docs.count() == 5 and made.count() == 3
+    storage.drop_written(made)
+    storage.drop_written(made.limit(0).where("false"))  # reads nothing that is left
+
+
+def test_a_scratch_folder_goes_with_all_in_it(spark):
+    kept = storage.new_path(spark, "kept")
+    with storage.scratch(spark) as outer:
+        inner = storage.written(spark.range(4), "t")
+        with storage.scratch(spark) as folder:
+            assert folder.startswith(outer) and storage.written(spark.range(4), "t").count() == 4
+        assert not os.path.exists(folder.removeprefix("file://")) and inner.count() == 4
+        result = storage.written(inner.where("id > 1"), "kept", kept)
+    assert not os.path.exists(outer.removeprefix("file://")) and result.count() == 2
+    storage.drop_written(result)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm import chat_format, language, media, near_dup, neighbours, packing, pieces, pii, token_records, url_filter, vocab
+from gridlark.llm import chat_format, collisions, digests, language, media, near_dup, neighbours, packing, pieces, pii, prefix_trie, token_records, turn_repair, url_filter, vocab
 from gridlark.llm.common import spread_table, table
 from gridlark.storage import written
 
@@ -135,3 +135,122 @@ reach(doc_id, seen) AS (
   SELECT doc_id, doc_id FROM cut UNION SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.doc_id AND r.seen < e.b)
 SELECT c.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, min(r.seen) AS component_id, c.doc_id = min(r.seen) AS kept
 FROM cut c LEFT JOIN sets s USING (doc_id) JOIN reach r ON r.doc_id = c.doc_id GROUP BY c.doc_id, s.s"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a short ASCII text, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    ascii_ = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {ascii_}), lambda a, b: {byte}), 4294967295)"
+
+
+def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+PREFIX_TRIE_SQL = f"""
+WITH said AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT c, c - c % 5 AS base, {crc32_sql("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM said)),
+turns AS (
+  SELECT v.c, s.k, s.role, s.text FROM convs v JOIN said s ON s.c = v.base AND s.k < v.h
+  UNION ALL SELECT v.c, s.k, s.role, s.text FROM convs v JOIN said s ON s.c = v.c AND s.k >= v.h),
+chain AS MATERIALIZED (
+  SELECT c, row_number() OVER w AS depth, strlen(text) AS bytes, md5(list({{'role': role, 'text': text}}) OVER w::VARCHAR) AS key,
+         count(*) OVER (PARTITION BY c) AS whole
+  FROM turns WINDOW w AS (PARTITION BY c ORDER BY k)),
+steps AS (
+  SELECT c, depth, bytes, key, lag(key, 1, 'root') OVER (PARTITION BY c ORDER BY depth) AS parent, depth = whole AS last FROM chain
+  UNION ALL SELECT c, 0, 0, 'root', NULL, c NOT IN (SELECT c FROM chain) FROM convs),
+nodes AS MATERIALIZED (
+  SELECT key, any_value(parent) AS parent, any_value(depth) AS depth, min(c) AS conv, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM steps GROUP BY key),
+below AS (SELECT parent AS key, count(*) AS n_children FROM nodes GROUP BY parent),
+sums AS (
+  SELECT s.key, count(*) FILTER (n.key NOT IN (SELECT key FROM below WHERE key IS NOT NULL)) AS n_leaves, sum((n.n - 1) * n.bytes) AS saved
+  FROM nodes n JOIN steps s ON s.c = n.conv AND s.depth <= n.depth GROUP BY s.key)
+SELECT n.conv AS conv_id, n.depth::BIGINT AS depth, p.conv AS parent_conv_id, n.n AS n_convs, coalesce(b.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s USING (key) LEFT JOIN below b USING (key) LEFT JOIN nodes p ON p.key = n.parent"""
+
+
+def damage_kind() -> Column:
+    return F.crc32(F.concat(F.col("conv").cast("string"), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+
+
+def turn_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged, measured and repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    turns = turn_repair.ordered(rows, damage=damage_kind())
+    found = written(turn_repair.edits(turn_repair.measured(turns)), "edits")
+    repaired = turn_repair.repaired_turns(turns, found)
+    lines = repaired.select("conv", "at", F.concat("role", F.lit(":"), "text").alias("line"))
+    hashes = digests.joined_sha256(lines, "conv", ["at"], "line", "\n")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = rows.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("conv")).distinct()
+    out = every.join(found, "conv", "left").join(hashes, "conv", "left")
+    return out.select(F.col("conv").alias("conv_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(prefix_trie.NOTHING)).alias("repaired_sha256"))
+
+
+#: Best costs and audits of each state, turn by turn; an audit that is least among those of a node's least cost stays so, whatever follows.
+TURN_REPAIR_SQL = rf"""
+WITH RECURSIVE rows AS (
+  SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("(conv_id::VARCHAR || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations WHERE conv_id IS NOT NULL),
+damaged AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS k, turn,
+         CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM rows, (VALUES (0), (1)) x(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+bare AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b, row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 AS seen,
+         left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY k) AS y
+  FROM damaged),
+turns AS MATERIALIZED (
+  SELECT *, CASE WHEN b = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(b, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM bare),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (y || x NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM turns GROUP BY c),
+best(c, k, s0, s1, s2, s3) AS (
+  SELECT c, 0::BIGINT, {{'n': 0, 'a': '', 'o': ''}}, {{'n': 1000000, 'a': '', 'o': ''}}, {{'n': 3, 'a': 'I', 'o': 'user:' || chr(10)}},
+         {{'n': 6, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}} FROM counts
+  UNION ALL
+  SELECT c, k, s0, s1, least(s2, {{'n': s3.n + 3, 'a': s3.a || 'I', 'o': s3.o || 'user:' || chr(10)}}), least(s3, {{'n': s2.n + 3, 'a': s2.a || 'I', 'o': s2.o || 'assistant:' || chr(10)}})
+  FROM (
+    SELECT c, k, d0 AS s0, k1 AS s1,
+           least(d2, u, {{'n': least(d0, k1).n + 3, 'a': least(d0, k1).a || 'I', 'o': least(d0, k1).o || 'user:' || chr(10)}}) AS s2, least(d3, v) AS s3
+    FROM (
+      SELECT b.c, t.k, {{'n': s0.n + 4, 'a': s0.a || 'D', 'o': s0.o}} AS d0, {{'n': s2.n + 4, 'a': s2.a || 'D', 'o': s2.o}} AS d2, {{'n': s3.n + 4, 'a': s3.a || 'D', 'o': s3.o}} AS d3,
+             least({{'n': s1.n + 4, 'a': s1.a || 'D', 'o': s1.o}},
+                   {{'n': s0.n + e + CASE WHEN x = 's' THEN 0 ELSE 1000000 END, 'a': s0.a || 'K', 'o': s0.o || role || ':' || text || chr(10)}}) AS k1,
+             {{'n': w.n + e + CASE WHEN x = 'u' THEN 0 ELSE 3 END, 'a': w.a || CASE WHEN x = 'u' THEN 'K' ELSE 'R' END, 'o': w.o || CASE WHEN x = 'u' THEN role ELSE 'user' END || ':' || text || chr(10)}} AS u,
+             {{'n': s2.n + e + CASE WHEN x = 'a' THEN 0 ELSE 3 END, 'a': s2.a || CASE WHEN x = 'a' THEN 'K' ELSE 'R' END, 'o': s2.o || CASE WHEN x = 'a' THEN role ELSE 'assistant' END || ':' || text || chr(10)}} AS v
+      FROM (SELECT *, least(s0, s1, s3) AS w FROM best) b
+      JOIN (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 1000000 END AS e FROM turns) t ON t.c = b.c AND t.k = b.k + 1))),
+solved AS (SELECT c, least(s0, s3) AS r FROM best JOIN counts USING (c) WHERE best.k = counts.n)
+SELECT c AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(r.n, 0)::BIGINT AS cost, coalesce(r.a, '') AS audit, sha256(coalesce(r.o[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT c FROM rows) LEFT JOIN counts USING (c) LEFT JOIN solved USING (c)"""
+
+
+def near_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(r, seen) AS (SELECT r, vec_id FROM sound UNION SELECT l.b, x.seen FROM reach x JOIN links l ON l.a = x.r),
+named AS (SELECT r, min(seen) AS component_id FROM reach GROUP BY r),
+degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a),
+judged AS (SELECT s.vec_id, coalesce(d.n, 0) AS n_links, n.component_id FROM sound s JOIN named n USING (r) LEFT JOIN degree d USING (r)
+  UNION ALL SELECT vec_id, 0, vec_id FROM embeddings
+  WHERE NOT coalesce(vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false))
+SELECT vec_id, n_links::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM judged"""

@@ -1,6 +1,6 @@
 """The polar grid's fixed geometry: extents in float32, and cells and neighbours as small DataFrames.
 
-A grid has at most a few thousand cells, set by the configuration alone, so its tables are broadcast.
+Its size is set by the configuration alone. The pipeline broadcasts one row for each row and column of it, not for each cell.
 """
 
 from __future__ import annotations
@@ -96,13 +96,16 @@ class Grid:
                     rows.append((i, j, di, dj, *n, float(np.sqrt((x - u) ** 2 + (y - v) ** 2))))
         return spark.createDataFrame(rows, "i int, j int, di int, dj int, ri int, rj int, dxy double")
 
-    def stencils(self, spark: SparkSession) -> DataFrame:
-        """One row a cell: k = i * nt + j, i, j, the range of its centre, and by offset (row-major) the neighbours' k (near) and distances (dxy)."""
-        at = [self.centre(i, j) for i in range(self.nr) for j in range(self.nt)]
+    def ranges(self, spark: SparkSession) -> DataFrame:
+        """i, r_c (the range of its cells' centres) and r: for each offset of the step window, row by row, that of the cell it leads to, mirrored at the ends."""
+        at = [float(self.centre(i, 0)[0]) for i in range(self.nr)]
         reach = range(-STEP_HALF, STEP_HALF + 1)
-        rows = []
-        for k, (r, _, x, y) in enumerate(at):
-            i, j = divmod(k, self.nt)
-            near = [reflected(i + di, self.nr) * self.nt + reflected(j + dj, self.nt) for di in reach for dj in reach]
-            rows.append((k, i, j, float(r), near, [float(np.sqrt((x - at[n][2]) ** 2 + (y - at[n][3]) ** 2)) for n in near]))
-        return spark.createDataFrame(rows, "k int, i int, j int, r_c float, near array<int>, dxy array<double>")
+        return spark.createDataFrame([(i, at[i], [at[reflected(i + di, self.nr)] for di in reach for _ in reach]) for i in range(self.nr)], "i int, r_c float, r array<double>")
+
+    def bearings(self, spark: SparkSession) -> DataFrame:
+        """j and, of single precision, c and s: for each offset of the step window, row by row, cosine and sine of the bearing of the cell it leads to."""
+        angles = [self.centre(0, j)[1] for j in range(self.nt)]
+        c, s = ([float(F32(f(np.float64(t)))) for t in angles] for f in (np.cos, np.sin))
+        reach = range(-STEP_HALF, STEP_HALF + 1)
+        rows = [(j, *([x[reflected(j + dj, self.nt)] for _ in reach for dj in reach] for x in (c, s))) for j in range(self.nt)]
+        return spark.createDataFrame(rows, "j int, c array<double>, s array<double>")

@@ -1,9 +1,8 @@
 """Grid stages: height map, terrain, slope, roughness, step height, danger, ray cast, drivability code.
 
-A frame's terrain travels as one row with a dense array of its cells, in which the three metrics find their neighbours by index; a small
-broadcast table, fixed by the configuration, says which. So cells are neither multiplied nor shuffled for them. A neighbour outside
-the grid is the mirrored cell, once per offset that leads to it; for a gradient that makes the missing neighbour the cell itself,
-which is what a one-sided difference needs.
+A frame's terrain travels as one row with a dense array of its cells, from which each cell's window is cut out (``windows``). So cells are neither
+multiplied nor shuffled for the three metrics, and the work is linear in them. A neighbour outside the grid is the mirrored cell, once per offset that leads to
+it; for a gradient that makes the missing neighbour the cell itself, which is what a one-sided difference needs.
 """
 
 from __future__ import annotations
@@ -45,23 +44,28 @@ def height_map(polar: DataFrame, g: Grid) -> DataFrame:
 
 
 def dense(heights: DataFrame, frames: DataFrame, g: Grid) -> DataFrame:
-    """One row a frame: frame_id, z (the heights of all cells, row by row; null without points) and t (empty ground in their place)."""
+    """One row a frame: frame_id and z, the heights of all cells, row by row; null without points. What lies between two known cells is filled up with nulls, in one pass."""
     cell = F.struct((F.col("i") * g.nt + F.col("j")).alias("k"), "z_max")
-    known = heights.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
-    every = F.sequence(F.lit(0), F.lit(g.nr * g.nt - 1))
-    rows = frames.select("frame_id").join(known, "frame_id", "left").select("frame_id", F.transform(every, lambda k: F.try_element_at("m", k)).alias("z"))
-    return rows.select("frame_id", "z", F.transform("z", lambda z: F.coalesce(z, f32(EMPTY_HEIGHT))).alias("t"))
+    known = heights.groupBy("frame_id").agg(F.sort_array(F.collect_list(cell)).alias("e"))
 
+    def nulls(n: Column) -> Column:
+        return F.array_repeat(F.lit(None).cast("float"), n)
 
-def cells_of(rows: DataFrame, g: Grid) -> DataFrame:
-    """One row a frame and cell: the cell's columns of ``Grid.stencils``, z_max, terrain, whether it was seen, and the frame's t."""
-    flat = rows.select("frame_id", "t", F.posexplode("z").alias("k", "z_max")).join(F.broadcast(g.stencils(rows.sparkSession)), "k")
-    return flat.select("*", F.get("t", F.col("k")).alias("terrain"), F.col("z_max").isNotNull().alias("valid"))
+    def filled(e: Column, at: Column) -> Column:
+        before = F.when(at > 0, F.get("e", at - 1)["k"]).otherwise(-1)
+        return F.concat(nulls(e["k"] - before - 1), F.array(e["z_max"]))
+
+    last = F.coalesce(F.element_at("e", -1)["k"], F.lit(-1))
+    z = F.flatten(F.concat(F.transform("e", filled), F.array(nulls(g.nr * g.nt - 1 - last))))
+    rows = frames.select("frame_id").join(known, "frame_id", "left")
+    return rows.select("frame_id", F.when(F.col("e").isNull(), nulls(F.lit(g.nr * g.nt))).otherwise(z).alias("z"))
 
 
 def terrain(heights: DataFrame, frames: DataFrame, g: Grid) -> DataFrame:
     """Every cell of every frame: its height or that of empty ground, and whether it was seen."""
-    return cells_of(dense(heights, frames, g), g).select("frame_id", "i", "j", "z_max", "terrain", "valid")
+    cells = dense(heights, frames, g).select("frame_id", F.posexplode("z").alias("k", "z_max"))
+    i, j = F.expr(f"int(k div {g.nt})").alias("i"), (F.col("k") % g.nt).alias("j")
+    return cells.select("frame_id", i, j, "z_max", F.coalesce("z_max", f32(EMPTY_HEIGHT)).alias("terrain"), F.col("z_max").isNotNull().alias("valid"))
 
 
 def gradient(t: DataFrame, g: Grid) -> DataFrame:
@@ -80,42 +84,81 @@ def gradient(t: DataFrame, g: Grid) -> DataFrame:
 def metrics(t: DataFrame, g: Grid) -> DataFrame:
     """t, of all cells of each frame, with slope, roughness and step_height; a metric over its limit is infinite."""
     cells = t.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "terrain", "valid"))).alias("c"))
-    z = F.transform("c", lambda c: F.when(c["valid"], c["terrain"]))
-    return metrics_of(cells.select("frame_id", z.alias("z"), F.transform("c", lambda c: c["terrain"]).alias("t")), g)
+    return metrics_of(cells.select("frame_id", F.transform("c", lambda c: F.when(c["valid"], c["terrain"])).alias("z")), g)
+
+
+def mirrored_index(at: Column, size: int) -> Column:
+    """``grid.reflected`` as an expression."""
+    if size == 1:
+        return F.lit(0)
+    return F.when(at < 0, -at - 1).when(at >= size, 2 * size - 1 - at).otherwise(at)
+
+
+def windows(rows: DataFrame, g: Grid) -> DataFrame:
+    """One row a frame and cell: frame_id, i, j, z (null without points) and v, the terrain in the step window around it, row by row.
+
+    A frame's array becomes its grid's rows, framed by their mirrored edges; as many neighbouring rows as the window is high are a band, one for each grid row, and a
+    band is cut into windows. A row carries a band at most, and arrays are only read by index (``slice`` would copy them whole), so the work is linear in the cells.
+    """
+    span, reach = 2 * STEP_HALF + 1, F.lit(STEP_HALF)
+
+    def framed(i: Column) -> Column:
+        first = mirrored_index(i, g.nr) * g.nt
+        return F.transform(F.sequence(-reach, g.nt - 1 + reach), lambda j: F.coalesce(F.get("z", first + mirrored_index(j, g.nt)), f32(EMPTY_HEIGHT)))
+
+    def band(i: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.lit(g.nt - 1)), lambda j: F.get("z", i * g.nt + j))
+        return F.struct(i.alias("i"), own.alias("own"), *[F.get("framed", i + k).alias(f"row{k}") for k in range(span)])
+
+    def window(j: Column) -> Column:
+        return F.struct(j.alias("j"), F.get("own", j).alias("z"), F.array(*[F.get(f"row{k}", j + l) for k in range(span) for l in range(span)]).alias("v"))
+
+    # Out of generators, arrays are plain columns to the optimizer, which could otherwise put their making into the loops that read them.
+    whole = F.struct("z", F.transform(F.sequence(-reach, g.nr - 1 + reach), framed).alias("framed"))
+    rows = rows.select("frame_id", F.inline(F.array(whole)))
+    rows = rows.select("frame_id", F.inline(F.transform(F.sequence(F.lit(0), F.lit(g.nr - 1)), band)))
+    return rows.select("frame_id", "i", F.inline(F.transform(F.sequence(F.lit(0), F.lit(g.nt - 1)), window)))
 
 
 def metrics_of(rows: DataFrame, g: Grid) -> DataFrame:
     """frame_id, i, j, terrain, valid, slope, roughness, step_height from dense rows."""
     width = 2 * STEP_HALF + 1
+    spark = rows.sparkSession
 
     def offset(di: int, dj: int) -> int:
         return (di + STEP_HALF) * width + dj + STEP_HALF
 
-    cells = cells_of(rows, g).withColumn("v", F.transform("near", lambda n: F.get("t", n)))
-
     def at(di: int, dj: int) -> Column:
         return F.get("v", F.lit(offset(di, dj)))
 
+    # One row for each row and column of the grid is broadcast.
+    cells = windows(rows, g).join(F.broadcast(g.ranges(spark)), "i").join(F.broadcast(g.bearings(spark)), "j")
+    middle = F.lit(offset(0, 0))
+    own = {"x": F.get("r", middle) * F.get("c", middle), "y": F.get("r", middle) * F.get("s", middle)}
+    cells = cells.select("*", at(0, 0).alias("terrain"), F.col("z").isNotNull().alias("valid"), *[c.alias(n) for n, c in own.items()])
+
     def rise(step: np.float32, after: Column, before: Column, inner: Column) -> Column:
         return (after - before).cast("double") / F.when(inner, float(F32(2) * step)).otherwise(float(step))
 
     reach = range(-ROUGH_HALF, ROUGH_HALF + 1)
     close = [at(di, dj).cast("double") for di in reach for dj in reach]
 
-    def climb(z: Column, d: Column) -> Column:
-        """The height difference to a neighbour, if it is too steep and too high."""
+    def climb(z: Column, k: Column) -> Column:
+        """The height difference to a neighbour, if it is too high and too steep. Heights come first: where they say no, nothing else is computed."""
         dz = F.abs(F.col("terrain") - z)
-        return F.when((d > 0) & (dz > f32(g.step_limit)) & (F.atan2(dz.cast("double"), d) > float(g.slope_limit)), dz)
+        dx, dy = (F.col(own) - F.get("r", k) * F.get(axis, k) for own, axis in (("x", "c"), ("y", "s")))
+        d = F.sqrt(dx * dx + dy * dy)
+        return F.when((dz > f32(g.step_limit)) & (d > 0) & (F.atan2(dz.cast("double"), d) > float(g.slope_limit)), dz)
 
     dzdr = rise(g.dr, at(1, 0), at(-1, 0), F.col("i").between(1, g.nr - 2))
     dzdt = rise(g.dtheta, at(0, 1), at(0, -1), F.col("j").between(1, g.nt - 2))
     m = cells.select(
         "frame_id", "i", "j", "terrain", "valid", dzdr.alias("dzdr"), (dzdt / F.col("r_c").cast("double")).alias("arc"),
-        reduce(add, close).alias("s"), reduce(add, [v * v for v in close]).alias("ss"), F.array_compact(F.zip_with("v", "dxy", climb)).alias("climbs"),
+        reduce(add, close).alias("total"), reduce(add, [v * v for v in close]).alias("squares"), F.array_compact(F.transform("v", climb)).alias("climbs"),
     )
     h = F.coalesce(F.array_max("climbs"), F.lit(0.0).cast("float")).cast("double")
     n = len(close)
-    rough = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / n - F.pow(F.col("s") / n, 2)))
+    rough = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / n - F.pow(F.col("total") / n, 2)))
     step = F.least(h, h * F.size("climbs") / STEP_NEIGHBOURS)
     return m.select(
         "frame_id", "i", "j", "terrain", "valid",

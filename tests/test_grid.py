@@ -143,3 +143,17 @@ def test_config_overlays_defaults(tmp_path):
     path.write_text("zed: {fps: many}\n")
     with pytest.raises(TypeError):
         config.load(str(path))
+
+
+def test_larger_grids_agree_too_and_cost_their_cells(spark):
+    g = small(40, 30)
+    z = np.random.default_rng(7).choice(np.array([-0.3, -0.28, 0.0, 0.05, 0.2, np.nan], np.float32), (40, 30))
+    rows = [(1, i, j, float(z[i, j])) for i in range(40) for j in range(30) if not np.isnan(z[i, j])]
+    heights = spark.createDataFrame(rows, "frame_id long, i int, j int, z_max float")
+    got = T.metrics_of(T.dense(heights, frames(spark), g), g).collect()
+    wanted = model(np.where(np.isnan(z), np.float32(T.EMPTY_HEIGHT), z), g)
+    assert len(got) == 1200 and all(r.valid == (not np.isnan(z[r.i, r.j])) for r in got)
+    for r in got:
+        assert np.allclose([r.slope, r.roughness, r.step_height], wanted[:, r.i, r.j], atol=1e-4), (r, wanted[:, r.i, r.j])
+    fine = small(400, 400)  # as one frame's whole array in each cell's row this would be 100 GB
+    assert T.grid_of(spark.createDataFrame([(1, 1.0, 0.5, 0.1)], "frame_id long, r float, theta float, z float"), frames(spark), fine).where("valid").count() == 1

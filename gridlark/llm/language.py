@@ -2,7 +2,8 @@
 
 * *Text*: a naive Bayes model over hashed byte trigrams inside words, fitted on a bounded sample of rows that declare their
   language (``SAMPLE`` rows a language, picked by a hash of their id). Neighbouring trigrams aren't independent, so the
-  log-likelihood is tempered by ``TEMPER``. The languages are those that rows declare: the ``MOST`` most frequent ones.
+  log-likelihood is tempered by ``TEMPER``. The languages are all those that at least ``SUPPORT`` rows declare (in a table without such, all declared ones); with very many of
+  them trigrams fall into fewer buckets (``buckets_for``), so the model's memory is bounded and the number of languages isn't.
 * *Declared language* (a markup attribute or a column): how often each declaration meets each language, from a grouped
   aggregation over all rows, smoothed with ``DECLARED_WEIGHT`` rows of honest declarations.
 * *Address suffix* and *host*: the mean language mix of all other rows of the host, smoothed towards that of its suffix, smoothed towards
@@ -15,7 +16,8 @@ its rows by a broadcast (``spread_join``).
 Languages without labelled text take no part. A row is rejected if it has no letters, if its text is less like any fitted language than
 like a uniform mix of trigrams, or if the best language's posterior probability is below ``LEAST``. For the second test a language is
 its trigrams' frequencies with a fixed part ``UNSEEN`` of the uniform mix, so an unseen trigram weighs the same for samples of any size.
-A row that declares a language beyond the ``MOST`` is taken at its word if it has letters: nothing here could judge it.
+A row that declares a language with less support is judged like one without a declaration; if it is then not identified, it is taken at its word if it has
+letters, since nothing here could judge it.
 
 A declaration is a tag whose primary part has two or three letters, such as ``en`` or ``EN-us``, but for those that mean none
 (``NO_LANGUAGE``). Letters are ASCII letters, and letters and combining marks of all other scripts.
@@ -31,7 +33,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +44,14 @@ from gridlark.llm.common import ascii_lower, in_small_batches, unused
 from gridlark.llm.near_dup import BROADCAST_IDS
 from gridlark.storage import HOT, spread_join, written
 
-#: Languages that are told apart at most, and what a table without labels has.
-MOST, UNDETERMINED = 32, "und"
+#: Rows that must declare a language for it to be fitted, and what a table without labels has.
+SUPPORT, UNDETERMINED = 5, "und"
 #: Codes of declarations that name no language.
 NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 #: Buckets of trigrams, rows of each language that the text model is fitted on, and what is added to each bucket's count.
 BUCKETS, SAMPLE, ADDED = 1 << 15, 4000, 0.5
+#: Languages up to which there are so many buckets; beyond, half as many for each doubling, and ``LEAST_BUCKETS`` at least. A model has 8 bytes a bucket and language.
+FULL, LEAST_BUCKETS = 256, 1 << 10
 TEMPER, LEAST, UNSEEN = 0.1, 0.5, 0.1
 SMOOTH, DECLARED_WEIGHT, HONEST = 20.0, 20.0, 0.9
 #: Bytes of text handled at once.
@@ -80,7 +84,14 @@ def lettered(text: str) -> str:
     return text.lower()
 
 
-def trigrams(text: str | None) -> Iterator[np.ndarray]:
+def buckets_for(languages: int) -> int:
+    buckets = BUCKETS
+    while languages > FULL and buckets > LEAST_BUCKETS:
+        languages, buckets = (languages + 1) // 2, buckets // 2
+    return buckets
+
+
+def trigrams(text: str | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """Buckets of the byte trigrams around each letter, in slices; what isn't a letter counts as a space."""
     raw = np.frombuffer(b"  " + lettered(text or "").encode("utf-8", "surrogatepass") + b"  ", np.uint8)
     for start in range(1, len(raw) - 1, SLICE):
@@ -88,7 +99,7 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
         letter = LETTER[part]
         x = np.where(letter, part, 32).astype(np.uint32)
         at = np.flatnonzero(letter[1:-1])
-        yield ((x[at] * np.uint32(0x9E3779B1) + x[at + 1] * np.uint32(0x85EBCA77) + x[at + 2] * np.uint32(0xC2B2AE3D)) >> np.uint32(17)) & np.uint32(BUCKETS - 1)
+        yield ((x[at] * np.uint32(0x9E3779B1) + x[at + 1] * np.uint32(0x85EBCA77) + x[at + 2] * np.uint32(0xC2B2AE3D)) >> np.uint32(17)) & np.uint32(buckets - 1)
 
 
 def stated_of(tag: Column) -> Column:
@@ -102,46 +113,53 @@ def suffix_of(host: Column) -> Column:
 
 
 def languages_of(stated: DataFrame) -> dict[str, int]:
-    """The ``MOST`` most frequent languages that rows state, in order of name, with their numbers of rows. There are at most 26^2 + 26^3 codes."""
+    """The languages that rows state, in order of name, with their numbers of rows. There are at most 26^2 + 26^3 codes."""
     counts = {r["stated"]: r["n"] for r in stated.where("stated IS NOT NULL").groupBy("stated").agg(F.count("*").alias("n")).collect()}
-    return {l: counts[l] for l in sorted(sorted(counts, key=lambda l: (-counts[l], l))[:MOST])} or {UNDETERMINED: 0}
+    fitted = {l: n for l, n in counts.items() if n >= SUPPORT} or counts
+    return dict(sorted(fitted.items())) or {UNDETERMINED: 0}
 
 
 def text_model(labelled: DataFrame, sizes: dict[str, int]) -> np.ndarray:
     """Log-probabilities by bucket and language, then by how much more likely than uniform each bucket is there, in logarithms.
 
     Languages without text have -inf. labelled has id, declared and text; sizes has its rows by language. The result's size depends on
-    the parameters alone.
+    the parameters and the number of languages alone.
     """
     names = list(sizes)
-    picked = reduce(lambda c, l: c.when(F.col("declared") == l, SAMPLE / max(sizes[l], 1)), names[1:], F.when(F.col("declared") == names[0], SAMPLE / max(sizes[names[0]], 1)))
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < picked * 1_000_000)
+    number, buckets = {l: k for k, l in enumerate(names)}, buckets_for(len(names))
+    share = labelled.sparkSession.createDataFrame([(l, 1_000_000 * SAMPLE / max(n, 1)) for l, n in sizes.items()], "declared string, share double")
+    sample = labelled.join(F.broadcast(share), "declared").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for declared, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for found in trigrams(text):
-                    total[names.index(declared)] += np.bincount(found, minlength=BUCKETS)
-        k, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": total[k, bucket]})
-
-    grouped = sample.select("declared", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
-    seen = np.zeros((BUCKETS, len(names)))
+                mine = total.setdefault(number[declared], np.zeros(buckets, np.int64))
+                for found in trigrams(text, buckets):
+                    mine += np.bincount(found, minlength=buckets)
+        for k, mine in total.items():
+            at = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "bucket": pa.array(at, pa.int32()), "n": mine[at]})
+
+    grouped = sample.select("declared", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most a row a bucket and language
+    seen = np.zeros((buckets, len(names)))
     seen[grouped["bucket"].to_numpy(), grouped["k"].to_numpy()] = grouped["n"].to_numpy()
     counts, fitted = seen + ADDED, seen.sum(axis=0) > 0
     model = np.log(counts / counts.sum(axis=0))
     if fitted.any():
         model[:, ~fitted] = -np.inf
-    like = np.log((1 - UNSEEN) * BUCKETS * seen / np.maximum(seen.sum(axis=0), 1) + UNSEEN)
+    like = np.log((1 - UNSEEN) * buckets * seen / np.maximum(seen.sum(axis=0), 1) + UNSEEN)
     like[:, ~fitted] = -np.inf
     return np.concatenate([model, like], axis=1)
 
 
-def text_scores(rows: DataFrame, model: np.ndarray, names: list[str]) -> DataFrame:
-    """rows (whose last column is text) with n_grams, s_<language>, the log-likelihoods, and likeness, the greatest over uniform, in the text's place."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # BUCKETS x twice the languages
-    others, n = rows.columns[:-1], len(names)
+def text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
+    """rows (whose last column is text) with n_grams, s, the languages' log-likelihoods, likeness, the greatest over uniform, and p, their shares by the text alone, in the text's place."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # 8 bytes a bucket and language
+    others, n = rows.columns[:-1], model.shape[1] // 2
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * n), pa.array(values.reshape(-1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
@@ -149,32 +167,32 @@ def text_scores(rows: DataFrame, model: np.ndarray, names: list[str]) -> DataFra
             texts = batch.column(batch.num_columns - 1).to_pylist()
             sums, sizes = np.zeros((len(texts), 2 * n)), np.zeros(len(texts), np.int64)
             for i, text in enumerate(texts):
-                for found in trigrams(text):
+                for found in trigrams(text, len(weights)):
                     sizes[i] += len(found)
                     sums[i] += weights[found].sum(axis=0, dtype=np.float64)
-            columns = [*batch.columns[:-1], pa.array(sizes), *(pa.array(sums[:, k]) for k in range(n)), pa.array(sums[:, n:].max(axis=1))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "n_grams", *(f"s_{l}" for l in names), "likeness"])
+            s = np.ascontiguousarray(sums[:, :n])
+            p = np.exp(TEMPER * (s - s.max(axis=1, initial=-np.inf, keepdims=True))) if len(s) else s
+            p = np.where(sizes[:, None] > 0, p / p.sum(axis=1, keepdims=True), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes), lists(s), pa.array(sums[:, n:].max(axis=1, initial=-np.inf)), lists(p)], names=[*others, "n_grams", "s", "likeness", "p"])
 
     kinds = [f"{c} {t}" for c, t in rows.dtypes[:-1]]
-    return rows.mapInArrow(score, ", ".join([*kinds, "n_grams long", *(f"s_{l} double" for l in names), "likeness double"]))
-
+    return rows.mapInArrow(score, ", ".join([*kinds, "n_grams long, s array<double>, likeness double, p array<double>"]))
 
-def _greatest(columns: list[Column]) -> Column:
-    return F.greatest(*columns) if len(columns) > 1 else columns[0]
 
+def keys_of(text: Column, declared: Column, host: Column) -> list[Column]:
+    """Two hashes of all that a decision depends on; nulls count, which a hash would pass over."""
+    parts = [p for c in (text, declared, host) for p in (c.isNull(), c)]
+    return [F.xxhash64(*parts).alias("key_a"), F.xxhash64(F.lit("b"), *reversed(parts)).alias("key_b")]
 
-def with_softmax(df: DataFrame, prefix: str, names: list[str]) -> DataFrame:
-    """Adds top, the greatest of the columns prefix + language, and total, the sum of their exponentials relative to it.
 
-    The greatest probability is then 1 / total. Step by step, since later columns refer to earlier ones many times.
-    """
-    topped = df.withColumn("top", _greatest([F.col(prefix + l) for l in names]))
-    return topped.withColumn("total", reduce(lambda a, b: a + b, [F.exp(F.col(prefix + l) - F.col("top")) for l in names]))
+def summed(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
 
-def keys_of(text: Column, declared: Column, host: Column) -> list[Column]:
-    """Two hashes of all that a decision depends on."""
-    return [F.xxhash64(text, declared, host).alias("key_a"), F.xxhash64(F.lit("b"), host, text, declared).alias("key_b")]
+def smoothed(counts: Column, above: Column) -> Column:
+    """Shares from counts, with ``SMOOTH`` rows of the shares above."""
+    total = summed(counts)
+    return F.zip_with(counts, above, lambda n, a: (n + SMOOTH * a) / (total + SMOOTH))
 
 
 def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", with_keys: bool = False) -> DataFrame:
@@ -187,63 +205,58 @@ def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     host = F.col(f"`{host_col}`").cast("string") if host_col else none
     text = F.col(f"`{text_col}`")
     sizes = languages_of(df.select(stated_of(tag).alias("stated")))
-    names = list(sizes)
-    declared = F.when(F.col("stated").isin(*names), F.col("stated"))
+    names, spark = list(sizes), df.sparkSession
+    every = F.sequence(F.lit(0), F.lit(len(names) - 1))
     rows = in_small_batches(df).select(F.col(f"`{id_col}`").alias("id"), *keys_of(text, tag, host), stated_of(tag).alias("stated"), F.when(host != "", host).alias("host"), text.alias("text"))
 
-    model = text_model(rows.select("id", declared.alias("declared"), "text").where("declared IS NOT NULL"), sizes)
-    scored = text_scores(rows, model, names)
-    scored = with_softmax(scored.withColumns({f"t_{l}": TEMPER * F.col(f"s_{l}") for l in names}), "t_", names)
-    posterior = [F.when(F.col("n_grams") > 0, F.exp(F.col(f"t_{l}") - F.col("top")) / F.col("total")).otherwise(0.0).alias(f"p_{l}") for l in names]
-    scored = written(scored.select(*rows.columns[:-1], "n_grams", *[f"s_{l}" for l in names], "likeness", *posterior), "language-scores")
+    model = text_model(rows.select("id", F.col("stated").alias("declared"), "text").where("declared IS NOT NULL"), sizes)
+    scored = written(text_scores(rows, model), "language-scores")
 
-    def sums(keys: list[str], source: DataFrame, prefix: str) -> DataFrame:
-        return source.groupBy(*keys).agg(*[F.sum(f"{prefix}{l}").alias(f"n_{l}") for l in names], F.count("*").alias("n_rows"))
+    def sums(keys: list[str], source: DataFrame, shares: str) -> DataFrame:
+        return source.groupBy(*keys).agg(F.array(*[F.sum(F.get(shares, F.lit(k))) for k in range(len(names))]).alias("n"), F.count("*").alias("n_rows"))
 
     # One row a host, then one a suffix, then one.
-    hosts = written(sums(["host"], scored, "p_"), "language-hosts").withColumn("suffix", suffix_of(F.col("host")))
-    whole = sums([], hosts, "n_").first()
-    overall = {l: (float(whole[f"n_{l}"] or 0) + 1) for l in names}
-    base = {l: n / sum(overall.values()) for l, n in overall.items()}
-
-    def smoothed(counts: dict[str, Column], above: dict[str, Column]) -> dict[str, Column]:
-        total = reduce(lambda a, b: a + b, counts.values())
-        return {l: (counts[l] + SMOOTH * above[l]) / (total + SMOOTH) for l in names}
-
-    country = {l: F.when(F.col("suffix").isin(*[s for s, x in SUFFIX_LANGUAGE.items() if x == l]), SMOOTH).otherwise(0.0) for l in names}
-    suffixes = sums(["suffix"], hosts.where("suffix IS NOT NULL"), "n_")
-    start = smoothed({l: F.col(f"n_{l}") + country[l] for l in names}, {l: F.lit(base[l]) for l in names})
-    suffixes = written(suffixes.select("suffix", "n_rows", *[c.alias(f"u_{l}") for l, c in start.items()]), "language-suffixes")
+    hosts = written(sums(["host"], scored, "p"), "language-hosts").withColumn("suffix", suffix_of(F.col("host")))
+    overall = np.array([x or 0.0 for x in sums([], hosts, "n").first()["n"]]) + 1
+    base = F.lit((overall / overall.sum()).tolist())
+
+    country = [(suffix, names.index(l)) for suffix, l in SUFFIX_LANGUAGE.items() if l in sizes]
+    country = spark.createDataFrame(country, "suffix string, home int")
+    suffixes = sums(["suffix"], hosts.where("suffix IS NOT NULL"), "n").join(F.broadcast(country), "suffix", "left")
+    start = F.transform("n", lambda n, k: n + F.when(k == F.col("home"), SMOOTH).otherwise(0.0))
+    suffixes = written(suffixes.select("suffix", "n_rows", smoothed(start, base).alias("u")), "language-suffixes")
     named = hosts.where("host IS NOT NULL").withColumnRenamed("n_rows", "n_host")
     of_host = spread_join(named, suffixes.drop("n_rows"), ["suffix"], suffixes.where(F.col("n_rows") > hosts.count() / HOT), "left")
-    of_host = of_host.select("host", "n_host", *[f"n_{l}" for l in names], *[F.coalesce(f"u_{l}", F.lit(base[l])).alias(f"u_{l}") for l in names])
+    of_host = of_host.select("host", "n_host", "n", F.coalesce("u", base).alias("u"))
 
     # One row a known declaration: what it says of each language.
-    met = {r["stated"]: r for r in sums(["stated"], scored.where(F.col("stated").isin(*names)), "p_").collect()}
-    joint = {d: {l: (met[d][f"n_{l}"] if d in met else 0.0) + DECLARED_WEIGHT * (HONEST if d == l else (1 - HONEST) / (len(names) - 1)) for l in names} for d in names}
-
-    def said(l: str) -> Column:
-        out = F.when(F.col("stated").isNull(), 0.0)
-        for d in names:
-            out = out.when(F.col("stated") == d, float(np.log(joint[d][l] / sum(joint[x][l] for x in names))))
-        return out.otherwise(0.0)
-
-    joined = spread_join(scored, of_host.drop("n_host"), ["host"], of_host.where(F.col("n_host") > scored.count() / HOT), "left")
-    others = {l: F.greatest(F.col(f"n_{l}") - F.col(f"p_{l}"), F.lit(0.0)) for l in names}
-    prior = {l: F.coalesce(c, F.lit(base[l])) for l, c in smoothed(others, {l: F.col(f"u_{l}") for l in names}).items()}
-    final = with_softmax(joined.withColumns({f"f_{l}": TEMPER * F.col(f"s_{l}") + F.log(prior[l]) + said(l) for l in names}), "f_", names)
-
-    def likeliest(prefix: str) -> Column:
+    listed = spark.createDataFrame([(l, k) for l, k in zip(names, range(len(names)), strict=True)], "stated string, own int")
+    met = F.broadcast(listed).join(sums(["stated"], scored.where("stated IS NOT NULL"), "p").select("stated", "n"), "stated", "left")
+    honest = F.transform(every, lambda k: F.when(k == F.col("own"), HONEST).otherwise((1 - HONEST) / max(len(names) - 1, 1)))
+    joint = F.zip_with(F.coalesce("n", F.transform(every, lambda k: F.lit(0.0))), honest, lambda n, h: n + DECLARED_WEIGHT * h)
+    says = written(met.select("stated", joint.alias("joint")), "language-declarations")
+    columns = [F.sum(F.get("joint", F.lit(k))) for k in range(len(names))]
+    whole = F.lit(says.agg(F.array(*columns).alias("w")).first()["w"])
+    says = says.select("stated", F.zip_with("joint", whole, lambda j, w: F.log(j / w)).alias("said"))
+
+    joined = spread_join(scored, of_host.drop("n_host"), ["host"], of_host.where(F.col("n_host") > scored.count() / HOT), "left").join(F.broadcast(says), "stated", "left")
+    others = F.zip_with("n", "p", lambda n, p: F.greatest(n - p, F.lit(0.0)))
+    nothing = F.transform(every, lambda k: F.lit(0.0))
+    joined = joined.withColumns({"prior": F.when(F.col("n").isNull(), base).otherwise(smoothed(others, F.col("u"))), "said": F.coalesce("said", nothing)})
+    final = joined.withColumn("f", F.zip_with(F.zip_with("s", "prior", lambda s, p: TEMPER * s + F.log(p)), "said", lambda a, b: a + b))
+    final = final.withColumn("top", F.array_max("f"))
+    final = final.withColumn("total", F.aggregate("f", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
+
+    def likeliest(values: str) -> Column:
         """The first language with the greatest value."""
-        top = _greatest([F.col(prefix + l) for l in names])
-        return reduce(lambda c, l: c.when(F.col(prefix + l) == top, l), names[1:], F.when(F.col(prefix + names[0]) == top, names[0]))
+        return F.get(F.lit(names), F.array_position(values, F.array_max(values)).cast("int") - 1)
 
-    beyond = F.coalesce(~F.col("stated").isin(*names), F.lit(False))
-    sure = (F.col("likeness") > 0) & (1 / F.col("total") >= LEAST)
+    sure = (F.col("likeness") > 0) & (1 / F.col("total") >= LEAST) & (F.col("n_grams") > 0)
+    at_its_word = F.col("stated").isNotNull() & ~F.col("stated").isin(names) & ~sure
     return final.select(
-        F.col("id").alias(id_col), F.when(beyond, F.col("stated")).otherwise(likeliest("f_")).alias("language"), F.when(~beyond, 1 / F.col("total")).alias("confidence"),
-        F.when(~beyond & (F.col("n_grams") > 0), likeliest("s_")).alias("text_language"),
-        ((F.col("n_grams") > 0) & (beyond | sure)).alias("kept"), *(["key_a", "key_b", "stated"] if with_keys else []),
+        F.col("id").alias(id_col), F.when(at_its_word, F.col("stated")).otherwise(likeliest("f")).alias("language"), F.when(~at_its_word, 1 / F.col("total")).alias("confidence"),
+        F.when(~at_its_word & (F.col("n_grams") > 0), likeliest("s")).alias("text_language"),
+        ((F.col("n_grams") > 0) & (at_its_word | sure)).alias("kept"), *(["key_a", "key_b", "stated"] if with_keys else []),
     )
 
 
@@ -253,7 +266,8 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dec
     Rejected and relabelled rows are known by hashes of all that a decision depends on: broadcast if few (24 bytes each), else by a shuffle.
     """
     found = identified(df, id_col, text_col, declared_col, host_col, with_keys=True)
-    changed = found.where(~F.col("kept") | ~F.col("language").eqNullSafe(F.col("stated"))).select("key_a", "key_b", "kept", "language").distinct()
+    changed = found.where(~F.col("kept") | ~F.col("language").eqNullSafe(F.col("stated")))
+    changed = changed.groupBy("key_a", "key_b").agg(F.bool_and("kept").alias("kept"), F.min("language").alias("language"))  # rows with equal keys have equal rulings
     names = {c: unused(df, c) for c in changed.columns}
     changed = written(changed.withColumnsRenamed(names), "language-rulings")
     few = changed.count() <= BROADCAST_IDS
@@ -264,11 +278,59 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dec
     return ruled.where(stays).select(*[F.coalesce(names["language"], tag).cast(t).alias(c) if c == declared_col else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
+#: What opens and closes elements whose content isn't text, and a page's declaration. None of these patterns can run back over what it has read.
+RAW_OPEN = re.compile(r"<(script|style)\b", re.I)
+RAW_CLOSE = {"script": re.compile(r"</script\b", re.I), "style": re.compile(r"</style\b", re.I)}
+HTML_TAG = re.compile(r"<html\b", re.I)
+LANG = re.compile(r"""\slang\s*=\s*["']?([A-Za-z_-]+)""", re.I)
+
+
+def visible(page: str) -> str:
+    """The text of a page: tags, comments, scripts and styles become spaces, character references their characters. One pass.
+
+    ``<`` opens a tag only before a letter, ``/``, ``!`` or ``?``, so ``a < b`` stays. What isn't closed runs to the page's end.
+    """
+    out, i = [], 0
+    while (j := page.find("<", i)) >= 0:
+        after = page[j + 1 : j + 2]
+        if not (after.isascii() and after.isalpha() or after in ("/", "!", "?")) or not after:
+            out.append(page[i : j + 1])
+            i = j + 1
+            continue
+        out += [page[i:j], " "]
+        raw = RAW_OPEN.match(page, j)
+        if page.startswith("<!--", j):
+            end = page.find("-->", j + 4)
+            i = end + 3 if end >= 0 else len(page)
+            continue
+        if raw:
+            close = RAW_CLOSE[raw[1].lower()].search(page, raw.end())
+            j = close.start() if close else len(page)
+        end = page.find(">", j)
+        i = end + 1 if end >= 0 else len(page)
+    out.append(page[i:])
+    return unescape("".join(out))
+
+
+def declared_by(page: str) -> str | None:
+    """The language that a page's first ``html`` tag declares."""
+    tag = HTML_TAG.search(page)
+    if not tag:
+        return None
+    end = page.find(">", tag.end())
+    found = LANG.search(page, tag.end(), end if end >= 0 else len(page))
+    return found[1] if found else None
+
+
 def of_pages(pages: DataFrame) -> DataFrame:
-    """Web pages as rows for ``identified``: page_id, text without markup, the declared language, the host."""
+    """Web pages as rows for ``identified``: page_id, text without markup, the declared language, the host. Null pages are empty."""
     from gridlark.llm.url_filter import host_of
 
-    html = F.coalesce("html", F.lit(""))
-    shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
-    tag = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z_-]+)""", 1)
-    return pages.select("page_id", shown.alias("text"), tag.alias("declared"), host_of(F.col("url")).alias("host"))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html = [x or "" for x in batch.column(2).to_pylist()]
+            columns = [batch.column(0), pa.array([visible(x) for x in html], pa.string()), pa.array([declared_by(x) for x in html], pa.string()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "text", "declared", "host"])
+
+    rows = in_small_batches(pages).select("page_id", host_of(F.col("url")).alias("host"), "html")
+    return rows.mapInArrow(read, f"page_id {dict(pages.dtypes)['page_id']}, text string, declared string, host string")

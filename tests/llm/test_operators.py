@@ -264,11 +264,39 @@ def test_languages_come_from_the_labels(spark):
     assert all((r.key_a, r.language) == ("x", "y") for r in kept.values())
 
 
-def test_languages_beyond_the_most_are_taken_at_their_word(spark, monkeypatch):
-    monkeypatch.setattr(language, "MOST", 1)
-    rows = [(i, "the and of that with this was for " * 5, "en", "s") for i in range(5)] + [(10, ITALIAN[0], "it", "s"), (11, "...", "it", "s"), (12, ITALIAN[0], None, "s")]
+def test_languages_without_support_are_judged_by_text_or_taken_at_their_word(spark):
+    en = "the and of that with this was for "
+    rows = [(i, en * 5, "en", "s") for i in range(5)] + [(9, en * 5, "zz", "s"), (10, "хорошая погода и река " * 9, "ru", "s"), (11, "...", "it", "s"), (12, "хорошая погода и река " * 9, None, "s")]
     got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert (got[10].language, got[10].kept, got[10].confidence) == ("it", True, None) and not got[11].kept and not got[12].kept
+    assert (got[9].language, got[9].kept) == ("en", True)  # a noise tag isn't fitted on its own row
+    assert (got[10].language, got[10].kept, got[10].confidence) == ("ru", True, None) and not got[11].kept and not got[12].kept
+
+
+def test_many_languages_are_all_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(language, "FULL", 16)
+    rng = random.Random(8)
+    tags = [a + b for a in "abcdefgh" for b in "klmno"]
+    words = {t: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(25)] for t in tags}
+    rows = [(100 * k + i, " ".join(rng.choice(words[t]) for _ in range(40)), t if i < 10 else None, None) for k, t in enumerate(tags) for i in range(12)]
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(tags) == 40 and language.buckets_for(40) == language.BUCKETS // 4
+    assert all(got[i].language == tags[i // 100] and got[i].kept for i, *_ in rows)
+
+
+def test_kept_rows_are_ruled_row_by_row_whatever_is_null(spark):
+    en, de = "the and of that with this was for ", "und der die nicht ein mit auf das "
+    values = [None, "en", "h", "s", "", en * 5]
+    rows = [(i, en * 5, "en", "s") for i in range(6)] + [(10 + i, de * 5, "de", "h") for i in range(6)]
+    rows += [(100 + i, t, l, h) for i, (t, l, h) in enumerate((t, l, h) for t in values for l in values for h in values)]
+    rows += [(400, None, "en", "h"), (401, "en", None, "h"), (402, "en", "h", None)] + rows[-5:]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ruled = {(r.doc_id, r.kept, r.language) for r in language.identified(df).collect()}
+    kept = language.kept_rows(df).collect()
+    assert len({i for i, *_ in ruled}) == len(ruled)
+    keeps = {i: l for i, k, l in ruled if k}
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, *_ in rows if i in keeps)
+    before = {i: (t, l, h) for i, t, l, h in rows}
+    assert all((r.text, r.source) == before[r.doc_id][::2] and r.lang in (keeps[r.doc_id], before[r.doc_id][1]) for r in kept)
 
 
 def test_only_letters_of_any_script_count():
@@ -282,8 +310,9 @@ def fused(rows):
         m = re.match("^([a-z]{2,3})(?:[-_].*)?$", (tag or "").strip(" ").lower())
         return m[1] if m and m[1] not in language.NO_LANGUAGE else None
 
-    tags = [stated(tag) for _, tag, _ in rows]
-    names = sorted(set(filter(None, tags)))
+    said = [stated(tag) for _, tag, _ in rows]
+    names = sorted({t for t in said if t and said.count(t) >= language.SUPPORT}) or sorted(set(filter(None, said)))
+    tags = [t if t in names else None for t in said]
     grams = [np.concatenate([*language.trigrams(t), np.zeros(0, np.uint32)]).astype(int) for t, _, _ in rows]
     seen = np.zeros((len(names), language.BUCKETS))
     for tag, found in zip(tags, grams):
@@ -324,6 +353,9 @@ def fused(rows):
         final = language.TEMPER * score[k] + np.log(prior) + (np.log(joint[names.index(tag)] / joint.sum(axis=0)) if tag else 0)
         sure = softmax(final).max()
         text = names[int(score[k].argmax())] if len(grams[k]) else None
+        if said[k] and not tag and not (len(grams[k]) and likeness[k] > 0 and sure >= language.LEAST):
+            out.append((said[k], None, None, bool(len(grams[k]))))
+            continue
         out.append((names[int(final.argmax())], sure, text, bool(len(grams[k])) and likeness[k] > 0 and sure >= language.LEAST))
     return out
 
@@ -342,7 +374,7 @@ def test_fusion_agrees_with_a_plain_version(spark, name):
     for (i, *_), (l, sure, text, kept) in zip(rows, wanted):
         r = got[i]
         assert (r.language, r.text_language, r.kept) == (l, text, kept), i
-        assert r.confidence == pytest.approx(sure, rel=1e-6)
+        assert r.confidence == (sure if sure is None else pytest.approx(sure, rel=1e-6))
 
 
 def test_a_hot_host_and_a_hot_suffix_change_nothing(spark, monkeypatch):
@@ -355,8 +387,36 @@ def test_a_hot_host_and_a_hot_suffix_change_nothing(spark, monkeypatch):
 def test_pages_read_markup(spark):
     rows = [(1, "https://X.example.de/a", '<html lang="de-AT"><head><script>var the = 1</script></head><p>Nicht &amp; aulich</p>'), (2, None, None)]
     got = language.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert (got[0].declared, got[0].host, got[0].text.split()) == ("de-AT", "x.example.de", ["Nicht", "aulich"])
-    assert got[1].text == ""
+    assert (got[0].declared, got[0].host, got[0].text.split()) == ("de-AT", "x.example.de", ["Nicht", "&", "aulich"])
+    assert (got[1].text, got[1].declared, got[1].host) == ("", None, "")
+    assert language.of_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [
+        ("a < b and c > d", "a < b and c > d"), ("it&#39;s &eacute;t&eacute; &unknown;", "it's été &unknown;"), ("x<!-- a > b -->y", "x y"), ("x<STYLE>p {}</style >y<br/>z", "x y z"),
+        ("x<script>a</scripts>b</script>y", "x y"), ("x<script>a", "x"), ("x<!-- y", "x"), ("x<p y", "x"), ("x<", "x<"), ("<scripting>x", "x"), ("</p>x<!doctype html>y<?xml?>z", "x y z"), ("", ""),
+    ],
+)
+def test_markup_goes_and_text_stays(page, words):
+    assert language.visible(page).split() == words.split()
+
+
+@pytest.mark.parametrize("unit", ["<script ", "<script>", "<", "<!--", "<!-- ", "&", "&#", "&a", "<html ", "<html lang ", " lang =", "<a", "</script", "<script></script", "<style><script>", "lang=", "< "])
+def test_pages_are_read_in_linear_time(unit):
+    import time
+
+    page = "<html" + unit * (1_000_000 // len(unit))
+    for p in (page, page[5:], page + ">", "<script>" + page):
+        began = time.process_time()
+        language.visible(p), language.declared_by(p)
+        assert time.process_time() - began < 2
+
+
+def test_only_the_first_html_tag_declares():
+    assert language.declared_by("<p><HTML class=x\n lang = 'fr-CA'><html lang=de>") == "fr-CA"
+    assert language.declared_by("<html><html lang=de>") is None and language.declared_by("<p lang=de>") is None
 
 
 # Near duplicates

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridlark.llm import language, near_dup, packing, pii, vocab
 from gridlark.llm.common import spread_table, unused
 from gridlark.llm.queries import BYTE_BPE, vocabulary_path
-from gridlark.storage import drop_written, written
+from gridlark.storage import drop_written, new_path, scratch, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spread_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = written(stage(spark, docs, sf_dir), name, path)
         if before is not None:
             drop_written(before)
         before = docs

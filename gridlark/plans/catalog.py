@@ -422,3 +422,17 @@ def seq_gaps(spark, d):
 def viewer_fps(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"))
     return streams.viewer_fps(events).select(F.col("second").cast("timestamp_ntz").alias("second"), "fps")
+
+
+@query(
+    """WITH RECURSIVE shown AS (SELECT epoch_us(ts) * 1000 AS t FROM events),
+moments AS MATERIALIZED (SELECT t, min(k) AS n FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM shown) GROUP BY t),
+jumps AS MATERIALIZED (SELECT a.t, b.t AS next, a.n AS n, b.n AS n_next FROM moments a ASOF JOIN moments b ON a.t + 1000000000 <= b.t),
+windows AS (
+  SELECT * FROM jumps WHERE n = 0
+  UNION ALL SELECT j.* FROM windows w JOIN jumps j ON j.t = w.next)
+SELECT t AS start_ns, next AS end_ns, n_next - n + (n = 0)::INTEGER AS frames, round((n_next - n + (n = 0)::INTEGER) / ((next - t) / 1e9), 6) AS fps FROM windows"""
+)
+def viewer_rate(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select((F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"))
+    return streams.rate_windows(events).select("start_ns", "end_ns", "frames", *rounded("fps"))

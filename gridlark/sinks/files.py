@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import socket
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridlark.config import PipelineConfig, consumer_kind
 from gridlark.functions import packets
+from gridlark.storage import arrow_folder, output_folder
 
 #: Pixels per cell, and colours of unknown, free and blocked cells.
 SCALE = 8
@@ -63,18 +64,17 @@ def write_files(results: DataFrame, folder: str, images: bool, first: int = 0) -
     kind = "png" if images else "csv"
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
-
-        fs, root = FileSystem.from_uri(folder)
+        fs, root = arrow_folder(folder)
         fs.create_dir(root, recursive=True)
         for rows in batches:
             for r in rows.itertuples():
                 codes = np.asarray(r.trav_grid, np.float32)
                 data = (png if images else csv_text)(r.r_bins, r.theta_bins, codes)
                 name = f"{root}/frame_{r.file_index:06d}.{kind}"
-                with fs.open_output_stream(name + f".{r.file_index}.part") as out:
+                part = f"{name}.{uuid.uuid4().hex}.part"  # another attempt of this task may be writing the same file
+                with fs.open_output_stream(part) as out:
                     out.write(data)
-                fs.move(name + f".{r.file_index}.part", name)
+                fs.move(part, name)
             yield pd.DataFrame({"n": [len(rows)]})
 
     rows = packets.numbered(results, "file_index").withColumn("file_index", F.col("file_index") + first)
@@ -122,7 +122,9 @@ class Counts:
         except AnalysisException as why:
             if why.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.now  # this batch is the first that the sink sees
+            if not self.now:
+                raise RuntimeError(f"the count before batch {batch} is lost from {self.state}: its files would be numbered from 0 again") from why
+            return self.now
 
     def after(self, batch: int | None, n: int) -> None:
         self.now = n
@@ -133,11 +135,10 @@ class Counts:
 def sink_of(config: PipelineConfig, spark: SparkSession, state: str | None = None) -> Sink:
     """The sink that the configuration names. It counts what it has written; with a folder for its state also across restarts."""
     kind, counts = consumer_kind(config.consumer), Counts(spark, state)
-    folder = config.disk_writer.output_dir
-    folder = folder if "://" in folder else "file://" + os.path.abspath(folder)
 
     def disk(results: DataFrame, batch: int | None = None) -> None:
         first = counts.before(batch)
+        folder = output_folder(spark, config.disk_writer.output_dir)
         counts.after(batch, first + write_files(results, folder, config.disk_writer.write_images, first))
 
     def network(results: DataFrame, batch: int | None = None) -> None:

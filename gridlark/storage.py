@@ -43,12 +43,41 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="gridlark-")
         found = _own[app]
-    if "://" not in found:
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        scheme, _, rest = found.partition(":")
-        found = found if rest.startswith("//") else f"{scheme}://{rest}"
-    return found.rstrip("/")
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system; one without a scheme belongs to the session's default file system."""
+    if "://" not in path:
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        scheme, _, rest = name.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(name).toString().partition(":")
+        path = f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}"
+    return path.rstrip("/")
+
+
+def output_folder(spark: SparkSession, path: str) -> str:
+    """Where executors write files for good: a folder of the default file system, or as its scheme says. A cluster's executors don't share their local disks."""
+    found = qualified(spark, path)
+    master = spark.sparkContext.master
+    if found.startswith("file:") and "://" not in path and master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{path} is on each machine's own disk: name a folder that all executors share, with its scheme")
+    return found
+
+
+#: Schemes as Hadoop names them and as Arrow does.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def arrow_folder(uri: str):
+    """(Arrow's file system, path) of a folder; says so where Arrow can't reach it."""
+    from pyarrow.fs import FileSystem
+    from pyarrow.lib import ArrowException
+
+    scheme, _, rest = uri.partition("://")
+    try:
+        return FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+    except (ArrowException, ValueError) as why:
+        raise RuntimeError(f"files can't be written to {uri} from tasks ({why}): name a folder of file, hdfs, s3, gs or abfs") from why
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -27,6 +27,14 @@ def results(points: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFram
     return packed(grids(points, frames, c), frames, Grid.of(c.traversability))
 
 
+def results_of_voxels(counted: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFrame:
+    """As ``results``, from the points' counts by voxel (frame_id, ix, iy, iz, n)."""
+    g = Grid.of(c.traversability)
+    enough = counted.where(F.col("n") >= c.voxel_filter.min_points_per_voxel)
+    polar = P.polarize(P.with_centres(enough, c.voxel_filter), c.polarize)
+    return packed(T.grid_of(polar, frames, g), frames, g)
+
+
 def stage_counts(points: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFrame:
     """Per frame: finite points, kept voxels, polar points. One pass over the points: all three are sums over voxel counts."""
     counted = P.voxel_count(P.tilt_compensate(P.extract_xyz(points), frames), c.voxel_filter)

@@ -20,6 +20,11 @@ def stream_points(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """The recording's frames as a stream."""
+    return spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def event_time(frames: DataFrame) -> DataFrame:
     """Adds ts, the time stamp in microseconds (the nanoseconds stay in timestamp_ns)."""
     return frames.withColumn("ts", F.expr("timestamp_micros((timestamp_ns - pmod(timestamp_ns, 1000)) div 1000)"))

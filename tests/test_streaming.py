@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark import runner
+from gridlark import runner, storage
 from gridlark.config import DiskConfig, PipelineConfig, SourceConfig
 from gridlark.functions import packets, streams
 from gridlark.plans import pipeline
@@ -185,6 +185,98 @@ def test_gaps_are_kept_between_micro_batches(spark, tmp_path):
     assert last[1] == (batch_.packets, batch_.lost) == (7, sum((b - a - 1) for a, b in zip([5, 6, 9, 9, 7, (1 << 32) - 1], [6, 9, 9, 7, (1 << 32) - 1, 1 << 32])) % (1 << 32))
 
 
+def test_late_packets_change_nothing_in_the_end(spark, tmp_path):
+    """Reordered between micro-batches: the stream's last totals are the batch's."""
+    seqs = [(s, a, (7 * a + s) % (1 << 32)) for s in (1, 2) for a in (3, 0, 9, 4, 1, 8)]
+    for k in range(0, 12, 3):
+        spark.createDataFrame(seqs[k : k + 3], "sender long, arrival long, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sender long, arrival long, seq long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    last = {r.sender: r for r in collected(live.gap_stream(stream), tmp_path, "c", "update")}
+    assert {s: (r.packets, r.lost) for s, r in last.items()} == {r.sender: (r.packets, r.lost) for r in streams.seq_gaps(spark.read.parquet(str(tmp_path / "in"))).collect()}
+
+
+def test_silent_senders_leave_the_state(spark, tmp_path):
+    rows = [(1, 0, 5, 0), (1, 1, 7, 60), (1, 2, 100, 4000), (2, 0, 1, 30), (3, 0, 1, 20_000)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "sender long, arrival long, seq long, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("sender long, arrival long, seq long, s long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(live.gap_sessions(stream, late="2 hours"), tmp_path, "c", "append")
+    assert sorted((r.sender, r.packets, r.lost) for r in got) == [(1, 1, 0), (1, 2, 1), (2, 1, 0)]
+
+
+def plain_rates(times, width=10**9):
+    out, start, count = [], None, 0
+    for t in sorted(times):
+        start = t if start is None else start
+        count += 1
+        if t - start >= width:
+            out.append((start, t, count, count / ((t - start) / 1e9)))
+            start, count = t, 0
+    return out
+
+
+@pytest.mark.parametrize("rows_each", [7, 1_000_000])
+def test_rate_windows_are_greedy(spark, monkeypatch, rows_each):
+    monkeypatch.setattr(storage, "RANGE_ROWS", rows_each)
+    rng = np.random.default_rng(3)
+    times = np.cumsum(rng.choice([0, 1, 30_000_000, 400_000_000, 3_000_000_000], 120)).tolist()
+    got = streams.rate_windows(spark.createDataFrame([(t,) for t in times] + [(None,)], "timestamp_ns long").repartition(3)).collect()
+    assert sorted((r.start_ns, r.end_ns, r.frames, r.fps) for r in got) == plain_rates(times)
+    assert streams.rate_windows(spark.createDataFrame([], "timestamp_ns long")).count() == 0
+    assert streams.rate_windows(spark.createDataFrame([(5,), (5,)], "timestamp_ns long")).count() == 0
+
+
+def test_a_stream_s_rate_windows_are_the_batch_s(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    times = {v: np.cumsum(rng.choice([0, 30_000_000, 400_000_000, 1_700_000_000], 60)).tolist() for v in (1, 2)}
+    for k in range(0, 60, 20):
+        rows = [(v, t) for v in times for t in times[v][k : k + 20]] + [(1, None)]
+        spark.createDataFrame(rows, "viewer long, timestamp_ns long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("viewer long, timestamp_ns long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(live.rate_window_stream(stream), tmp_path, "c", "append")
+    for v in times:
+        assert sorted((r.start_ns, r.end_ns, r.frames, r.fps) for r in got if r.viewer == v) == plain_rates(times[v])
+
+
+def test_frames_cut_over_micro_batches_and_empty_ones_equal_the_batch(spark, recording, tmp_path):
+    points = recorded.read_points(spark, str(recording / "points"))
+    frames = spark.read.parquet(str(recording / "frames"))
+    at = [r.timestamp_ns for r in frames.orderBy("timestamp_ns").collect()]
+    end = at[-1] + 7200 * 10**9  # frame 8 has no points; frame 9 ends the recording, so that the watermark passes the others
+    more = spark.createDataFrame([(8, at[-1] + 1000, (0.0, 0.0, 0.0, 1.0)), (9, end, (0.0, 0.0, 0.0, 1.0))], recorded.FRAMES)
+    table = frames.unionByName(more)
+    table.coalesce(1).write.parquet(str(tmp_path / "frames"))
+    table = spark.read.parquet(str(tmp_path / "frames"))
+    for part in range(3):  # each file has a third of the points of every frame
+        points.where(F.pmod(F.xxhash64("pixel_id", "x"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "points"))
+        time.sleep(1.1)
+    spark.createDataFrame([(9, 1, 0.5, 0.0, 0.0, 0.0)], recorded.POINTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "points"))
+    got = []
+    streams_ = recorded.stream_points(spark, str(tmp_path / "points")), recorded.stream_frames(spark, str(tmp_path / "frames"))
+    live.frame_stream(*streams_, table, C, lambda r, b: got.extend(r.collect()), str(tmp_path / "c"), late="1 hour", conflate=False).awaitTermination(120)
+    wanted = batch(spark, recording) | {8: None}
+    assert sorted(r.frame_id for r in got if r.frame_id != 9) == sorted(wanted)
+    for r in got:
+        if wanted.get(r.frame_id):
+            assert same(r, wanted[r.frame_id])
+        elif r.frame_id == 8:
+            assert all(map(math.isnan, r.trav_grid)) and np.allclose(r.height_map, -0.3)
+
+
+def test_of_equal_time_stamps_one_frame_is_the_newest(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "frame_id long, timestamp_ns long")
+    kept, dropped = live.newest(rows)
+    assert [r.frame_id for r in kept.collect()] == [3] and dropped == 2
+    assert live.newest(rows.limit(0))[1] == 0
+
+
+def test_a_lost_count_is_no_new_start(spark, tmp_path):
+    with pytest.raises(RuntimeError):
+        files.Counts(spark, f"file://{tmp_path}/state").before(4)
+
+
 def collected(stream, tmp_path, name, mode):
     rows = []
     stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)

@@ -244,7 +244,7 @@ def test_frames_cut_over_micro_batches_and_empty_ones_equal_the_batch(spark, rec
     points = recorded.read_points(spark, str(recording / "points"))
     frames = spark.read.parquet(str(recording / "frames"))
     at = [r.timestamp_ns for r in frames.orderBy("timestamp_ns").collect()]
-    end = at[-1] + 7200 * 10**9  # frame 8 has no points; frame 9 ends the recording, so that the watermark passes the others
+    end = at[-1] + 60 * 86400 * 10**9  # frame 8 has no points; frame 9 ends the recording, so that the watermark passes the others
     more = spark.createDataFrame([(8, at[-1] + 1000, (0.0, 0.0, 0.0, 1.0)), (9, end, (0.0, 0.0, 0.0, 1.0))], recorded.FRAMES)
     table = frames.unionByName(more)
     table.coalesce(1).write.parquet(str(tmp_path / "frames"))
@@ -255,7 +255,7 @@ def test_frames_cut_over_micro_batches_and_empty_ones_equal_the_batch(spark, rec
     spark.createDataFrame([(9, 1, 0.5, 0.0, 0.0, 0.0)], recorded.POINTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "points"))
     got = []
     streams_ = recorded.stream_points(spark, str(tmp_path / "points")), recorded.stream_frames(spark, str(tmp_path / "frames"))
-    live.frame_stream(*streams_, table, C, lambda r, b: got.extend(r.collect()), str(tmp_path / "c"), late="1 hour", conflate=False).awaitTermination(120)
+    live.frame_stream(*streams_, table, C, lambda r, b: got.extend(r.collect()), str(tmp_path / "c"), late="30 days", conflate=False).awaitTermination(120)
     wanted = batch(spark, recording) | {8: None}
     assert sorted(r.frame_id for r in got if r.frame_id != 9) == sorted(wanted)
     for r in got:

@@ -2,8 +2,8 @@
 
 ``python -m gridlark.runner CONFIG [--stream]``. The source is the folder that ``zed.svo_path`` names, with the tables ``points`` and
 ``frames`` of a recording (``sources.recorded``). In batch all frames are delivered. As a stream the points' files are replayed, each
-with whole frames, and of a micro-batch only the newest result reaches the sink; with ``svo_real_time`` micro-batches start at the rate of
-``zed.fps``, otherwise one follows the other and the replay ends.
+with whole frames, and of a micro-batch only the newest result reaches the sink; one follows the other and the replay ends. With ``svo_real_time`` frames come at the
+recording's own pace (``sources.paced``), and micro-batches start at the rate of ``zed.fps``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from gridlark.config import PipelineConfig
 from gridlark.plans import pipeline
 from gridlark.sinks import files
 from gridlark.sources import recorded
+from gridlark.sources.paced import PacedRecording
 from gridlark.storage import new_path
 from gridlark.streaming import live
 
@@ -75,7 +76,13 @@ def replay(spark: SparkSession, config: PipelineConfig, checkpoint: str | None =
 
     sink = files.sink_of(config, spark, f"{checkpoint}/sink")
     interval = f"{1000 // max(config.zed.fps, 1)} milliseconds" if config.zed.svo_real_time else None
-    query = live.grid_stream(recorded.stream_points(spark, path), frames, config, sink, f"{checkpoint}/query", conflate, count, interval)
+    if interval:
+        spark.dataSource.register(PacedRecording)
+        points = spark.readStream.format("paced_recording").option("path", config.zed.svo_path).load()
+        points = points.join(frames.select("frame_id"), "frame_id", "left_semi")
+    else:
+        points = recorded.stream_points(spark, path)
+    query = live.grid_stream(points, frames, config, sink, f"{checkpoint}/query", conflate, count, interval)
     try:
         query.awaitTermination(seconds) if seconds else query.awaitTermination()
     finally:

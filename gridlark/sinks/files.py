@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import socket
 import struct
-import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.config import PipelineConfig, consumer_kind
 from gridlark.functions import packets
-from gridlark.storage import arrow_folder, output_folder
+from gridlark.sinks.committed import GridFiles
+from gridlark.storage import output_folder
 
 #: Pixels per cell, and colours of unknown, free and blocked cells.
 SCALE = 8
@@ -57,29 +56,16 @@ def csv_text(nr: int, nt: int, codes: np.ndarray) -> bytes:
 
 
 def write_files(results: DataFrame, folder: str, images: bool, first: int = 0) -> int:
-    """Writes frame_<index>.png or .csv for each packed result, from the executors, below a URI; returns how many.
+    """Writes frame_<index>.png or .csv for each packed result, from the executors, below a URI (``committed``: all or none); returns how many.
 
-    Results are numbered by their frames' time stamps from ``first`` on; only these keys are put into a global order.
+    Results are numbered by their frames' time stamps from ``first`` on; only these keys are put into a global order. They are counted as they are written.
     """
-    kind = "png" if images else "csv"
-
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = arrow_folder(folder)
-        fs.create_dir(root, recursive=True)
-        for rows in batches:
-            for r in rows.itertuples():
-                codes = np.asarray(r.trav_grid, np.float32)
-                data = (png if images else csv_text)(r.r_bins, r.theta_bins, codes)
-                name = f"{root}/frame_{r.file_index:06d}.{kind}"
-                part = f"{name}.{uuid.uuid4().hex}.part"  # another attempt of this task may be writing the same file
-                with fs.open_output_stream(part) as out:
-                    out.write(data)
-                fs.move(part, name)
-            yield pd.DataFrame({"n": [len(rows)]})
-
     rows = packets.numbered(results, "file_index").withColumn("file_index", F.col("file_index") + first)
-    rows = rows.select("file_index", "trav_grid", "r_bins", "theta_bins")
-    return rows.mapInPandas(store, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = Observation()
+    rows = rows.select("file_index", "trav_grid", "r_bins", "theta_bins").observe(seen, F.count(F.lit(1)).alias("n"))
+    results.sparkSession.dataSource.register(GridFiles)
+    rows.write.format("grid_files").option("path", folder).option("images", str(images).lower()).mode("append").save()
+    return seen.get["n"]
 
 
 def send(results: DataFrame, host: str = HOST, port: int = PORT, first_seq: int = 0) -> int:

@@ -14,7 +14,7 @@ from gridlark import runner, storage
 from gridlark.config import DiskConfig, PipelineConfig, SourceConfig
 from gridlark.functions import packets, streams
 from gridlark.plans import pipeline
-from gridlark.sinks import files
+from gridlark.sinks import committed, files
 from gridlark.sources import recorded, synthetic
 from gridlark.streaming import live
 
@@ -265,6 +265,41 @@ def test_frames_cut_over_micro_batches_and_empty_ones_equal_the_batch(spark, rec
             assert all(map(math.isnan, r.trav_grid)) and np.allclose(r.height_map, -0.3)
 
 
+def test_files_of_attempts_that_don_t_count_are_never_seen(tmp_path):
+    rows = [{"file_index": k, "r_bins": 1, "theta_bins": 2, "trav_grid": [0.0, 1.0]} for k in range(3)]
+    writer = committed.GridWriter({"path": f"file://{tmp_path}"})
+
+    def dying():
+        yield rows[0]
+        raise OSError("lost executor")
+
+    def seen():
+        return sorted(p.name for p in tmp_path.iterdir() if p.name != committed.STAGING)
+
+    with pytest.raises(OSError):
+        writer.write(dying())
+    first, twin, other = writer.write(iter(rows[:2])), writer.write(iter(rows[:2])), writer.write(iter(rows[2:]))
+    assert seen() == []
+    writer.commit([twin, None, other])
+    assert seen() == ["frame_000000.csv", "frame_000001.csv", "frame_000002.csv"] and (tmp_path / "frame_000001.csv").read_text() == "0,1\n"
+    assert not list((tmp_path / committed.STAGING).iterdir()) and first.names == twin.names
+    failing = committed.GridStreamWriter({"path": f"file://{tmp_path}", "images": "true"})
+    failing.abort([failing.write(iter(rows)), None], 4)
+    assert len(seen()) == 3 and not list((tmp_path / committed.STAGING).iterdir())
+    again = committed.GridStreamWriter({"path": f"file://{tmp_path}"})  # a repeated batch writes the same names
+    again.commit([again.write(iter(rows))], 4)
+    assert len(seen()) == 3
+
+
+def test_a_job_that_fails_leaves_no_file(spark, tmp_path):
+    spark.dataSource.register(committed.GridFiles)
+    rows = spark.range(4).select(F.col("id").alias("file_index"), F.array(F.lit(1.0).cast("float")).alias("trav_grid"), F.lit(1).alias("r_bins"), F.when(F.col("id") == 3, 7).otherwise(1).alias("theta_bins"))
+    out = rows.repartition(4).write.format("grid_files").option("path", f"file://{tmp_path}").mode("append")
+    with pytest.raises(Exception, match="reshape"):
+        out.save()
+    assert not list(tmp_path.glob("*.csv")) and not list(tmp_path.glob("_staging/*"))
+
+
 def test_of_equal_time_stamps_one_frame_is_the_newest(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "frame_id long, timestamp_ns long")
     kept, dropped = live.newest(rows)

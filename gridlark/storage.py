@@ -6,12 +6,14 @@ A written table cuts the lineage: a lost executor costs a reread, and what reads
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ HOT = 256
 PART = "_part"
 #: Folders of local sessions without a named one, by application.
 _own: dict[str, str] = {}
-#: Paths that this process has made and not deleted, and the folder of the innermost ``scratch``.
-_made: set[str] = set()
+#: Paths that this process has made and not deleted, by ``_plain``, and the folder of the innermost ``scratch``.
+_made: dict[str, str] = {}
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
@@ -83,15 +85,23 @@ def arrow_folder(uri: str):
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, or in that of the ``scratch`` around the call."""
     path = f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.add(path)
+    _made[_plain(path)] = path
     return path
 
 
+def _plain(path: str) -> str:
+    """A path in one spelling: however many slashes it is written with, and whether or not its characters are escaped."""
+    scheme, _, rest = path.partition(":")
+    return f"{scheme}:{re.sub('/+', '/', unquote(rest)).rstrip('/')}"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Deletes a path that ``new_path`` made, with all in it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _made.difference_update([p for p in _made if p == path or p.startswith(path + "/")])
+    gone = _plain(path)
+    for p in [p for p in _made if p == gone or p.startswith(gone + "/")]:
+        del _made[p]
 
 
 @contextmanager
@@ -117,24 +127,18 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _folder(file: str) -> str:
-    """The folder of a file as Spark names it, written as ``shared_dir`` writes paths."""
-    scheme, _, rest = file.rsplit("/", 1)[0].partition(":")
-    return f"{scheme}://{rest}" if rest.startswith("/") and not rest.startswith("//") else f"{scheme}:{rest}"
-
-
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made in this process; only once nothing reads them any more.
 
     A DataFrame that reads anything else, such as a source table, is refused, and then nothing is deleted.
     """
     for df in tables:
-        found = {_folder(f) for f in df.inputFiles()}
-        foreign = sorted(found - _made)
+        found = {_plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+        foreign = sorted(found - _made.keys())
         if foreign:
             raise ValueError(f"not written here, so not deleted: {', '.join(foreign)}")
         for path in found:
-            _delete(df.sparkSession, path)
+            _delete(df.sparkSession, _made[path])
 
 
 def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:

@@ -113,3 +113,11 @@ def test_a_scratch_folder_goes_with_all_in_it(spark):
         result = storage.written(inner.where("id > 1"), "kept", kept)
     assert not os.path.exists(outer.removeprefix("file://")) and result.count() == 2
     storage.drop_written(result)
+
+
+def test_paths_are_known_in_any_spelling(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}//odd name")
+    df = storage.written(spark.range(3), "t")
+    assert df.count() == 3
+    storage.drop_written(df)
+    assert not list((tmp_path / "odd name").iterdir())

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark import storage
 from gridlark.functions.floats import f32
 from gridlark.grid import F32, ROUGH_HALF, STEP_HALF, STEP_NEIGHBOURS, Grid
 
@@ -57,7 +58,9 @@ def dense(heights: DataFrame, frames: DataFrame, g: Grid) -> DataFrame:
 
     last = F.coalesce(F.element_at("e", -1)["k"], F.lit(-1))
     z = F.flatten(F.concat(F.transform("e", filled), F.array(nulls(g.nr * g.nt - 1 - last))))
-    rows = frames.select("frame_id").join(known, "frame_id", "left")
+    # A frame is one small row here and many cells later on, so adaptive execution mustn't put the frames together by their size now: their number of partitions is stated.
+    n = storage.partitions(frames.sparkSession, 0, 1)
+    rows = frames.select("frame_id").repartition(n, "frame_id").join(known, "frame_id", "left")
     return rows.select("frame_id", F.when(F.col("e").isNull(), nulls(F.lit(g.nr * g.nt))).otherwise(z).alias("z"))
 
 

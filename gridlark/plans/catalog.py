@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridlark import config
 from gridlark.functions import packets, pose, streams
 from gridlark.operators import points as P
+from gridlark.operators import poses
 from gridlark.operators import terrain as T
 from gridlark.plans import oracle as O
 from gridlark.plans import pipeline
@@ -139,6 +140,29 @@ def tilt_matrix(spark, d):
     return pose.tilt_matrices(synthetic.frames(spark, d)).select("frame_id", *rounded(*pose.MATRIX))
 
 
+#: Neighbouring poses further apart than this aren't bridged in ``pose_asof``.
+BRIDGE_NS = 130_000_000_000_000
+
+
+@query(
+    O.chain(
+        f"""SELECT frame_id, timestamp_ns, {rounded_sql("x", "y", "z", "w")} FROM (
+  SELECT frame_id, timestamp_ns, UNNEST(CASE
+    WHEN t0 IS NULL THEN {O.quaternion("n")} WHEN t1 IS NULL OR t0 = timestamp_ns THEN {O.quaternion("p")}
+    WHEN whole > {BRIDGE_NS} THEN CASE WHEN timestamp_ns - t0 <= t1 - timestamp_ns THEN {O.quaternion("p")} ELSE {O.quaternion("n")} END
+    ELSE {{{", ".join(f"'{c}': (v{c} / sqrt(vx * vx + vy * vy + vz * vz + vw * vw))::FLOAT" for c in "xyzw")}}} END)
+  FROM (SELECT *, {", ".join(f"u{c} * keep + s{c} * take AS v{c}" for c in "xyzw")} FROM shares))""",
+        O.ASOF,
+    )
+)
+def pose_asof(spark, d):
+    """Events as moments of their own, between the frames' poses; every other pose has the opposite sign, which is the same turn."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("frame_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"))
+    sign = F.when(F.col("frame_id") % 2 == 1, -1.0).otherwise(1.0).cast("float")
+    track = synthetic.frames(spark, d).select("timestamp_ns", F.struct(*[(F.col(f"pose.{c}") * sign).alias(c) for c in "xyzw"]).alias("pose"))
+    return poses.poses_at(events, track, bridge_ns=BRIDGE_NS).select("frame_id", "timestamp_ns", "pose.*").select("frame_id", "timestamp_ns", *rounded(*"xyzw"))
+
+
 # Points
 
 

@@ -7,6 +7,7 @@ from gridlark.functions.floats import sql
 from gridlark.functions.pose import NORM_LEAST
 from gridlark.grid import F32, STEP_NEIGHBOURS, Grid
 from gridlark.operators.points import KEY_BITS, KEY_OFFSET
+from gridlark.operators.poses import NEARLY_ONE
 from gridlark.operators.terrain import EMPTY_HEIGHT, WEIGHTS
 from gridlark.sources.synthetic import FRAMES_SQL, POINTS_SQL
 
@@ -109,9 +110,37 @@ seen AS (
 coded AS (SELECT *, CASE WHEN nontraversable THEN 1::DOUBLE WHEN observed THEN 0::DOUBLE END AS code FROM seen)"""
 
 
-def chain(select: str) -> str:
+def quaternion(end: str) -> str:
+    """A recorded pose of ``ASOF`` as it is."""
+    return "{" + ", ".join(f"'{c}': {end}{c}" for c in "xyzw") + "}"
+
+
+def _length(end: str) -> str:
+    return f"sqrt({' + '.join(f'{end}{c}::DOUBLE * {end}{c}::DOUBLE' for c in 'xyzw')})"
+
+
+#: Every event between the recorded poses before (t0, p) and after it (t1, n), as unit quaternions u and s, and how much of each it takes.
+ASOF = f"""
+track AS (
+  SELECT t, UNNEST(q) FROM (
+    SELECT timestamp_ns AS t, max({{{", ".join(f"'{c}': (CASE frame_id % 2 WHEN 1 THEN -1 ELSE 1 END * q{c})::FLOAT" for c in "xyzw")}}}) AS q FROM frames GROUP BY 1)),
+moments AS (SELECT event_id AS frame_id, epoch_us(ts) * 1000 AS timestamp_ns FROM events),
+ends AS (
+  SELECT m.*, p.t AS t0, n.t AS t1, {", ".join(f"{e}.{c} AS {k}{c}" for e, k in (("p", "p"), ("n", "n")) for c in "xyzw")}
+  FROM moments m ASOF LEFT JOIN track p ON m.timestamp_ns >= p.t ASOF LEFT JOIN track n ON m.timestamp_ns < n.t),
+units AS (
+  SELECT *, t1 - t0 AS whole, {", ".join(f"{e}{c} / {_length(e)} AS {u}{c}" for e, u in (("p", "u"), ("n", "s")) for c in "xyzw")} FROM ends),
+angles AS (
+  SELECT *, (timestamp_ns - t0) / whole::DOUBLE AS part, ux * sx + uy * sy + uz * sz + uw * sw AS d FROM units),
+shares AS (
+  SELECT *, CASE WHEN abs(d) > {NEARLY_ONE} THEN 1 - part ELSE sin((1 - part) * acos(least(abs(d), 1))) END AS keep,
+    CASE WHEN d < 0 THEN -1 ELSE 1 END * CASE WHEN abs(d) > {NEARLY_ONE} THEN part ELSE sin(part * acos(least(abs(d), 1))) END AS take
+  FROM angles)"""
+
+
+def chain(select: str, *more: str) -> str:
     """The text of a query on any of the tables above."""
-    return "WITH " + ",".join((POINTS_SQL, FRAMES_SQL, POSE, CLOUD, GRID)) + "\n" + select
+    return "WITH " + ",".join((POINTS_SQL, FRAMES_SQL, POSE, CLOUD, GRID, *more)) + "\n" + select
 
 
 KEY = f"(((iz + {KEY_OFFSET}) << {2 * KEY_BITS}) | ((iy + {KEY_OFFSET}) << {KEY_BITS}) | (ix + {KEY_OFFSET}))"

@@ -1,7 +1,7 @@
 """The pipeline from its configuration: settings, recorded source, frame skip, grids, sink, metrics.
 
 ``python -m gridlark.runner CONFIG [--stream]``. The source is the folder that ``zed.svo_path`` names, with the tables ``points`` and
-``frames`` of a recording (``sources.recorded``). In batch all frames are delivered. As a stream the points' files are replayed, each
+``frames`` (and ``poses``, where these have a clock of their own) of a recording (``sources.recorded``). In batch all frames are delivered. As a stream the points' files are replayed, each
 with whole frames, and of a micro-batch only the newest result reaches the sink; one follows the other and the replay ends. With ``svo_real_time`` frames come at the
 recording's own pace (``sources.paced``), and micro-batches start at the rate of ``zed.fps``.
 """
@@ -46,7 +46,7 @@ def source(spark: SparkSession, config: PipelineConfig) -> tuple[str, DataFrame]
     config.validate()
     if not config.zed.svo_path:
         raise ValueError("zed.svo_path must name a recording: there is no camera here")
-    frames = spark.read.schema(recorded.FRAMES).parquet(f"{config.zed.svo_path}/frames")
+    frames = recorded.read_frames(spark, config.zed.svo_path)
     return f"{config.zed.svo_path}/points", recorded.skip(frames, config.zed.frame_skip)
 
 

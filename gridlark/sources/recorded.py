@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.operators.poses import poses_at
 from gridlark.storage import ordinal
 
 POINTS = "frame_id long, pixel_id long, x float, y float, z float, w float"
+POSES = "timestamp_ns long, pose struct<x: float, y: float, z: float, w: float>"
 FRAMES = "frame_id long, timestamp_ns long, pose struct<x: float, y: float, z: float, w: float>"
 
 
@@ -25,6 +28,19 @@ def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The recording's frames. Where it has a table ``poses`` on a clock of its own, they take theirs from it, and a frame without a time has the identity, as all have if it is empty."""
+    frames = spark.read.schema(FRAMES).parquet(f"{path}/frames")
+    try:
+        track = spark.read.schema(POSES).parquet(f"{path}/poses")
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return frames
+    still = F.expr("named_struct('x', 0f, 'y', 0f, 'z', 0f, 'w', 1f)")
+    return poses_at(frames, track).withColumn("pose", F.coalesce("pose", still))
+
+
 def event_time(frames: DataFrame) -> DataFrame:
     """Adds ts, the time stamp in microseconds (the nanoseconds stay in timestamp_ns)."""
     return frames.withColumn("ts", F.expr("timestamp_micros((timestamp_ns - pmod(timestamp_ns, 1000)) div 1000)"))

@@ -373,9 +373,9 @@ def packet_roundtrip(spark, d):
     return packets.unpacked(got).select("frame_id", "i", "j", known(), *wide("terrain"))
 
 
-def packet_stream(spark, d) -> DataFrame:
+def packet_stream(spark, d, floats: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Packets of small grids, one per event. Some are cut short, mislabelled or of a wrong length, some claim enormous grids, and some
-    have time stamps that only unsigned numbers hold."""
+    have time stamps that only unsigned numbers hold. floats: the bits of each float by packet and position; otherwise all are zero."""
     events = spark.read.parquet(f"{d}/events.parquet")
 
     def number(c, n: int) -> Column:
@@ -389,21 +389,55 @@ def packet_stream(spark, d) -> DataFrame:
     nr, nt = k % 4, k % 3
     huge = k % 23 == 6
     claimed = [F.when(huge, F.lit(4294967295)).otherwise(n) for n in (nr, nt)]
-    body = zeros((4 * (2 * nr * nt + nr + nt + 2)).cast("int"))
+    count = 2 * nr * nt + nr + nt + 2
+    body = zeros((4 * count).cast("int"))
+    if floats:
+        bits = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda at: packets.swapped(F.lpad(F.hex(floats(k, at)), 8, "0"), 4))
+        body = F.unhex(F.array_join(bits, ""))
     whole = F.concat(number(F.lit(packets.MAGIC).cast("long"), 4), number(k, 4), number(stamp, 8), *(number(n.cast("long"), 4) for n in claimed), body)
     broken = F.when(k % 11 == 3, F.substring(whole, 1, 23)).when(k % 13 == 5, F.substring(whole, 1, 30)).when(k % 17 == 2, F.concat(F.unhex(F.lit("00")), F.substring(whole, 2, 1000))).when(k % 29 == 7, F.unhex(F.lit("")))
-    return events.select(k.alias("arrival"), F.col("user_id").alias("sender"), F.coalesce(broken, whole).alias("payload"))
+    # out of a generator a payload is a plain column, as a received one would be; as an expression it would be repeated wherever bytes are read from it
+    return events.select(k.alias("arrival"), F.col("user_id").alias("sender"), F.inline(F.array(F.struct(F.coalesce(broken, whole).alias("payload")))))
+
+
+#: Which packets of ``packet_stream`` are well-formed, in SQL.
+WELL_FORMED = "event_id % 11 <> 3 AND event_id % 13 <> 5 AND event_id % 17 <> 2 AND event_id % 23 <> 6 AND event_id % 29 <> 7"
 
 
 @query(
     "SELECT event_id AS arrival, event_id AS seq, CASE WHEN event_id % 19 = 4 THEN (18446744073709551615 - event_id)::VARCHAR ELSE (epoch_us(ts) * 1000)::VARCHAR END AS timestamp_ns, "
-    "event_id % 4 AS nr, event_id % 3 AS nt FROM events WHERE event_id % 11 <> 3 AND event_id % 13 <> 5 AND event_id % 17 <> 2 AND event_id % 23 <> 6 AND event_id % 29 <> 7"
+    f"event_id % 4 AS nr, event_id % 3 AS nt FROM events WHERE {WELL_FORMED}"
 )
 def packet_decode(spark, d):
     """The time stamp as text: both engines show all 64 unsigned bits of it alike."""
     return packets.headers(packet_stream(spark, d)).select("arrival", "seq", F.col("timestamp_ns").cast("string").alias("timestamp_ns"), "nr", "nt")
 
 
+#: Bits of zeros, infinities, the least and greatest numbers below the normal ones, a NaN and one, which turn up among others.
+SPECIAL = (0, 1 << 31, 0x7F800000, 0xFF800000, 1, 0x807FFFFF, 0x7FC00000, 0x3F800000)
+MIXED = "(event_id % 1048576 * 2654435761 + place * 668265263) % 4294967296"
+
+
+@query(
+    f"""WITH sent AS (SELECT event_id, unnest(range(2 * (event_id % 4) * (event_id % 3) + event_id % 4 + event_id % 3 + 2)) AS place FROM events WHERE {WELL_FORMED}),
+bits AS (SELECT event_id, place, CASE WHEN (event_id + place) % 7 = 0 THEN {list(SPECIAL)}[event_id // 7 % {len(SPECIAL)} + 1] ELSE {MIXED} END::BIGINT AS b FROM sent),
+parts AS (SELECT event_id, place, b >> 31 AS s, (b >> 23) & 255 AS e, b & 8388607 AS m FROM bits)
+SELECT event_id AS arrival, place::INTEGER AS place, CASE s WHEN 1 THEN -1.0 ELSE 1.0 END::DOUBLE *
+  CASE WHEN e < 255 THEN (m + CASE WHEN e > 0 THEN 8388608 ELSE 0 END) * pow(2.0::DOUBLE, greatest(e, 1) - 150) WHEN m = 0 THEN 'Infinity'::DOUBLE END AS value FROM parts"""
+)
+def packet_values(spark, d):
+    """All floats of packets with any bits there are, put together again by arithmetic in SQL; null where they are no number."""
+
+    def bits(event: Column, at: Column) -> Column:
+        special = F.get(F.array(*[F.lit(b).cast("long") for b in SPECIAL]), F.floor(event / 7) % len(SPECIAL))
+        mixed = (event % 1048576 * F.lit(2654435761).cast("long") + at * F.lit(668265263).cast("long")) % F.lit(4294967296).cast("long")
+        return F.when((event + at) % 7 == 0, special).otherwise(mixed)
+
+    got = packets.decoded(packet_stream(spark, d, bits))
+    values = got.select("arrival", F.posexplode(F.concat("trav_grid", "height_map", "r_edges", "theta_edges")).alias("place", "value"))
+    return values.select("arrival", "place", known("value"))
+
+
 # Measures
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark import config
+from gridlark import config, storage
 from gridlark.functions import packets, pose, streams
 from gridlark.operators import points as P
 from gridlark.operators import poses
@@ -94,6 +94,18 @@ def scan_points(spark, d):
     return synthetic.points(spark, d).groupBy("frame_id").agg(F.count("*").alias("points"), F.count_distinct("pixel_id").alias("pixels"), F.sum("w").cast("double").alias("sum_w"))
 
 
+@query(O.chain("SELECT frame_id, count(*) AS points, count(DISTINCT pixel_id) AS pixels, sum(w)::DOUBLE AS sum_w, count_if(isnan(x)) AS unseen FROM points GROUP BY frame_id"))
+def recording_ranges(spark, d):
+    """The cloud written as a recording, and read back in two ranges of frames that together are all of it."""
+    points, frames = cloud(spark, d)
+    path = storage.new_path(spark, "recording")
+    recorded.write_recording(points, frames, path)
+    least, middle, last = recorded.read_points(spark, f"{path}/points").agg(F.min("frame_id"), F.floor(F.avg("frame_id")), F.max("frame_id")).first()
+    halves = [recorded.read_points(spark, f"{path}/points", r) for r in ((least, middle), (middle + 1, last))] if least is not None else [recorded.read_points(spark, f"{path}/points")]
+    sums = [h.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_distinct("pixel_id").alias("pixels"), F.sum("w").cast("double").alias("sum_w"), F.count_if(F.isnan("x")).alias("unseen")) for h in halves]
+    return sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
+
+
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events) WHERE k % 3 = 2")
 def frame_skip(spark, d):
     at = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.struct("ts", "event_id").alias("timestamp_ns"))

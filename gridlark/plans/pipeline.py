@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridlark.config import PipelineConfig
@@ -12,19 +15,57 @@ from gridlark.operators import points as P
 from gridlark.operators import terrain as T
 
 
-def polar_points(points: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFrame:
-    level = P.tilt_compensate(P.extract_xyz(points), frames)
-    return P.polarize(P.voxel_filter(level, c.voxel_filter), c.polarize)
+#: Takes a stage's name and its rows, and returns them, counted or not.
+See = Callable[[str, DataFrame], DataFrame]
+
+
+class Seen:
+    """Counts what passes each stage in the very pass that computes the results, so that nothing is computed or kept a second time for it.
+
+    A stage's rows are counted by the tasks that make them, and known when the first write of the results has ended. Rows of stages below a shuffle count
+    again where Spark repeats such tasks after a lost executor; the results themselves don't.
+    """
+
+    def __init__(self) -> None:
+        self.stages: dict[str, Observation] = {}
+
+    def __call__(self, stage: str, rows: DataFrame) -> DataFrame:
+        self.stages[stage] = Observation()
+        return rows.observe(self.stages[stage], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """Rows by stage; only after the results have been written."""
+        return {stage: _counted(o) for stage, o in self.stages.items()}
+
+
+def _counted(seen: Observation) -> int:
+    """What was counted. Adaptive execution leaves out what comes after an empty shuffle; such a stage had no rows, and its observation has none to show."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError as why:
+        if why.java_exception.getClass().getSimpleName() != "AssertionError":
+            raise
+        return 0
+
+
+def unseen(stage: str, rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def polar_points(points: DataFrame, frames: DataFrame, c: PipelineConfig, see: See = unseen) -> DataFrame:
+    finite = see("finite points", P.extract_xyz(see("points", points)))
+    voxels = see("voxels", P.voxel_filter(P.tilt_compensate(finite, frames), c.voxel_filter))
+    return see("polar points", P.polarize(voxels, c.polarize))
 
 
-def grids(points: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFrame:
+def grids(points: DataFrame, frames: DataFrame, c: PipelineConfig, see: See = unseen) -> DataFrame:
     """One row per frame and cell, for every frame of ``frames``."""
-    return T.grid_of(polar_points(points, frames, c), frames, Grid.of(c.traversability))
+    return T.grid_of(polar_points(points, frames, c, see), frames, Grid.of(c.traversability))
 
 
-def results(points: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFrame:
-    """One row per frame, with dense arrays."""
-    return packed(grids(points, frames, c), frames, Grid.of(c.traversability))
+def results(points: DataFrame, frames: DataFrame, c: PipelineConfig, see: See = unseen) -> DataFrame:
+    """One row per frame, with dense arrays. ``see`` is shown the rows of each stage (``Seen`` counts them)."""
+    return see("frames", packed(grids(points, frames, c, see), frames, Grid.of(c.traversability)))
 
 
 def results_of_voxels(counted: DataFrame, frames: DataFrame, c: PipelineConfig) -> DataFrame:

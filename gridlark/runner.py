@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +20,7 @@ from gridlark.plans import pipeline
 from gridlark.sinks import files
 from gridlark.sources import recorded
 from gridlark.sources.paced import PacedRecording
-from gridlark.storage import new_path
+from gridlark.storage import new_path, scratch
 from gridlark.streaming import live
 
 
@@ -30,6 +30,7 @@ class Metrics:
     frames_processed: int = 0
     frames_dropped: int = 0
     elapsed_s: float = 0.0
+    stages: dict[str, int] = field(default_factory=dict)
 
     def rate(self, frames: int) -> float:
         return frames / self.elapsed_s if self.elapsed_s > 0 else 0.0
@@ -38,6 +39,7 @@ class Metrics:
         return (
             f"frames captured {self.frames_captured}, processed {self.frames_processed}, dropped {self.frames_dropped}; "
             f"{self.elapsed_s:.2f} s; source {self.rate(self.frames_captured):.1f} fps, pipeline {self.rate(self.frames_processed):.1f} fps"
+            + "".join(f"; {n} {stage}" for stage, n in self.stages.items())
         )
 
 
@@ -51,17 +53,16 @@ def source(spark: SparkSession, config: PipelineConfig) -> tuple[str, DataFrame]
 
 
 def run(spark: SparkSession, config: PipelineConfig) -> Metrics:
-    """All frames of the recording, in one batch."""
+    """All frames of the recording, in one batch. Frames and the rows of each stage are counted as they pass (``pipeline.Seen``)."""
     began = time.monotonic()
     path, frames = source(spark, config)
     points = recorded.read_points(spark, path).join(frames.select("frame_id"), "frame_id", "left_semi")
-    results = pipeline.results(points, frames, config).persist()
-    try:
-        n = results.count()
-        files.sink_of(config, spark)(results)
-    finally:
-        results.unpersist()
-    return Metrics(n, n, 0, time.monotonic() - began)
+    seen = pipeline.Seen()
+    with scratch(spark):
+        files.sink_of(config, spark)(pipeline.results(points, frames, config, seen))
+        stages = seen.counts()
+    n = stages.pop("frames")
+    return Metrics(n, n, 0, time.monotonic() - began, stages)
 
 
 def replay(spark: SparkSession, config: PipelineConfig, checkpoint: str | None = None, conflate: bool = True, seconds: float | None = None) -> Metrics:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridlark.config import PipelineConfig, consumer_kind
 from gridlark.functions import packets
 from gridlark.sinks.committed import GridFiles
-from gridlark.storage import output_folder
+from gridlark.storage import output_folder, written
 
 #: Pixels per cell, and colours of unknown, free and blocked cells.
 SCALE = 8
@@ -71,9 +71,11 @@ def write_files(results: DataFrame, folder: str, images: bool, first: int = 0) -
 def send(results: DataFrame, host: str = HOST, port: int = PORT, first_seq: int = 0) -> int:
     """Sends results that fit a datagram, in order of time, from the driver; returns the next sequence number.
 
-    Rows come to the driver one partition at a time; a sequence number is used up by a whole datagram only.
+    Rows come to the driver one partition at a time, from a written table, so that sending waits for nothing to be computed; a sequence number is used up by a whole
+    datagram only.
     """
     seq = first_seq
+    results = results if results.is_cached else written(results, "results")
     fit = results.where(packets.layout_ok()).withColumn("seq", F.lit(0).cast("long"))
     rows = packets.encoded(fit).select("timestamp_ns", "payload").orderBy("timestamp_ns")
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:

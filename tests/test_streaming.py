@@ -80,6 +80,9 @@ def test_the_runner_writes_files_and_takes_up_its_count(spark, recording, tmp_pa
     kind = "png" if images else "csv"
     names = [f"frame_{k:06d}.{kind}" for k in range(3)]
     assert (m.frames_captured, m.frames_processed) == (3, 3) and m.elapsed_s > 0 and "3" in m.report()
+    counted = pipeline.stage_counts(recorded.read_points(spark, str(recording / "points")), spark.read.parquet(str(recording / "frames")), C).agg(*[F.sum(x) for x in ("finite_count", "voxel_count", "polar_count")]).first()
+    assert m.stages == {"points": spark.read.parquet(str(recording / "points")).count()} | dict(zip(("finite points", "voxels", "polar points"), counted, strict=True))
+    assert "polar points" in m.report()
     whole = {n: (tmp_path / "out" / n).read_bytes() for n in names}
     wanted = batch(spark, recording)
     for k, n in enumerate(names):
@@ -104,13 +107,21 @@ def test_the_runner_writes_files_and_takes_up_its_count(spark, recording, tmp_pa
 
 def test_the_runner_skips_and_refuses(spark, recording, tmp_path):
     c = PipelineConfig(zed=SourceConfig(svo_path=str(recording), frame_skip=1), consumer="null")
-    assert runner.run(spark, c).frames_processed == 1
+    one = runner.run(spark, c)
+    assert one.frames_processed == 1 and one.stages["points"] < spark.read.parquet(str(recording / "points")).count()
     assert runner.replay(spark, c).frames_captured == 1
     for bad in (SourceConfig(svo_path=str(recording), depth_mode="SHARP"), SourceConfig(svo_path=str(recording), coordinate_units="MILE"), SourceConfig(svo_path=str(recording), resolution="8K"), SourceConfig()):
         with pytest.raises(ValueError):
             runner.run(spark, PipelineConfig(zed=bad, consumer="null"))
 
 
+@pytest.mark.parametrize("consumer", ["null", "disk", "network"])
+def test_stages_of_recordings_without_points(spark, recording, tmp_path, consumer):
+    recorded.write_recording(spark.createDataFrame([], recorded.POINTS), spark.read.parquet(str(recording / "frames")).where("frame_id < 2"), str(tmp_path / "r"))
+    m = runner.run(spark, PipelineConfig(zed=SourceConfig(svo_path=str(tmp_path / "r")), consumer=consumer, disk_writer=DiskConfig(str(tmp_path / "out"))))
+    assert m.frames_processed == 2 and m.stages == {"points": 0, "finite points": 0, "voxels": 0, "polar points": 0}
+
+
 def test_a_repeated_batch_keeps_its_numbers(spark, tmp_path):
     counts = files.Counts(spark, f"file://{tmp_path}/state")
     assert counts.before(0) == 0

@@ -15,7 +15,8 @@ from contextvars import ContextVar
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a range of ``ranged`` should hold at most, so that the number of ranges follows the table.
@@ -127,6 +128,22 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and integer aggregates of the table (0 where there are none) from the pass that writes it, so that it isn't read once more for them.
+
+    They are gathered by the tasks that write, of which Spark takes each partition's once.
+    """
+    seen = Observation()
+    table = written(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), name)
+    try:
+        found = seen.get
+    except Py4JJavaError as why:  # adaptive execution leaves out what comes after an empty shuffle: no rows, and no observation
+        if why.java_exception.getClass().getSimpleName() != "AssertionError":
+            raise
+        found = {}
+    return table, {k: found.get(k) or 0 for k in sums}
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made in this process; only once nothing reads them any more.
 
@@ -172,16 +189,16 @@ def largest_group(df: DataFrame, key: str) -> int:
     return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """many joined (inner or left) with ``one``, which has a bounded number of rows a key, without a task of its own for a hot key.
 
-    hot (from a written table): the keys that have more than one HOTth of the rows of ``many``, so fewer than HOT. Their rows of ``one`` are broadcast; all
-    others are joined by a shuffle. Null keys match nothing and aren't shuffled.
+    hot (from a written table): the keys that have more than one HOTth of the rows of ``many``, so fewer than HOT; None where there are known to be none. Their
+    rows of ``one`` are broadcast; all others are joined by a shuffle. Null keys match nothing and aren't shuffled.
     """
-    hot = hot.select(*on)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    if hot.isEmpty() and (how == "inner" or many.where(missing).isEmpty()):
+    if (hot is None or hot.isEmpty()) and (how == "inner" or many.where(missing).isEmpty()):
         return many.join(one, on, how)
+    hot = one.limit(0).select(*on) if hot is None else hot.select(*on)
     marked = many.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
     few = one.join(F.broadcast(hot), on, "left_semi")
     apart = marked.where(F.col("_hot") | missing).drop("_hot").join(F.broadcast(few), on, how)

@@ -121,3 +121,22 @@ def test_paths_are_known_in_any_spelling(spark, tmp_path, monkeypatch):
     assert df.count() == 3
     storage.drop_written(df)
     assert not list((tmp_path / "odd name").iterdir())
+
+
+def test_a_table_s_sums_come_from_the_pass_that_writes_it(spark):
+    table, seen = storage.observed(spark.range(10).repartition(3), "t", rows=F.count("*"), most=F.max("id"), even=F.expr("count_if(id % 2 = 0)"))
+    assert seen == {"rows": 10, "most": 9, "even": 5} and table.count() == 10
+    grouped = spark.range(10).groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("n"))
+    assert storage.observed(grouped, "t", total=F.sum("n"))[1] == {"total": 10}
+    for none in (grouped.where("n > 99"), spark.range(0), spark.range(5).where("id > 9").groupBy("id").agg(F.count("*").alias("n")).join(grouped, "n")):
+        assert storage.observed(none, "t", rows=F.count("*"), most=F.max(F.lit(3)))[1] == {"rows": 0, "most": 0}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_keys_known_not_to_be_hot_are_joined_as_others(spark, how):
+    many = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (5, "e")], "k int, v string")
+    one = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k int, w int")
+    hot = one.where("k = 1")
+    wanted = sorted(map(tuple, many.join(one, ["k"], how).select("v", "w").collect()))
+    for keys in (None, hot, hot.limit(0)):
+        assert sorted(map(tuple, storage.spread_join(many, one, ["k"], keys, how).select("v", "w").collect())) == wanted

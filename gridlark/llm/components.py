@@ -12,39 +12,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.storage import HOT, drop_written, spread_join, written
+from gridlark.storage import HOT, drop_written, observed, spread_join, written
 
 
-def _step(links: DataFrame, total: int, moving: str, moved: Column) -> DataFrame:
-    """New edges (u, v) from the links (u, v, moving only those that ``moving`` says) and m, the least v of each u among all links."""
-    least = written(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    both = spread_join(links.where(moving), least.select("u", "m"), ["u"], least.where(F.col("n") > total / HOT))
-    edges = written(both.select(F.explode(moved).alias("e")).select("e.*").where("u != v").distinct(), "edges")
+def _step(links: DataFrame, moving: str, moved: Column, stars: bool = False) -> DataFrame | None:
+    """New edges (u, v) from the links (u, v, moving only those that ``moving`` says) and m, the least v of each u among all links.
+
+    stars: links go both ways, and None is returned where they are all stars, which no step changes: no node with a lesser neighbour has another one.
+    """
+    ends = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least, seen = observed(ends, "least", total=F.sum("n"), most=F.max("n"), crossed=F.expr("count_if(m < u AND n > 1)"))
+    edges = None
+    if seen["crossed"] or not stars:
+        hot = least.where(F.col("n") > seen["total"] / HOT) if seen["most"] > seen["total"] / HOT else None
+        both = spread_join(links.where(moving), least.select("u", "m"), ["u"], hot)
+        edges = written(both.select(F.explode(moved).alias("e")).select("e.*").where("u != v").distinct(), "edges")
     drop_written(least)
     return edges
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame | None:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _step(both, 2 * edges.count(), "v > u", F.array(F.struct(F.col("v").alias("u"), F.least("m", "u").alias("v"))))
+    return _step(both, "v > u", F.array(F.struct(F.col("v").alias("u"), F.least("m", "u").alias("v"))), stars=True)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return _step(down, edges.count(), "true", F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-
-
-def _all_stars(edges: DataFrame) -> bool:
-    """Whether every node is either the least one of its links or has one link, to such a node."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
-    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 OR ups > 0 AND root = 0").isEmpty()
+    return _step(down, "true", F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node), for every node that has a link; links has the columns a and b."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a != b").distinct(), "edges")
-    while not _all_stars(edges):
-        large = _large_star(edges)
+    while (large := _large_star(edges)) is not None:
         drop_written(edges)
         edges = _small_star(large)
         drop_written(large)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gridlark.llm import sketch
 from gridlark.llm.common import in_small_batches
 from gridlark.llm.components import components
-from gridlark.storage import HOT, PART, drop_written, partitions, ranged, spread_join, written
+from gridlark.storage import HOT, PART, drop_written, observed, partitions, ranged, spread_join, written
 
 ROWS, BANDS = 6, 46
 #: Words in a shingle, and the least similarity in hundredths.
@@ -78,14 +78,13 @@ def sketched(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, SKETCHED)
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text of each of the (written) classes: from the row that its doc_id and text_key name. By broadcast if they are few, else by a shuffle."""
-    n = classes.count()
+def texts_of(docs: DataFrame, classes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text of each of the n (written) classes: from the row that its doc_id and text_key name. By broadcast if they are few, else by a shuffle."""
     wanted = classes.select("id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
-    found = written(rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["_id", "_key"]).select("id", "text"), "texts")
-    if found.count() == n:
+    found, seen = observed(rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["_id", "_key"]).select("id", "text"), "texts", rows=F.count("*"))
+    if seen["rows"] == n:
         return found
     once = written(found.groupBy("id").agg(F.first("text").alias("text")), "texts")  # some of these rows are repeated
     drop_written(found)
@@ -149,14 +148,14 @@ def spread_buckets(members: DataFrame) -> DataFrame:
     return stats.where("comps > 1").groupBy("m", "x", "y").agg(F.min(row).alias("row")).select("row.*")
 
 
-def blocks(members: DataFrame, spread: DataFrame) -> DataFrame:
+def blocks(members: DataFrame, total: int, spread: DataFrame) -> DataFrame:
     """Deals buckets that span several components to blocks.
 
-    members: bucket, id, n, comp. Returns bucket, chunk, block, id, comp, is_query, is_member: within a block every query is to be
+    members: bucket, id, n, comp, ``total`` rows. Returns bucket, chunk, block, id, comp, is_query, is_member: within a block every query is to be
     compared with every member of another component. Queries are the members outside the bucket's main component, in chunks;
     members are in blocks; each chunk meets each block once.
     """
-    hot = spread.where(F.col("m") > members.count() / HOT)
+    hot = spread.where(F.col("m") > total / HOT)
     rows = spread_join(members, spread.drop("m"), ["bucket"], hot).withColumn("q", F.col("comp") != F.col("main"))
     block, chunk = F.pmod(F.xxhash64("id"), "n_blocks"), F.pmod(F.xxhash64("id", "bucket"), "n_chunks")
 
@@ -196,8 +195,8 @@ def close_in_block(ids, comps, queries, members, sets, sizes, percent: int) -> l
     return out
 
 
-def close_pairs(dealt: DataFrame, n_blocks: int, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) from all blocks that may reach the threshold."""
+def close_pairs(dealt: DataFrame, n_blocks: int, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int]:
+    """Distinct pairs (a, b) from all blocks that may reach the threshold, and their number."""
     where = ["bucket", "chunk", "block"]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +231,9 @@ def close_pairs(dealt: DataFrame, n_blocks: int, texts: DataFrame, shingle: int,
     n = partitions(dealt.sparkSession, n_blocks, TASK_BLOCKS)
     rows = dealt.join(sets, "id").select(*where, "id", "comp", "is_query", "is_member", "grams", "n")
     sorted_ = rows.repartition(n, *where).sortWithinPartitions(*where)
-    found = written(sorted_.mapInArrow(compare, "a long, b long").distinct(), "close")
+    found, seen = observed(sorted_.mapInArrow(compare, "a long, b long").distinct(), "close", rows=F.count("*"))
     drop_written(sets)
-    return found
+    return found, seen["rows"]
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -243,42 +242,48 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     If asked for, also text_key and comp, a number of the component (null for rows that are linked with nothing by definition).
     """
     digest = ["hi", "lo", "n_shingles"]
-    rows = written(sketched(in_small_batches(docs), shingle, id_col, text_col), "sketches")
+    rows, of_rows = observed(sketched(in_small_batches(docs), shingle, id_col, text_col), "sketches", n=F.count("*"))
     named = rows.where("doc_id IS NOT NULL").groupBy(*digest).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    classes = written(named.select(F.monotonically_increasing_id().alias("id"), *digest, "first.*", "copies", "bands"), "classes")
+    named = named.select(F.monotonically_increasing_id().alias("id"), *digest, "first.*", "copies", "bands")
+    classes, of_classes = observed(named, "classes", n=F.count("*"), most=F.max("copies"))
     keyed = classes.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     centres = keyed.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    centres = written(centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"), "m"), "centres")
-    hot = centres.where(F.col("m") > F.lit(classes.count() * BANDS / HOT))
-    shared = written(spread_join(keyed, centres.drop("m"), ["bucket"], hot), "buckets")
+    centres, of_centres = observed(centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"), "m"), "centres", most=F.max("m"))
+    many = of_classes["n"] * BANDS / HOT
+    hot = centres.where(F.col("m") > many) if of_centres["most"] > many else None
+    shared, of_shared = observed(spread_join(keyed, centres.drop("m"), ["bucket"], hot), "buckets", n=F.count("*"))
 
-    involved = written(shared.select("id").distinct(), "involved")
-    texts = texts_of(docs, written(classes.select("id", "doc_id", "text_key").join(involved, "id", "left_semi"), "involved"), id_col, text_col)
+    involved = classes.select("id", "doc_id", "text_key").join(shared.select("id").distinct(), "id", "left_semi")
+    involved, of_involved = observed(involved, "involved", n=F.count("*"))
+    texts = texts_of(docs, involved, of_involved["n"], id_col, text_col)
 
     likely = shared.where("id > centre").where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
-    links = verified(likely.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), shared.count(), texts, shingle, percent)
+    links = verified(likely.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), of_shared["n"], texts, shingle, percent)
     first = components(links)
 
     members = shared.select("bucket", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left")
     members = written(members.select("bucket", "id", "n", F.coalesce("component", "id").alias("comp")), "members")
-    spread = written(spread_buckets(members), "spread")
-    n_blocks = spread.agg(F.sum(F.col("n_blocks") * F.col("n_chunks"))).first()[0] or 0
+    spread, of_spread = observed(spread_buckets(members), "spread", blocks=F.sum(F.col("n_blocks") * F.col("n_chunks")))
     last = first
-    if n_blocks:
-        close = close_pairs(blocks(members, spread), n_blocks, texts, shingle, percent)
-        more = verified(close, close.count(), texts, shingle, percent)
-        if not more.isEmpty():
-            last = components(links.unionByName(more))
+    if of_spread["blocks"]:
+        close, n_close = close_pairs(blocks(members, of_shared["n"], spread), of_spread["blocks"], texts, shingle, percent)
+        if n_close:
+            more = verified(close, n_close, texts, shingle, percent)
+            if not more.isEmpty():  # the components so far are stars, which are linked on
+                last = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     drop_written(centres, shared, involved, texts, members, spread)
 
     numbered = last.withColumnRenamed("node", "id").join(classes.select("id", "doc_id"), "id")
-    least = written(numbered.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")), "component-names")
-    linked = spread_join(numbered.select("id", "component"), least.drop("k"), ["component"], least.where(F.col("k") > last.count() / HOT))
+    least = numbered.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k"))
+    least, of_least = observed(least, "component-names", total=F.sum("k"), most=F.max("k"))
+    hot = least.where(F.col("k") > of_least["total"] / HOT) if of_least["most"] > of_least["total"] / HOT else None
+    linked = spread_join(numbered.select("id", "component"), least.drop("k"), ["component"], hot)
     of_class = classes.select(*digest, "id", "doc_id", "copies").join(linked, "id", "left")
     of_class = of_class.select(*digest, "copies", F.coalesce("component", "id").alias("comp"), F.coalesce("component_id", "doc_id").alias("of_class"))
     of_class = written(of_class, "components")
     plain = rows.select("doc_id", "text_key", *digest)
-    out = spread_join(plain, of_class.drop("copies"), digest, of_class.where(F.col("copies") > rows.count() / HOT), "left")
+    hot = of_class.where(F.col("copies") > of_rows["n"] / HOT) if of_classes["most"] > of_rows["n"] / HOT else None
+    out = spread_join(plain, of_class.drop("copies"), digest, hot, "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("of_class")).alias("component_id"), "text_key", F.when(~alone, F.col("comp")).alias("comp"))
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))

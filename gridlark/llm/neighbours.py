@@ -37,7 +37,7 @@ from gridlark.llm.common import in_small_batches
 from gridlark.storage import drop_written, partitions, written
 
 TABLES = 8
-#: Queries that the share is measured on, the recall it is chosen for, and numbers that all sampled vectors may have together.
+#: Queries that the share is measured on, the recall it is chosen for, and numbers that all sampled vectors, or the probes made at once, may have together.
 SAMPLED, TARGET, NUMBERS = 128, 0.95, 1 << 22
 #: Classes a bucket should hold about, beyond which a further hash makes buckets finer.
 LOAD = 2000
@@ -87,21 +87,42 @@ def codes(unit: np.ndarray, table: int, hashes: int) -> np.ndarray:
     return out
 
 
+def probed(dim: int, hashes: int, share: float) -> int:
+    """Buckets that a query looks into in a table."""
+    return min((2 * dim) ** hashes, math.ceil(share * (2 * dim) ** hashes))
+
+
+def rank_pairs(lefts: int, rights: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks (from 0) in two falling lists whose sums can be among the ``wanted`` greatest: others have as many pairs of lesser ranks before them."""
+    spans = np.minimum(rights, wanted // np.arange(1, min(lefts, wanted) + 1))
+    left = np.repeat(np.arange(len(spans)), spans)
+    return left, np.arange(len(left)) - np.repeat(np.cumsum(spans) - spans, spans)
+
+
 def probes(unit: np.ndarray, table: int, hashes: int, share: float) -> np.ndarray:
-    """Each row's buckets to look into, nearest first."""
+    """Each row's buckets to look into, nearest first. Tuples of axes are extended by a hash at a time, and only those made that can still be among the nearest."""
     dim = unit.shape[1]
-    wanted = min((2 * dim) ** hashes, math.ceil(share * (2 * dim) ** hashes))
+    wanted = probed(dim, hashes, share)
     found, score = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
     for h in range(hashes):
         y = rotated(unit, table, h)
         both = np.concatenate([y, -y], axis=1)
-        score = (score[:, :, None] + both[:, None, :]).reshape(len(unit), -1)
-        found = (found[:, :, None] * (2 * dim) + np.arange(2 * dim)).reshape(len(unit), -1)
+        axes = np.argsort(-both, axis=1, kind="stable")[:, :wanted]
+        left, right = rank_pairs(score.shape[1], axes.shape[1], wanted)
+        score = score[:, left] + np.take_along_axis(both, axes, 1)[:, right]
         best = np.argsort(-score, axis=1, kind="stable")[:, :wanted]
-        score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+        score = np.take_along_axis(score, best, 1)
+        found = np.take_along_axis(found, left[best], 1) * (2 * dim) + np.take_along_axis(axes, right[best], 1)
     return found
 
 
+def at_once(dim: int, hashes: int, share: float, bands: int) -> int:
+    """Queries whose probes are made and held at once: for few buckets ``GROUP``, for many so that their numbers stay below ``NUMBERS``, or one query's."""
+    wanted = probed(dim, hashes, share)
+    numbers = len(rank_pairs(min(wanted, (2 * dim) ** (hashes - 1)), 2 * dim, wanted)[0]) + TABLES * bands * wanted
+    return max(1, min(GROUP, NUMBERS // numbers))
+
+
 def lengths(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(axis=1, keepdims=True)
     return top[:, 0] * np.sqrt(((x / top) ** 2).sum(axis=1))
@@ -151,28 +172,30 @@ def hashed(classes: DataFrame, greatest: dict[tuple[int, int], float], plans: di
                 vectors = batch.column(3).to_pylist()
                 for dim in np.unique(dims):
                     dim = int(dim)
-                    at = np.flatnonzero(dims == dim)
-                    unit = np.zeros((len(at), padded_dim(dim)))
-                    unit[:, :dim] = np.array([vectors[i] for i in at])
                     hashes, share = plans[dim]
                     size = (2 * padded_dim(dim)) ** hashes
-                    if as_queries:
-                        unit /= norms[at][:, None]
-                    else:
-                        top = np.array([greatest[dim, int(b)] for b in band[at]])
-                        unit /= top[:, None]
-                        unit[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (norms[at] / top) ** 2))
-                        own = np.array([order[dim, int(b)] for b in band[at]])
-                    places = []
-                    for table in range(TABLES):
+                    each = at_once(padded_dim(dim), hashes, share, len(bands[dim])) if as_queries else GROUP
+                    of_dim = np.flatnonzero(dims == dim)
+                    for at in np.split(of_dim, range(each, len(of_dim), each)):
+                        unit = np.zeros((len(at), padded_dim(dim)))
+                        unit[:, :dim] = np.array([vectors[i] for i in at])
                         if as_queries:
-                            found = probes(unit, table, hashes, share)
-                            places += [(order[dim, b] * TABLES + table) * size + found for b in bands[dim]]
+                            unit /= norms[at][:, None]
                         else:
-                            places.append(((own * TABLES + table) * size + codes(unit, table, hashes))[:, None])
-                    rows, flat = batch.take(pa.array(at)), np.concatenate(places, axis=1)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), lists], names=["dim", "class_id", "first_id", "vector", "places"])
+                            top = np.array([greatest[dim, int(b)] for b in band[at]])
+                            unit /= top[:, None]
+                            unit[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (norms[at] / top) ** 2))
+                            own = np.array([order[dim, int(b)] for b in band[at]])
+                        places = []
+                        for table in range(TABLES):
+                            if as_queries:
+                                found = probes(unit, table, hashes, share)
+                                places += [(order[dim, b] * TABLES + table) * size + found for b in bands[dim]]
+                            else:
+                                places.append(((own * TABLES + table) * size + codes(unit, table, hashes))[:, None])
+                        rows, flat = batch.take(pa.array(at)), np.concatenate(places, axis=1)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1)))
+                        yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), lists], names=["dim", "class_id", "first_id", "vector", "places"])
 
     return classes.select("dim", "class_id", "first_id", "vector", "band", "length").mapInArrow(run, f"dim int, class_id long, first_id long, vector {kind}, places array<long>")
 

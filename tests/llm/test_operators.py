@@ -3,8 +3,10 @@
 import functools
 import hashlib
 import io
+import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -201,6 +203,48 @@ def test_probes_are_the_nearest_axes():
         assert all(sorted(f) == list(range(16**hashes)) for f in found.tolist())
 
 
+@pytest.mark.parametrize("hashes, share", [(1, 0.3), (2, 0.004), (2, 0.2), (3, 0.01)])
+def test_probes_of_several_hashes_are_those_of_all_tuples(hashes, share):
+    x = np.random.default_rng(hashes).normal(size=(4, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sums, wanted = np.zeros((4, 1)), math.ceil(share * 32**hashes)
+    for h in range(hashes):
+        y = neighbours.rotated(x, 5, h)
+        sums = (sums[:, :, None] + np.concatenate([y, -y], axis=1)[:, None, :]).reshape(4, -1)
+    found = neighbours.probes(x, 5, hashes, share)
+    assert found.shape == (4, wanted) and all(len(set(f)) == wanted for f in found.tolist())
+    assert np.allclose(np.take_along_axis(sums, found, 1), -np.sort(-sums, axis=1)[:, :wanted])
+
+
+def test_probes_in_a_high_dimension_are_made_in_bounded_memory():
+    """768 numbers, two hashes: 4.2 million buckets a table, of which all sums for 256 queries would take 8.6 GB."""
+    dim, share = neighbours.padded_dim(768), 0.01
+    each = neighbours.at_once(dim, 2, share, 1)
+    x = np.random.default_rng(4).normal(size=(each, dim))
+    tracemalloc.start()
+    found = neighbours.probes(x, 0, 2, share)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (each, math.ceil(share * (2 * dim) ** 2)) and peak < 256e6
+    assert (found[:, 0] == neighbours.codes(x, 0, 2)).all()
+    assert neighbours.at_once(dim, 2, 1.0, 3) == 1 and neighbours.at_once(128, 1, 0.05, 1) == neighbours.GROUP
+
+
+def test_recall_with_two_hashes_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LOAD", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24))
+    assert neighbours.hash_plan(len(x), 24) == 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect()}
+    hits = 0
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += sum((q, int(i)) in got for i in np.argsort(-scores)[:20])
+    assert hits >= 0.9 * 20 * len(range(0, len(x), 20))
+
+
 # Language
 
 

@@ -42,27 +42,25 @@ def pieces(docs: DataFrame, vocabulary: str, cut: str, end_id: int, capacity: in
         encoder, part = vocab.encoder(vocabulary, cut), TaskContext.get().partitionId()
         placed = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, vocab.GROUP):
-                keys, texts = (batch.column(i).slice(at, vocab.GROUP).to_pylist() for i in (0, 1))
-                rows: list[tuple] = []
-                for key, data in zip(keys, encoder.encode(texts), strict=True):
-                    ids = vocab.wide(data, encoder.dtype, end_id)
-                    n = len(ids) // 4
-                    start, stop, k = 0, n % capacity or capacity, 0
-                    while start < n:
-                        span = ids[4 * start : 4 * stop]
-                        rows.append((key, k, start, stop - start, zlib.crc32(span), np.frombuffer(span, "<u4").astype(encoder.dtype).tobytes() if keep_ids else None))
-                        start, stop, k = stop, stop + capacity, k + 1
-                if not rows:
-                    continue
-                columns = list(zip(*rows, strict=True))
-                places = np.empty(len(rows), np.int64)
-                for i, length in enumerate(columns[3]):
-                    places[i] = placed[length]
-                    placed[length] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(rows), part, np.int32)), pa.array(places)], names=[c.split()[0] for c in PIECES.split(", ")])
+            rows: list[tuple] = []
+            for key, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids = vocab.wide(data, encoder.dtype, end_id)
+                n = len(ids) // 4
+                start, stop, k = 0, n % capacity or capacity, 0
+                while start < n:
+                    span = ids[4 * start : 4 * stop]
+                    rows.append((key, k, start, stop - start, zlib.crc32(span), np.frombuffer(span, "<u4").astype(encoder.dtype).tobytes() if keep_ids else None))
+                    start, stop, k = stop, stop + capacity, k + 1
+            if not rows:
+                continue
+            columns = list(zip(*rows, strict=True))
+            places = np.empty(len(rows), np.int64)
+            for i, length in enumerate(columns[3]):
+                places[i] = placed[length]
+                placed[length] += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(rows), part, np.int32)), pa.array(places)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     rows = in_small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return written(rows.mapInArrow(cut_up, PIECES), "pieces")

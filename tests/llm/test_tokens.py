@@ -1,6 +1,8 @@
 """Token records and packing against the library on whole texts."""
 
 import random
+import re
+import sys
 import zlib
 
 import numpy as np
@@ -151,3 +153,43 @@ def test_assembled_sequences_hold_the_pieces(spark, docs):
     ids = {r.sequence_id: np.frombuffer(r.ids, "<u2") for r in packing.assemble(packed).collect()}
     for r in packed.collect():
         assert crc(ids[r.sequence_id][r.offset : r.offset + r.length]) == r.ids_crc32
+
+
+SPACED = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?;:*$%&#| \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_cut_in_arrays_are_those_of_the_pattern(seed):
+    rng = random.Random(seed)
+    texts = ["", "é", "ab", "a,", ",a", " ", "\n \n", "a×b. ÷, ÿ. Ā. é́. 漢, ab漢."] + ["".join(rng.choice("aBé×÷ñĀ漢😀1 \n\x00.,|'-") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    data = b"".join(t.encode() + vocab.BEHIND for t in texts)
+    cuts = vocab.spaced_cuts(data).tolist()
+    wanted = [p for t in texts for p in [*SPACED.findall(t), vocab.BEHIND.decode()]]
+    assert [data[a:b].decode() for a, b in zip(cuts, cuts[1:])] == wanted
+
+
+def test_ids_with_any_table_and_group_are_the_librarys(monkeypatch):
+    rng = random.Random(9)
+    texts = TEXTS + ["x" * 100 + " y", "un mot, deux", "\x1c", " "] + ["".join(rng.choice("aBé漢1  \n.,'-\t" if i % 9 == 0 else "aBé漢1  \n.,'-") for _ in range(rng.randint(0, 60))) for i in range(300)]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary_path(queries.BYTE_BPE))
+    library.encode_special_tokens = True
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for pieces, group, size, run in ((500_000, 1000, 8 << 20, 1 << 14), (7, 3, 8 << 20, 5), (40, 50, 100, 64), (1, 1, 1, 1)):
+        for name, value in (("MEMO_PIECES", pieces), ("SPACED_GROUP", group), ("SPACED_BYTES", size), ("RUN_CHARS", run)):
+            monkeypatch.setattr(vocab, name, value, raising=False)
+        encoder = vocab.Encoder(queries.vocabulary_path(queries.BYTE_BPE), vocab.SPACED)
+        for _ in range(2):
+            assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == wanted
+        assert len(encoder.units) == len(encoder.ids) <= pieces
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
+
+
+def test_remembered_pieces_are_no_objects():
+    encoder = vocab.Encoder(queries.vocabulary_path(queries.BYTE_BPE), vocab.SPACED)
+    texts = [" ".join(f"w{i}x{k}" for k in range(100)) for i in range(300)]
+    encoder.encode(texts[:1])
+    before = sys.getallocatedblocks()
+    encoder.encode(texts)
+    assert sys.getallocatedblocks() - before < 3_000  # 30,000 distinct pieces
